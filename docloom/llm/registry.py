@@ -7,14 +7,26 @@ from pyspark.sql import DataFrame, SparkSession
 from docloom.llm.common import table
 
 
+def op1_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.pii import find_personal_data
+
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.llm.quality import score_documents
 
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.secrets import find_secrets
+
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_quality_trees,)}
+    return {f.__name__: f for f in (op1_skip_chain_pii, op5_quality_trees, op9_linked_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
