@@ -13,6 +13,12 @@ def op1_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op2_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.outliers import judge
+
+    return judge(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.llm.quality import score_documents
 
@@ -26,7 +32,7 @@ def op9_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_skip_chain_pii, op5_quality_trees, op9_linked_secrets)}
+    return {f.__name__: f for f in (op1_skip_chain_pii, op2_mcd_outliers, op5_quality_trees, op9_linked_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
