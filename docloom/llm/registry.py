@@ -19,20 +19,35 @@ def op2_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
 
+def op4_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.packing import digest, pack
+
+    return digest(pack(table(spark, sf_dir, "documents")))
+
+
 def op5_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.llm.quality import score_documents
 
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.frames import write_and_read
+
+    return write_and_read(table(spark, sf_dir, "documents"))
+
+
 def op9_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.llm.secrets import find_secrets
 
     return find_secrets(table(spark, sf_dir, "documents"))
 
 
+NAMES = ("op1_skip_chain_pii", "op2_mcd_outliers", "op4_hilbert_packing", "op5_quality_trees", "op8_token_frames", "op9_linked_secrets")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_skip_chain_pii, op2_mcd_outliers, op5_quality_trees, op9_linked_secrets)}
+    return {n: globals()[n] for n in NAMES}
 
 
 def oracle_sql() -> dict[str, str]:
