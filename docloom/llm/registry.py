@@ -31,6 +31,12 @@ def op5_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), 2).drop("row")
+
+
 def op8_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.llm.frames import write_and_read
 
@@ -43,7 +49,7 @@ def op9_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
 
 
-NAMES = ("op1_skip_chain_pii", "op2_mcd_outliers", "op4_hilbert_packing", "op5_quality_trees", "op8_token_frames", "op9_linked_secrets")
+NAMES = ("op1_skip_chain_pii", "op2_mcd_outliers", "op4_hilbert_packing", "op5_quality_trees", "op7_minhash_components", "op8_token_frames", "op9_linked_secrets")
 
 
 def queries() -> dict:
