@@ -49,7 +49,13 @@ def op9_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
 
 
-NAMES = ("op1_skip_chain_pii", "op2_mcd_outliers", "op4_hilbert_packing", "op5_quality_trees", "op7_minhash_components", "op8_token_frames", "op9_linked_secrets")
+def op10_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.decontaminate import find_items
+
+    return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+NAMES = ("op1_skip_chain_pii", "op2_mcd_outliers", "op4_hilbert_packing", "op5_quality_trees", "op7_minhash_components", "op8_token_frames", "op9_linked_secrets", "op10_cgk_decontamination")
 
 
 def queries() -> dict:
