@@ -51,10 +51,10 @@ def counts(docs: DataFrame) -> DataFrame:
     )
     # only texts in which some window recurs are sorted
     again = F.size(F.array_distinct("h")) < F.size("h")
-    pairs = F.when(again, F.array_sort(F.transform("h", lambda x, i: F.struct(x.alias("h"), i.alias("i")))))
+    pairs = F.when(again, F.sort_array(F.transform("h", lambda x, i: F.struct(x.alias("h"), i.alias("i")))))
     placed = sized.withColumn("s", pairs).drop("h")
     twice = F.filter("s", lambda x, j: x["h"].eqNullSafe(F.get("s", j - 1)["h"]) | x["h"].eqNullSafe(F.get("s", j + 1)["h"]))
-    at = placed.withColumn("at", F.array_sort(F.transform(twice, lambda x: x["i"]))).drop("s")
+    at = placed.withColumn("at", F.sort_array(F.transform(twice, lambda x: x["i"]))).drop("s")
     # windows are three long: each covers three words, less what it shares with the one before
     covered = F.aggregate(F.transform("at", lambda x, j: F.least(F.lit(3), x - F.coalesce(F.get("at", j - 1), F.lit(-3)))), F.lit(0), lambda a, x: a + x)
     return at.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
