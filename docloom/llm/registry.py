@@ -19,6 +19,12 @@ def op2_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
 
+def op3_gru_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.lm import score_corpus
+
+    return score_corpus(table(spark, sf_dir, "documents"))
+
+
 def op4_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.llm.packing import digest, pack
 
@@ -55,7 +61,7 @@ def op10_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-NAMES = ("op1_skip_chain_pii", "op2_mcd_outliers", "op4_hilbert_packing", "op5_quality_trees", "op7_minhash_components", "op8_token_frames", "op9_linked_secrets", "op10_cgk_decontamination")
+NAMES = ("op1_skip_chain_pii", "op2_mcd_outliers", "op3_gru_scores", "op4_hilbert_packing", "op5_quality_trees", "op7_minhash_components", "op8_token_frames", "op9_linked_secrets", "op10_cgk_decontamination")
 
 
 def queries() -> dict:
