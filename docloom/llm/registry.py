@@ -37,6 +37,12 @@ def op5_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_license_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.licenses import document_files, scan
+
+    return scan(document_files(table(spark, sf_dir, "documents")))
+
+
 def op7_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.llm.neardup import near_duplicates
 
@@ -61,7 +67,13 @@ def op10_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-NAMES = ("op1_skip_chain_pii", "op2_mcd_outliers", "op3_gru_scores", "op4_hilbert_packing", "op5_quality_trees", "op7_minhash_components", "op8_token_frames", "op9_linked_secrets", "op10_cgk_decontamination")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+NAMES = ("op1_skip_chain_pii", "op2_mcd_outliers", "op3_gru_scores", "op4_hilbert_packing", "op5_quality_trees", "op6_license_inheritance", "op7_minhash_components", "op8_token_frames", "op9_linked_secrets", "op10_cgk_decontamination", "pipeline")
 
 
 def queries() -> dict:
@@ -69,4 +81,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from docloom.llm.licenses import oracle
+
+    return {"op6_license_inheritance": oracle()}
