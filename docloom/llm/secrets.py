@@ -23,7 +23,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import docs_only, spans_text
@@ -42,8 +42,11 @@ _IDENTIFIER = re.compile(r"""(?:client_?id|account_?(?:id|name)|access_?key_?id|
 _BARE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _ENDPOINT = re.compile(r"(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqps?|ftp|s3)://[^\s\"'<>]{4,}|\b[a-z0-9-]+(?:\.[a-z0-9-]+){2,}:[0-9]{2,5}\b", re.A)
 
-#: Texts without any of these hold neither base span nor candidate.
-EVIDENCE = "[:=]|AKIA|[0-9a-f]{24}|[A-Za-z0-9+/_=-]{20}"
+
+def evidence(text: Column) -> Column:
+    """Whether a text can hold a base span or candidate: assignments and addresses have ``:`` or ``=``, bare secrets a digit."""
+    return text.rlike("[0-9:=]") | text.contains("AKIA") | text.rlike("[a-f]{24}")
+
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -127,7 +130,7 @@ def _batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def find_secrets(docs: DataFrame) -> DataFrame:
     """Counts, hash and spans of every whole text."""
     docs = docs_only(docs)
-    return docs.select("doc_id", F.when(F.col("text").rlike(EVIDENCE), F.col("text")).alias("text")).mapInArrow(_batches, SCHEMA)
+    return docs.select("doc_id", F.when(evidence(F.col("text")), F.col("text")).alias("text")).mapInArrow(_batches, SCHEMA)
 
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
@@ -151,7 +154,7 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
         return pa.array([None if x is None else clean(x) for x in texts.to_pylist()], pa.string())
 
     udf = F.arrow_udf(series, "string") if hasattr(F, "arrow_udf") else F.pandas_udf(lambda t: t.map(clean, na_action="ignore"), "string")
-    hit = F.col("text").rlike(EVIDENCE)
+    hit = evidence(F.col("text"))
     done = docs.withColumn("text", F.when(hit, udf(F.when(hit, F.col("text")))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.when(hit, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
