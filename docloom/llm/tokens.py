@@ -11,12 +11,13 @@ from __future__ import annotations
 import importlib
 import os
 import re
+import struct
 from functools import lru_cache
 
 import numpy as np
 
 #: Parts that a worker process remembers, at most (some 200 bytes each).
-MOST_KEPT = 300_000
+MOST_KEPT = 500_000
 LONGEST_KEPT = 64
 
 #: White space beyond ASCII's, and control characters on which libraries disagree.
@@ -79,7 +80,8 @@ class Encoder(dict):
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def _word(self, word: str) -> bytes:
-        return np.array([t.id for t in self.model.tokenize(word)], self.kind).tobytes()
+        ids = [t.id for t in self.model.tokenize(word)]
+        return struct.pack(f"<{len(ids)}{'H' if self.kind.itemsize == 2 else 'I'}", *ids)
 
     @staticmethod
     def _letters(word: str) -> bool:
@@ -118,23 +120,44 @@ class LowerWords(Encoder):
 class ByteLevel(Encoder):
     """The byte-level vocabulary: parts are what stands between spaces, each with the space before it.
 
-    Where white space comes before a space the parts are cut by ``_PARTS`` instead and keep their white space; such
-    parts are told apart by it, or, the first of a text, by a mark.
+    Where white space comes before a space the parts are cut by ``_PARTS`` instead; those with other white space than
+    one space before them go to the library. Lines that single line ends part are parts, too, kept without a space.
     """
 
+    def __init__(self, name: str):
+        super().__init__(name)
+        self.bare: dict[str, bytes] = {}
+        self.line_end = self._by_library("\n")
+
+    def _line_start(self, part: str) -> bytes:
+        """Ids of a part that no space stands before."""
+        ids = self.bare.get(part)
+        if ids is None:
+            if self._letters(part):
+                ids = self._word(_as_bytes(part))
+            elif len(part) > 1 and part[-1] in ".,;:!?" and self._letters(part[:-1]):
+                ids = self._word(_as_bytes(part[:-1])) + self._line_start(part[-1])
+            else:
+                ids = self._by_library(part)
+            if len(self.bare) < MOST_KEPT and len(part) <= LONGEST_KEPT:
+                self.bare[part] = ids
+        return ids
+
     def encode(self, text: str) -> bytes:
         if _odd(text):
             return self._by_library(text)
         if any(x in text for x in _BEFORE_SPACE):
             return b"".join(self[p[1:]] if p[0] == " " and p[1:2] not in " \t\n\r\f\v" else self._by_library(p) for p in _PARTS.findall(text))
         first, *rest = text.split(" ")
-        return b"".join([self._by_library(first), *map(self.__getitem__, rest)]) if text else b""
+        return b"".join([self._line_start(first) if self._letters(first) else self._by_library(first), *map(self.__getitem__, rest)]) if text else b""
 
     def __missing__(self, part: str) -> bytes:
         if self._letters(part):
             ids = self._word("Ġ" + _as_bytes(part))
         elif len(part) > 1 and part[-1] in ".,;:!?" and self._letters(part[:-1]):
-            ids = self[part[:-1]] + self._word(part[-1])
+            ids = self[part[:-1]] + self._line_start(part[-1])
+        elif "\n" in part and all(lines := part.split("\n")) and not any(c in part for c in "\t\r\f\v"):
+            return self.line_end.join([self[lines[0]], *map(self._line_start, lines[1:])])
         else:
             ids = self._by_library(" " + part)
         if len(self) < MOST_KEPT and len(part) <= LONGEST_KEPT:
