@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("documents",)
+MODULES: tuple[str, ...] = ("documents", "relational")
 
 
 def queries() -> dict:
