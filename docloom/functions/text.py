@@ -11,13 +11,17 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docloom.functions import fixed
+
 #: All white space, for use inside a character class.
 WS = r"\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 
-# fixed values: vocabularies that results must agree on
-TOC_KEYWORDS = ("목차", "차례", "목 차", "contents", "table of contents", "목록", "일러두기", "目次", "目录", "index", "sommaire", "inhalt", "inhaltsverzeichnis")
 HANGUL, KANA, LATIN, CJK = r"\x{AC00}-\x{D7AF}", r"\x{3040}-\x{309F}\x{30A0}-\x{30FF}", "A-Za-z", r"\x{4E00}-\x{9FFF}"
-NAMES = {"HANGUL": "ko", "KANA": "ja", "LATIN": "en"}
+
+
+def spaced(pattern: str) -> str:
+    """The pattern with its white space spelled out."""
+    return pattern.replace(r"[.:)\s]", f"[.:){WS}]").replace(r"[\d\s.,]", f"[\\d{WS}.,]").replace(r"\s", f"[{WS}]")
 
 
 @F.pandas_udf("string")
@@ -61,17 +65,35 @@ def is_valid(text: Column) -> Column:
 
 
 def contains_any(text: Column, words: Sequence[str]) -> Column:
-    """a word of the list stands in the trimmed, lower-cased text."""
+    """a word of the list stands in the text, both trimmed and in lower case."""
     low = F.lower(trimmed(F.coalesce(text, F.lit(""))))
     found = F.lit(False)
-    for w in words:
+    for w in dict.fromkeys(w.lower() for w in words):
         found = found | low.contains(w)
     return found
 
 
+def is_toc_keyword(text: Column) -> Column:
+    """F5."""
+    return contains_any(text, fixed.TOC_KEYWORDS)
+
+
+def is_continuation(text: Column) -> Column:
+    """F6."""
+    return contains_any(text, fixed.CONTINUATION_MARKERS)
+
+
+def is_resource_index(text: Column) -> Column:
+    """F8: the text begins as an entry of a list of figures, plates or tables does."""
+    found = F.lit(False)
+    for p in fixed.RESOURCE_INDEX:
+        found = found | text.rlike(spaced(p))
+    return found
+
+
 def ends_in_page_number(text: Column) -> Column:
-    """dot leaders, an ellipsis or white space, then digits at the end."""
-    return text.rlike(rf"(?:\.{{2,}}|…|[{WS}])[{WS}]*\d+[{WS}]*\z")
+    """dot leaders, ellipses or white space, then digits at the end."""
+    return text.rlike(spaced(fixed.PAGE_NUMBER))
 
 
 def reanchored_number(full: Column, number: Column) -> Column:
@@ -87,17 +109,22 @@ def caption_number(full: Column) -> Column:
 
 
 def looks_like_caption(text: Column) -> Column:
-    """a figure, table, photo or plate label with a number at the start."""
-    return trimmed(text).rlike(r"(?i)^(?:fig(?:ure)?|table|photo|plate|map|그림|표|사진|도면|도판|지도)[\s.]*\d+")
+    """a label of a figure, table, photo or plate at the start, with a number."""
+    return text.rlike(spaced(fixed.CAPTION))
+
+
+def looks_like_orphan_caption(text: Column) -> Column:
+    """F11, in the wording that orphan captions are scored by; the number may be missing."""
+    return text.rlike(spaced(fixed.ORPHAN_CAPTION))
 
 
 def looks_like_footnote(text: Column) -> Column:
-    """a number with bracket or full stop, or a reference mark, at the start."""
-    return trimmed(text).rlike(r"^(?:\d{1,3}[).]\s|[*†‡※])")
+    """a number with bracket or full stop, or a reference mark, at the start, and text after it."""
+    return text.rlike(spaced(fixed.FOOTNOTE))
 
 
 def footnote_marker(text: Column) -> Column:
-    found = F.regexp_extract(trimmed(text), r"^(\d{1,3}(?=[).]\s)|[*†‡※]+)", 1)
+    found = F.regexp_extract(trimmed(text), fixed.FOOTNOTE_MARKER, 1)
     return F.when(found != "", found)
 
 
@@ -107,25 +134,24 @@ def is_ocr_noise(text: Column) -> Column:
     return (F.size(words) >= 4) & (F.size(F.filter(words, lambda w: F.length(w) <= 1)) >= 0.7 * F.size(words))
 
 
-#: Name, pattern.
-DOMAIN_PATTERNS = {
-    "roman_numeral": r"\b[IVX]{2,}\b",
-    "unit": r"\d+(?:\.\d+)?\s?(?:cm|mm|km|kg|m|g)\b",
-    "number": r"\d+",
-    "hanja_term": rf"[{CJK}]{{2,}}",
-    "institution": r"\b[A-Z][a-z]+ (?:University|Institute|Museum|Center)\b",
-}
+def domain_hits(text: Column, name: str, most: int = 5) -> Column:
+    """the first matches of a pattern."""
+    return F.slice(F.regexp_extract_all(text, F.lit(spaced(fixed.DOMAIN_PATTERNS[name])), F.lit(0)), 1, most)
 
 
-def domain_hits(text: Column, name: str, most: int = 5) -> Column:
-    """The first matches of a pattern."""
-    return F.slice(F.regexp_extract_all(text, F.lit(f"({DOMAIN_PATTERNS[name]})"), F.lit(1)), 1, most)
+def hanja_candidates(text: Column, most: int = 5) -> Column:
+    """distinct bracketed stretches that look like misread ideographs, in a text where ideographs are likely."""
+    likely = text.rlike("[一-龯]") | text.rlike(fixed.HANJA_MARK) | (text.rlike("[가-힣]") & text.rlike(fixed.HANJA_CONTEXT))
 
+    def hits(pattern: str) -> Column:
+        whole, inner = (F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (0, 1))
+        pairs = F.filter(F.arrays_zip(whole.alias("whole"), inner.alias("inner")), lambda x: (trimmed(x["inner"]) != "") & ~trimmed(x["inner"]).rlike(spaced(fixed.HANJA_NUMERIC)) & trimmed(x["inner"]).rlike(fixed.HANJA_NOISE))
+        return F.transform(pairs, lambda x: x["whole"])
 
-def bracketed_hanja(text: Column) -> Column:
-    """bracketed terms that mix scripts, as bad readings of ideographs do."""
-    inside = F.regexp_extract_all(text, F.lit(r"[(\[]([^()\[\]]{1,20})[)\]]"), F.lit(1))
-    return F.filter(inside, lambda x: x.rlike(rf"[{CJK}]") & x.rlike(rf"[{LATIN}0-9{HANGUL}]"))
+    none = F.array().cast("array<string>")
+    mark = F.regexp_extract(text, f"({fixed.HANJA_MARK})", 1)
+    found = F.concat(F.when(likely, F.concat(hits(fixed.HANJA_BRACKETED), hits(fixed.HANJA_OPEN))).otherwise(none), F.when(mark != "", F.array(mark)).otherwise(none))
+    return F.slice(F.array_distinct(found), 1, most)
 
 
 def unit_hints(text: Column, most: int = 20) -> Column:
@@ -164,13 +190,13 @@ def half_up(x: Column, digits: int = 0) -> Column:
 
 
 def placeholder(text: Column) -> Column:
-    """text that stands for missing text."""
-    return text.rlike(r"(?i)lorem ipsum|\[(?:text|content|image)\]|^\s*(?:n/?a|tbd|todo|xxx+|\.{3,}|-{3,})\s*\z")
+    """filler text."""
+    return text.rlike("(?i)" + "|".join(map(spaced, fixed.PLACEHOLDERS)))
 
 
 def meta_description(text: Column) -> Column:
-    """text about the picture instead of the text in it."""
-    return text.rlike(r"(?i)\b(?:the|this) (?:image|page|picture|document) (?:shows|contains|depicts|appears)|이미지(?:에는|는|를) |보이지 않")
+    """text about the image instead of the text in it."""
+    return text.rlike("|".join(map(spaced, fixed.META_KOREAN))) | text.rlike("(?i)" + "|".join(fixed.META_ENGLISH))
 
 
 def script_anomaly(text: Column, language: str) -> Column:
@@ -189,11 +215,6 @@ def repetition_ratio(text: Column) -> Column:
     return F.coalesce(F.try_divide(total.cast("double"), F.length(text)), F.lit(0.0))
 
 
-# fixed values: the tag a bare language code stands for
-LANGUAGE_TAGS = {
-    "ko": "ko-KR", "en": "en-US", "ja": "ja-JP", "zh": "zh-CN", "de": "de-DE", "fr": "fr-FR", "es": "es-ES", "it": "it-IT", "pt": "pt-BR", "ru": "ru-RU",
-    "nl": "nl-NL", "pl": "pl-PL", "tr": "tr-TR", "vi": "vi-VN", "th": "th-TH", "ar": "ar-SA",
-}
 LANGUAGE_NAMES = {"ko": "Korean", "en": "English", "ja": "Japanese", "zh": "Chinese", "de": "German", "fr": "French", "es": "Spanish", "it": "Italian", "pt": "Portuguese", "ru": "Russian"}
 
 
@@ -203,7 +224,7 @@ def _lookup(key: Column, pairs: dict[str, str]) -> Column:
 
 def language_tag(code: Column) -> Column:
     """a known tag stays, a bare code becomes its default tag, anything else null."""
-    return F.when(code.isin(*LANGUAGE_TAGS.values()), code).otherwise(_lookup(F.lower(code), LANGUAGE_TAGS))
+    return F.when(code.isin(*fixed.LANGUAGE_TAGS), code).otherwise(_lookup(F.lower(code), fixed.DEFAULT_TAGS))
 
 
 def language_name(code: Column) -> Column:
@@ -258,10 +279,9 @@ def substituted(text: Column, subs: Column) -> Column:
     return F.aggregate(subs, text, once)
 
 
-def provider_of(model: Column) -> Column:
-    """the first provider whose mark stands in a model's name."""
-    low = F.lower(model)
+def provider_of(name: Column) -> Column:
+    """the first known provider that a provider's name contains."""
     out = F.lit("unknown")
-    for mark, name in reversed((("openai", "openai"), ("gpt", "openai"), ("claude", "anthropic"), ("gemini", "google"), ("together", "togetherai"), ("ollama", "ollama"))):
-        out = F.when(low.contains(mark), F.lit(name)).otherwise(out)
-    return out
+    for mark, provider in reversed(fixed.PROVIDERS):
+        out = F.when(name.contains(mark), F.lit(provider)).otherwise(out)
+    return F.coalesce(out, F.lit("unknown"))
\ No newline at end of file

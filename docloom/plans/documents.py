@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docloom.functions import fixed
 from docloom.functions import text as T
 from docloom.operators import chapters, items as I, nodes, pages, toc
 
@@ -104,24 +105,49 @@ def ocr_noise(spark, sf_dir):
     return lines(spark, sf_dir).select("doc_id", "pos", T.is_ocr_noise(F.col("text")).alias("noise"))
 
 
-_TRIM = f"regexp_replace(regexp_replace(text, '^{WS_SQL}+', ''), '{WS_SQL}+$', '')"
+def _re2(pattern: str) -> str:
+    """A fixed pattern for the oracle's engine."""
+    return T.spaced(pattern).replace(r"\z", "$").replace("'", "''")
 
 
-@query(f"""WITH {I.ITEMS_SQL} SELECT doc_id, count(*) FILTER (regexp_matches({_TRIM}, '(?i)^(?:fig(?:ure)?|table|photo|plate|map|그림|표|사진|도면|도판|지도)[\\s.]*\\d+')) AS captions,
-count(*) FILTER (regexp_matches({_TRIM}, '^(?:\\d{{1,3}}[).]\\s|[*†‡※])')) AS footnotes,
-count(*) FILTER (regexp_matches(text, '(?i)lorem ipsum|\\[(?:text|content|image)\\]|^\\s*(?:n/?a|tbd|todo|xxx+|\\.{{3,}}|-{{3,}})\\s*$')) AS placeholders FROM items GROUP BY doc_id""")
+@query(f"""WITH {I.ITEMS_SQL} SELECT doc_id, count(*) FILTER (regexp_matches(text, '{_re2(fixed.CAPTION)}')) AS captions, count(*) FILTER (regexp_matches(text, '{_re2(fixed.ORPHAN_CAPTION)}')) AS orphan_captions,
+count(*) FILTER (regexp_matches(text, '{_re2(fixed.FOOTNOTE)}')) AS footnotes, count(*) FILTER (regexp_matches(text, '(?i){"|".join(map(_re2, fixed.PLACEHOLDERS))}')) AS placeholders,
+count(*) FILTER (regexp_matches(text, '{_re2(fixed.PAGE_NUMBER)}')) AS page_numbers, count(*) FILTER ({" OR ".join(f"regexp_matches(text, '{_re2(p)}')" for p in fixed.RESOURCE_INDEX)}) AS resource_entries,
+count(*) FILTER ({" OR ".join(f"contains(lower(text), '{w}')" for w in dict.fromkeys(w.lower() for w in fixed.TOC_KEYWORDS))}) AS toc_keywords,
+count(*) FILTER ({" OR ".join(f"contains(lower(text), '{w}')" for w in dict.fromkeys(w.lower() for w in fixed.CONTINUATION_MARKERS))}) AS continuations FROM items GROUP BY doc_id""")
 def line_kinds(spark, sf_dir):
-    """F11, F12, F22."""
+    """F5-F8, F11, F12, F22."""
     t = F.col("text")
-    return lines(spark, sf_dir).groupBy("doc_id").agg(F.count_if(T.looks_like_caption(t)).alias("captions"), F.count_if(T.looks_like_footnote(t)).alias("footnotes"), F.count_if(T.placeholder(t)).alias("placeholders"))
+    rules = {"captions": T.looks_like_caption, "orphan_captions": T.looks_like_orphan_caption, "footnotes": T.looks_like_footnote, "placeholders": T.placeholder, "page_numbers": T.ends_in_page_number, "resource_entries": T.is_resource_index, "toc_keywords": T.is_toc_keyword, "continuations": T.is_continuation}
+    return lines(spark, sf_dir).groupBy("doc_id").agg(*(F.count_if(f(t)).alias(n) for n, f in rules.items()))
 
 
-@query(r"""SELECT doc_id, array_to_string(list_slice(regexp_extract_all(text, '(\b[IVX]{2,}\b)', 1), 1, 5), ';') AS romans, array_to_string(list_slice(regexp_extract_all(text, '(\d+)', 1), 1, 5), ';') AS numbers,
-array_to_string(list_slice(regexp_extract_all(text, '(\d+(?:\.\d+)?\s?(?:cm|mm|km|kg|m|g)\b)', 1), 1, 5), ';') AS units FROM documents""")
+@query("SELECT doc_id, " + ", ".join(f"array_to_string(list_slice(regexp_extract_all(text, '{_re2(p)}'), 1, 5), ';') AS {n}" for n, p in fixed.DOMAIN_PATTERNS.items()) + " FROM documents")
 def domain_patterns(spark, sf_dir):
     """The first five hits of each pattern."""
-    t = F.col("text")
-    return I.read(spark, sf_dir, "documents").select("doc_id", *(F.array_join(T.domain_hits(t, n), ";").alias(a) for n, a in (("roman_numeral", "romans"), ("number", "numbers"), ("unit", "units"))))
+    return I.read(spark, sf_dir, "documents").select("doc_id", *(F.array_join(T.domain_hits(F.col("text"), n), ";").alias(n) for n in fixed.DOMAIN_PATTERNS))
+
+
+@query("""WITH c AS (SELECT doc_id, ['fr', 'EN', 'zh-Hant', 'xx', 'Ko', 'vi'][1 + doc_id % 6] AS code FROM documents)
+SELECT doc_id, CASE WHEN code = 'fr' THEN 'fr-FR' WHEN code = 'EN' THEN 'en-US' WHEN code = 'zh-Hant' THEN 'zh-Hant' WHEN code = 'Ko' THEN 'ko-KR' WHEN code = 'vi' THEN 'vi-VT' END AS tag FROM c""")
+def language_tags(spark, sf_dir):
+    """F25."""
+    codes = F.array(*map(F.lit, ("fr", "EN", "zh-Hant", "xx", "Ko", "vi")))
+    return I.read(spark, sf_dir, "documents").select("doc_id", T.language_tag(F.get(codes, (F.col("doc_id") % 6).cast("int"))).alias("tag"))
+
+
+@query("SELECT doc_id, lang, source, regexp_replace('log /srv/' || source || '/a.txt of ' || lang, '(?:/[A-Za-z0-9_.-]+){2,}', '[path]', 'g') AS masked, regexp_replace(source || ' ' || lang || '?', '[^A-Za-z0-9._-]+', '_', 'g') AS safe FROM documents")
+def masked_names(spark, sf_dir):
+    """F27, F30."""
+    d = I.read(spark, sf_dir, "documents")
+    return d.select("doc_id", "lang", "source", T.masked_paths(F.concat(F.lit("log /srv/"), "source", F.lit("/a.txt of "), "lang")).alias("masked"), T.safe_name(F.concat("source", F.lit(" "), "lang", F.lit("?"))).alias("safe"))
+
+
+@query(f"""WITH {I.ITEMS_SQL} SELECT doc_id, pos, md5(replace(CASE WHEN instr(text, 'the') > 0 THEN substring(text, 1, instr(text, 'the') - 1) || 'THE' || substring(text, instr(text, 'the') + 3) ELSE text END, 'X', 'X')) AS fixed FROM items""")
+def text_substitution(spark, sf_dir):
+    """The first occurrence of each correction is replaced, literally and in turn."""
+    subs = F.array(F.struct(F.lit("the").alias("f"), F.lit("THE").alias("r")), F.struct(F.lit("no such (text").alias("f"), F.lit("x").alias("r")))
+    return lines(spark, sf_dir).select("doc_id", "pos", F.md5(T.substituted(F.col("text"), subs)).alias("fixed"))
 
 
 @query()

@@ -12,7 +12,7 @@ from docloom.operators import resources, spatial, tasks, usage
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-NOW = "1998-01-01 00:00:00"
+NOW = "2001-09-01 00:00:00"
 
 
 def query(sql: str | None = None):
@@ -187,18 +187,18 @@ def queue_positions(spark, sf_dir):
 
 
 @query(f"""WITH {I.TASKS_SQL}, c AS (SELECT session_id, count(*) FILTER (status = 'running') AS running, count(*) FILTER (status = 'queued') AS queued, count(*) FILTER (status = 'completed') AS completed,
-  count(*) FILTER (status = 'completed' AND created_at::DATE = DATE '1994-06-15') AS today FROM tasks GROUP BY session_id) SELECT *, greatest(0, 2 - today) AS remaining, today < 2 AS allowed FROM c""")
+  count(*) FILTER (status = 'completed' AND created_at::DATE = DATE '1998-06-15') AS today FROM tasks GROUP BY session_id) SELECT *, greatest(0, 2 - today) AS remaining, today < 2 AS allowed FROM c""")
 def quota_status(spark, sf_dir):
     """A17, V16, M16."""
-    return tasks.quota(_tasks(spark, sf_dir), "1994-06-15", 2)
+    return tasks.quota(_tasks(spark, sf_dir), "1998-06-15", 2)
 
 
 @query(f"""WITH {I.TASKS_SQL} SELECT session_id, max(created_at)::VARCHAR AS last_success, (max(created_at) + INTERVAL 7 DAY)::VARCHAR AS free_at FROM tasks
-WHERE status = 'completed' AND created_at > TIMESTAMP '1994-06-15' - INTERVAL 7 DAY AND created_at <= TIMESTAMP '1994-06-15' GROUP BY session_id""")
+WHERE status = 'completed' AND created_at > TIMESTAMP '1998-06-15' - INTERVAL 7 DAY AND created_at <= TIMESTAMP '1998-06-15' GROUP BY session_id""")
 def weekly_lockout(spark, sf_dir):
     """A18, R7."""
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
-    return tasks.weekly_lockout(_tasks(spark, sf_dir), "1994-06-15 00:00:00").select("session_id", stamp("last_success"), stamp("free_at"))
+    return tasks.weekly_lockout(_tasks(spark, sf_dir), "1998-06-15 00:00:00").select("session_id", stamp("last_success"), stamp("free_at"))
 
 
 @query(f"WITH {I.TASKS_SQL} SELECT task_id, session_id FROM tasks WHERE NOT is_sample AND status IN ('completed', 'failed') AND created_at < TIMESTAMP '{NOW}' - INTERVAL 1500 DAY")
@@ -231,9 +231,8 @@ def weighted_progress(spark, sf_dir):
     return tasks.progress(s).select("task_id", F.col("ord").cast("long").alias("ord"), "percent")
 
 
-@query("""SELECT event_id, CASE WHEN m LIKE '%openai%' THEN 'openai' WHEN m LIKE '%gpt%' THEN 'openai' WHEN m LIKE '%claude%' THEN 'anthropic' WHEN m LIKE '%gemini%' THEN 'google' WHEN m LIKE '%together%' THEN 'togetherai' WHEN m LIKE '%ollama%' THEN 'ollama' ELSE 'unknown' END AS provider
-FROM (SELECT event_id, ['Gemini-x', 'together/OLLAMA', 'gpt-5', 'local', 'claude-x'][1 + user_id % 5].lower() AS m FROM events)""")
+@query("""SELECT event_id, ['google', 'togetherai', 'openai', 'unknown', 'anthropic', 'openai'][1 + user_id % 6] AS provider FROM events""")
 def provider_names(spark, sf_dir):
     """F34."""
-    names = F.array(*map(F.lit, ("Gemini-x", "together/OLLAMA", "gpt-5", "local", "claude-x")))
-    return I.read(spark, sf_dir, "events").select("event_id", T.provider_of(F.get(names, (F.col("user_id") % 5).cast("int"))).alias("provider"))
+    names = F.array(*map(F.lit, ("google.generative-ai", "together.chat-ollama", "openai.responses", "local", "anthropic.messages", "openai-google")))
+    return I.read(spark, sf_dir, "events").select("event_id", T.provider_of(F.get(names, (F.col("user_id") % 6).cast("int"))).alias("provider"))
