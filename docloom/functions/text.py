@@ -10,6 +10,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from docloom.functions import fixed
 
@@ -24,7 +25,7 @@ def spaced(pattern: str) -> str:
     return pattern.replace(r"[.:)\s]", f"[.:){WS}]").replace(r"[\d\s.,]", f"[\\d{WS}.,]").replace(r"\s", f"[{WS}]")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(s: pd.Series) -> pd.Series:
     import unicodedata
 

@@ -42,7 +42,7 @@ def usage(events: DataFrame) -> DataFrame:
     return events.select(
         F.col("event_id").alias("seq"), F.col("event_type").alias("component"), (F.col("user_id") % 3).cast("long").alias("phase"),
         F.when(F.col("event_id") % 5 == 0, "fallback").otherwise("primary").alias("role"), F.concat(F.lit("model-"), (F.col("user_id") % 4).cast("string")).alias("model"),
-        F.floor(F.coalesce(F.col("value"), F.lit(0.0)) * 10).cast("long").alias("tokens_in"), F.floor(F.coalesce(F.col("value"), F.lit(0.0))).cast("long").alias("tokens_out"), "ts",
+        F.floor(F.coalesce(F.col("value"), F.lit(0.0)) * 10).cast("long").alias("tokens_in"), F.floor(F.coalesce(F.col("value"), F.lit(0.0))).cast("long").alias("tokens_out"), F.col("ts").cast("timestamp").alias("ts"),
     )
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from docloom.functions.text import half_up
 
-_PAGES = Window.partitionBy("doc_id").orderBy("page")
+def _pages() -> WindowSpec:
+    return Window.partitionBy("doc_id").orderBy("page")
 
 
 def size_key(width: Column, height: Column) -> Column:
@@ -16,14 +17,14 @@ def size_key(width: Column, height: Column) -> Column:
 
 def size_islands(pages: DataFrame) -> DataFrame:
     """Runs of pages of one size key (doc_id, page, size_key)."""
-    new = F.coalesce((F.lag("size_key").over(_PAGES) != F.col("size_key")).cast("int"), F.lit(1))
-    marked = pages.withColumn("new", new).withColumn("island", F.sum("new").over(_PAGES.rowsBetween(Window.unboundedPreceding, 0)))
+    new = F.coalesce((F.lag("size_key").over(_pages()) != F.col("size_key")).cast("int"), F.lit(1))
+    marked = pages.withColumn("new", new).withColumn("island", F.sum("new").over(_pages().rowsBetween(Window.unboundedPreceding, 0)))
     return marked.groupBy("doc_id", "island", "size_key").agg(F.min("page").alias("first_page"), F.max("page").alias("last_page"), F.count("*").alias("n_pages"))
 
 
 def pattern(samples: DataFrame) -> DataFrame:
     """Of samples (doc_id, page, number): same step, double step, constant offset within 1, or unknown; two valid at least."""
-    step = lambda c: F.col(c) - F.lag(c).over(_PAGES)
+    step = lambda c: F.col(c) - F.lag(c).over(_pages())
     valid = samples.where("number > 0").withColumn("dp", step("page")).withColumn("dn", step("number")).withColumn("offset", F.col("number") - F.col("page"))
     sums = valid.groupBy("doc_id").agg(
         F.count("*").alias("n"), F.bool_and(F.col("dn") == F.col("dp")).alias("same"), F.bool_and(F.col("dn") == 2 * F.col("dp")).alias("double"),
@@ -45,7 +46,7 @@ def extrapolated(pages: DataFrame, patterns: DataFrame, samples: DataFrame) -> D
 
 def drop_outliers(ranges: DataFrame) -> DataFrame:
     """Before the first run of three regular pages, numbers more than 10 above what the run implies become 0."""
-    a, b = F.lead("number", 1).over(_PAGES) - F.col("number"), F.lead("number", 2).over(_PAGES) - F.lead("number", 1).over(_PAGES)
+    a, b = F.lead("number", 1).over(_pages()) - F.col("number"), F.lead("number", 2).over(_pages()) - F.lead("number", 1).over(_pages())
     runs = ranges.withColumn("run", (F.col("number") > 0) & (a == b) & a.isin(1, 2)).withColumn("step", a)
     first = runs.where("run").groupBy("doc_id").agg(F.min_by(F.struct("page", "number", "step"), "page").alias("r"))
     expected = F.col("r.number") - (F.col("r.page") - F.col("page")) * F.col("r.step")
@@ -58,9 +59,9 @@ def repair_drops(ranges: DataFrame) -> DataFrame:
 
     No earlier number is read after it was rewritten, so this needs no loop: falls depend on the given numbers alone.
     """
-    prev = F.lag("number").over(_PAGES)
+    prev = F.lag("number").over(_pages())
     falls = ranges.withColumn("fall", F.when((F.col("number") > 0) & (prev > 0) & (prev - F.col("number") > 1), F.struct("page", "number")))
-    later = F.last("fall", ignorenulls=True).over(_PAGES.rowsBetween(1, Window.unboundedFollowing))
+    later = F.last("fall", ignorenulls=True).over(_pages().rowsBetween(1, Window.unboundedFollowing))
     fixed = falls.withColumn("later", later)
     return fixed.select("doc_id", "page", F.when(F.col("later").isNotNull(), F.col("later.number") - (F.col("later.page") - F.col("page"))).otherwise(F.col("number")).alias("number"))
 
