@@ -154,8 +154,8 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
         return pa.array([None if x is None else clean(x) for x in texts.to_pylist()], pa.string())
 
     udf = F.arrow_udf(series, "string") if hasattr(F, "arrow_udf") else F.pandas_udf(lambda t: t.map(clean, na_action="ignore"), "string")
-    hit = evidence(F.col("text"))
-    done = docs.withColumn("text", F.when(hit, udf(F.when(hit, F.col("text")))).otherwise(F.col("text")))
+    seen = docs.withColumn("__hit", F.coalesce(evidence(F.col("text")), F.lit(False)))
+    done = seen.withColumn("text", F.when(F.col("__hit"), udf(F.when(F.col("__hit"), F.col("text")))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(hit, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        done = done.withColumn("n_chars", F.when(F.col("__hit"), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return done.select(*docs.columns)
