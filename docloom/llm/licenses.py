@@ -2,8 +2,9 @@
 
 The units compared are the lines of a text and its paragraphs (lines joined). A unit's vector has a weight for each
 of its terms, count times inverse frequency over the templates; stop words weigh nothing, terms that no template has
-the most. Only units that share a lettered term with a template are split into terms: all others have cosine 0. A
-document's own license is the template nearest to any of its units, from ``LEAST`` on.
+the most. Only units that share a lettered term with a template are split into terms: all others have cosine 0. Of
+these only units go on whose terms can reach the threshold at all: s known and o other terms give a cosine of at most
+s / sqrt(s * s + o), since no known term weighs more than an other one and counts are at least 1. A document's own license is the template nearest to any of its units, from ``LEAST`` on.
 
 A document without one takes that of the licence file in its directory, else of the nearest ancestor directory that
 has one. Directories are resolved once each, by joining their ancestors to the directories with licence files, and
@@ -84,9 +85,13 @@ def own_licenses(files: DataFrame) -> DataFrame:
     paragraphs = F.transform(F.split(text, BREAK), lambda p: F.translate(p, "\n", " "))
     units = likely.select("row", F.explode(F.array_distinct(F.concat(F.split(text, "\n"), paragraphs))).alias("unit"))
     units = units.select("row", "unit", F.translate("unit", _UPPER, _LOWER).alias("low")).where(F.arrays_overlap(F.split("low", "[^a-z]+"), words))
-    stop = F.array(*map(F.lit, sorted(STOP_WORDS)))
-    split = units.select("row", F.xxhash64("unit").alias("unit"), F.length("unit").alias("size"), F.explode(F.regexp_extract_all("low", F.lit(TERM), F.lit(0))).alias("term"))
-    counted = split.where(~F.array_contains(stop, F.col("term"))).groupBy("row", "unit", "size", "term").agg(F.count("*").alias("n"))
+    stop, known = F.array(*map(F.lit, sorted(STOP_WORDS))), F.array(*map(F.lit, sorted(idf)))
+    terms = F.filter(F.regexp_extract_all("low", F.lit(TERM), F.lit(0)), lambda t: ~F.array_contains(stop, t))
+    termed = units.select("row", F.xxhash64("unit").alias("unit"), F.length("unit").alias("size"), terms.alias("terms"))
+    shared = F.size(F.filter("terms", lambda t: F.array_contains(known, t)))
+    termed = termed.withColumn("shared", shared.cast("double")).where(F.col("shared") * F.col("shared") * (1 - LEAST**2) >= LEAST**2 * (F.size("terms") - F.col("shared")) - 1e-6)
+    split = termed.select("row", "unit", "size", F.explode("terms").alias("term"))
+    counted = split.groupBy("row", "unit", "size", "term").agg(F.count("*").alias("n"))
     weights = _values(spark, sorted(idf.items()), "t, idf")
     weighed = counted.join(F.broadcast(weights), F.col("term") == F.col("t"), "left").select("row", "unit", "size", "term", (F.col("n") * F.coalesce("idf", F.lit(other))).alias("w"))
     weighed = materialize(weighed, "license-terms")
