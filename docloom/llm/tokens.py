@@ -17,8 +17,10 @@ from functools import lru_cache
 import numpy as np
 
 #: Parts that a worker process remembers, at most (some 200 bytes each).
-MOST_KEPT = 500_000
-LONGEST_KEPT = 64
+MOST_KEPT = 300_000
+#: Parts at the start of a line that it remembers, at most.
+MOST_BARE = 60_000
+LONGEST_KEPT = 40
 
 #: White space beyond ASCII's, and control characters on which libraries disagree.
 _ODD_WIDE = re.compile("[\x1c-\x1f\x85\xa0  -​    　﻿]")
@@ -139,7 +141,7 @@ class ByteLevel(Encoder):
                 ids = self._word(_as_bytes(part[:-1])) + self._line_start(part[-1])
             else:
                 ids = self._by_library(part)
-            if len(self.bare) < MOST_KEPT and len(part) <= LONGEST_KEPT:
+            if len(self.bare) < MOST_BARE and len(part) <= LONGEST_KEPT:
                 self.bare[part] = ids
         return ids
 
