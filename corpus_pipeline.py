@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from docloom.llm.common import materialize, table
 from docloom.llm.decontaminate import drop_contaminated
 from docloom.llm.neardup import keep_one_each
-from docloom.llm.packing import digest, pack
+from docloom.llm.packing import digest
 from docloom.llm.quality import keep_good
 from docloom.llm.secrets import redact
 
@@ -41,7 +41,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training sequences along the curve."""
-    return digest(pack(docs))
+    return digest(docs)
 
 
 STAGES = [

@@ -107,34 +107,34 @@ def places(tokens: DataFrame) -> DataFrame:
     return ranged.join(F.broadcast(bases), F.col("part") == F.col("p")).select("row", (F.col("base") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("place"))
 
 
-def pack(docs: DataFrame, size: int = SIZE, vocabulary: str = VOCABULARY, end_id: int = END_ID) -> DataFrame:
-    """Pieces with their ids: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian, 2 or 4 bytes each)."""
+def pack(docs: DataFrame, size: int = SIZE, vocabulary: str = VOCABULARY, end_id: int = END_ID, keep_ids: bool = True) -> DataFrame:
+    """Pieces with their ids: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (little-endian, 2 or 4 bytes each).
+
+    The checksum is that of the ids as unsigned 32-bit integers; without ``keep_ids`` there is no column of ids.
+    """
     tokens = materialize(encoded(docs, vocabulary, end_id), "pack-ids")
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            out: list[list] = [[] for _ in range(7)]
+            out: list[list] = [[] for _ in range(8)]
             for doc, n, place, ids in zip(*(b.column(i).to_pylist() for i in range(4))):
                 width, at = len(ids) // n, 0
+                wide = np.frombuffer(ids, f"<u{width}").astype("<u4")
                 while at < n:
-                    room = size - (place + at) % size
-                    length = min(room, n - at)
-                    for k, v in enumerate((doc, at, length, n, (place + at) // size, (place + at) % size, ids[at * width : (at + length) * width])):
+                    length = min(size - (place + at) % size, n - at)
+                    crc = zlib.crc32(wide[at : at + length].tobytes())
+                    piece = ids[at * width : (at + length) * width] if keep_ids else b""
+                    for k, v in enumerate((doc, at, length, crc, n, (place + at) // size, (place + at) % size, piece)):
                         out[k].append(v)
                     at += length
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if k == 6 else pa.int64()) for k, x in enumerate(out)], ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
+            cols = [pa.array(x, pa.binary() if k == 7 else pa.int64()) for k, x in enumerate(out)]
+            yield pa.RecordBatch.from_arrays(cols[: len(names)], names)
 
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * keep_ids
     placed = tokens.join(places(tokens), "row").select("doc_id", "n", "place", "ids")
-    return placed.mapInArrow(cut, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
-
+    return placed.mapInArrow(cut, ", ".join(f"{n} {'binary' if n == 'ids' else 'long'}" for n in names))
 
-def digest(pieces: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """The pieces with the crc32 of their ids as unsigned 32-bit integers in place of the ids."""
-
-    def crc(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            n, ids = b.column(2).to_pylist(), b.column(6).to_pylist()
-            sums = [zlib.crc32(np.frombuffer(x, f"<u{len(x) // k}").astype("<u4").tobytes()) for k, x in zip(n, ids)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sums, pa.int64()), *b.columns[3:6]], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    return pieces.mapInArrow(crc, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+def digest(docs: DataFrame) -> DataFrame:
+    """The pieces of the packed documents, without their ids."""
+    return pack(docs, keep_ids=False)

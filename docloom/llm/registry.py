@@ -26,9 +26,9 @@ def op3_gru_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from docloom.llm.packing import digest, pack
+    from docloom.llm.packing import digest
 
-    return digest(pack(table(spark, sf_dir, "documents")))
+    return digest(table(spark, sf_dir, "documents"))
 
 
 def op5_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@ from __future__ import annotations
 import importlib
 import os
 import re
-import struct
+import sys
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -51,7 +52,8 @@ _BYTE_TABLE = dict(enumerate(_byte_chars()))
 
 
 def _as_bytes(text: str) -> str:
-    return text.encode().decode("latin-1").translate(_BYTE_TABLE)
+    """The text's bytes as their characters; ASCII letters stand for themselves."""
+    return text if text.isascii() else text.encode().decode("latin-1").translate(_BYTE_TABLE)
 
 
 def _odd(text: str) -> bool:
@@ -77,13 +79,18 @@ class Encoder(dict):
         self.model = self.whole.model
         self.lower = "Lowercase" in str(self.whole.normalizer)
         self.kind = np.dtype("<u2") if self.whole.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self._tokenize = self.model.tokenize
+        if sys.byteorder == "little" and array("H").itemsize == self.kind.itemsize:
+            self._packed = lambda ids: array("H", ids).tobytes()
+        else:
+            self._packed = lambda ids: np.array(ids, self.kind).tobytes()
 
     def _by_library(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def _word(self, word: str) -> bytes:
-        ids = [t.id for t in self.model.tokenize(word)]
-        return struct.pack(f"<{len(ids)}{'H' if self.kind.itemsize == 2 else 'I'}", *ids)
+        """Ids of one word in byte characters."""
+        return self._packed([t.id for t in self._tokenize(word)])
 
     @staticmethod
     def _letters(word: str) -> bool:
