@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 from docloom.llm.common import materialize
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _is_flat(edges: DataFrame) -> bool:
+    """Whether every vertex has one edge, and none that points elsewhere is pointed at: stars around roots."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionAll(edges.select(F.col("v").alias("x"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    sums = ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return sums.agg(F.coalesce(F.max((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("into") > 0))), F.lit(False))).first()[0] is False
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -36,10 +39,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Loops, repeated edges and either direction are allowed; a vertex that no row or only loops name has no row.
     """
-    now = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
-    state = _state(now)
+    now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     while True:
-        now = materialize(_small_star(_large_star(now).distinct()).distinct(), "cc")
-        if (new := _state(now)) == state:
+        now = materialize(_small_star(_large_star(now)).distinct(), "cc")
+        if _is_flat(now):
             return now.select(F.col("u").alias("vertex"), F.col("v").alias("root"))
-        state = new
