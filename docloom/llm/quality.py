@@ -15,6 +15,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -168,22 +169,26 @@ def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = TREES) -> Trees:
     return Trees(np.array(stat), np.array(cut), np.array(left), np.array(value), np.array(roots), bias)
 
 
-def labelled_sample(stats: DataFrame, labels: DataFrame, held_out_fold: int = HELD_OUT_FOLD, most: int = MAX_LABELLED) -> tuple[np.ndarray, np.ndarray]:
-    """Statistics and quality of at most ``most`` labelled rows outside the held-out fold, by the smallest hash of the id."""
-    marks = (
+def marked(labels: DataFrame, held_out_fold: int = HELD_OUT_FOLD, most: int = MAX_LABELLED) -> DataFrame:
+    """(doc_id, y) of at most ``most`` labelled ids outside the held-out fold, by the smallest hash of the id."""
+    return (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y"))
         .where(F.col("y").isin(0, 1) & (fold(F.col("doc_id")) != held_out_fold))
         .groupBy("doc_id").agg(F.max("y").alias("y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     )
-    rows = stats.join(F.broadcast(marks), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()  # bounded by ``most``
+
+
+def labelled_sample(stats: DataFrame, marks: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Statistics and quality of the marked ids."""
+    rows = stats.join(F.broadcast(marks), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()  # bounded as the marks are
     return rows[list(STATS)].to_numpy(np.float64), rows["y"].to_numpy(np.float64)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted of every document row."""
     stats = materialize(document_statistics(docs), "quality-stats")
-    x, y = labelled_sample(stats, labels)
+    x, y = labelled_sample(stats, marked(labels))
     trees = fit_trees(x, y)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,6 +204,17 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The document rows whose score reaches the threshold, with their own columns; rows without an id are kept."""
-    bad = score_documents(docs, labels, threshold).where("predicted = 0").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long") == F.col("__bad"), "left_anti")
+    """The document rows whose score reaches the threshold, with their own columns.
+
+    Texts are judged where they are read: no row is shuffled, and only the marked rows are read twice.
+    """
+    marks = materialize(marked(labels), "quality-marks")
+    sample = docs_only(docs).join(F.broadcast(marks.select("doc_id")), "doc_id")
+    trees = fit_trees(*labelled_sample(document_statistics(sample), marks))
+
+    def scores(texts: pd.Series) -> pd.Series:
+        rows = np.array([statistics(x or "") for x in texts], np.float64).reshape(-1, len(STATS))
+        return pd.Series(trees.score(rows))
+
+    score = F.pandas_udf(scores, "double")
+    return docs.where(score(F.coalesce("text", F.lit(""))) >= threshold)
