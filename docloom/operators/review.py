@@ -71,8 +71,8 @@ def conflicts(touches: DataFrame) -> DataFrame:
     return touches.withColumn("other", first).where("id <> other").select("page", "id", "other").distinct()
 
 
-def conflict_groups(edges: DataFrame) -> DataFrame:
-    """(page, id, root) of decisions joined by conflicts; a page's few decisions are united in one task."""
+def conflict_groups(edges: DataFrame, pages_a_group: int = 64) -> DataFrame:
+    """(page, id, root) of decisions joined by conflicts; a page's few decisions are united in one task, some pages at a time."""
     import pandas as pd
 
     def unite(p: pd.DataFrame) -> pd.DataFrame:
@@ -84,13 +84,12 @@ def conflict_groups(edges: DataFrame) -> DataFrame:
                 x = root[x]
             return x
 
-        for a, b in zip(p.id, p.other):
-            a, b = find(a), find(b)
+        for page, a, b in zip(p.page.tolist(), p.id.tolist(), p.other.tolist()):
+            a, b = find((page, a)), find((page, b))
             root[max(a, b)] = min(a, b)
-        ids = sorted(root)
-        return pd.DataFrame({"page": [p.page.iloc[0]] * len(ids), "id": ids, "root": [find(i) for i in ids]})
+        return pd.DataFrame([(page, i, find((page, i))[1]) for page, i in sorted(root)], columns=["page", "id", "root"])
 
-    return edges.groupBy("page").applyInPandas(unite, "page long, id long, root long")
+    return edges.groupBy(F.floor(F.col("page") / pages_a_group)).applyInPandas(unite, "page long, id long, root long")
 
 
 def arbitrated(decisions: DataFrame, groups: DataFrame, gap: float = 0.3) -> DataFrame:
@@ -133,9 +132,8 @@ def suspect_reasons(texts: DataFrame) -> DataFrame:
     from docloom.functions import text as T
 
     t = F.col("text")
-    norm = texts.withColumn("__n", T.spaceless(t))
-    again = norm.where(F.length("__n") >= 2).groupBy("doc_id", "__n").agg((F.countDistinct("page_no") >= 2).alias("__again"))
-    j = norm.join(again, ["doc_id", "__n"], "left")
+    same = Window.partitionBy("doc_id", "__n")
+    j = texts.withColumn("__n", T.spaceless(t)).withColumn("__again", (F.length("__n") >= 2) & (F.min("page_no").over(same) != F.max("page_no").over(same)))
     rules = {
         "empty_text": T.collapsed(t) == "", "ocr_noise": T.is_ocr_noise(t), "repeated_across_pages": F.coalesce("__again", F.lit(False)),
         "hanja_ocr_candidate": F.size(T.hanja_candidates(t)) > 0, "caption_like_body_text": T.looks_like_caption(t) & (F.col("label") == "text"),

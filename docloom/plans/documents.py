@@ -53,9 +53,9 @@ g AS (SELECT doc_id, norm FROM t WHERE length(norm) >= 2 GROUP BY ALL HAVING cou
 SELECT t.doc_id, t.self_ref, t.page_no FROM t SEMI JOIN g ON t.doc_id = g.doc_id AND t.norm = g.norm""")
 def repeated_across_pages(spark, sf_dir):
     """Texts that stand on two pages or more of a document."""
-    t = lines(spark, sf_dir).withColumn("norm", T.spaceless(F.col("text")))
-    g = t.where(F.length("norm") >= 2).groupBy("doc_id", "norm").agg(F.countDistinct("page_no").alias("n")).where("n >= 2")
-    return t.join(g, ["doc_id", "norm"], "left_semi").select("doc_id", "self_ref", "page_no")
+    same = Window.partitionBy("doc_id", "norm")
+    t = lines(spark, sf_dir).withColumn("norm", T.spaceless(F.col("text"))).where(F.length("norm") >= 2)
+    return t.select("doc_id", "self_ref", "page_no", (F.min("page_no").over(same) != F.max("page_no").over(same)).alias("again")).where("again").drop("again")
 
 
 @query(f"""WITH {I.ITEMS_SQL}, p AS (SELECT doc_id, pos, text AS a, lead(text) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM items),
