@@ -166,6 +166,24 @@ def test_recall_and_precision_of_items():
     assert hit / total >= 0.97
 
 
+@pytest.mark.parametrize("n", [15, 25, 60, 100, 200, 300])
+@pytest.mark.parametrize("kind", ["substitute", "delete", "insert"])
+def test_recall_at_the_limit(n, kind):
+    """At exactly a fifth of edits, whatever the item's size."""
+    r = random.Random(n)
+    vocab = [f"v{i}" for i in range(2000)]
+    some = lambda k: [r.choice(vocab) for _ in range(k)]
+    bench = [(i, some(n)) for i in range(max(30, 3000 // n))]
+    texts = []
+    for _, words in bench:
+        w = list(words)
+        for p in sorted(r.sample(range(n), n // 5), reverse=True):
+            w[p : p + (kind != "insert")] = [] if kind == "delete" else some(1)
+        texts.append(" ".join(some(30) + w + some(30)))
+    found = decontaminate.find_in_texts(decontaminate.Items([(i, " ".join(w)) for i, w in bench]), texts)
+    assert sum(i in {f[0] for f in x} for (i, _), x in zip(bench, found)) >= 0.97 * len(bench)
+
+
 def test_items_odd_rows(spark):
     bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa", 1), (2, None, 1), (3, "", 1), (None, "alpha beta", 1), (4, "lone", 1)], "item_id long, text string, doc_id long")
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "x ALPHA beta gamma delta epsilon zeta eta theta iota kappa y"), (4, "alpha beta gamma delta other zeta eta iota kappa"), (5, "a lone word"), (6, "word " * 100_000), (6, "a lone word")], "doc_id long, text string")
