@@ -1,8 +1,9 @@
 """A gated recurrent language model in numpy with class-factored output.
 
 Words are numbered by falling frequency and cut into ``CLASSES`` classes of like size; p(word) = p(class | state) *
-p(word | class, state). Training backpropagates through windows of ``WINDOW`` words whose first state is carried in
-from the ``CARRY`` words before. Scoring carries the state from window to window through the whole document.
+p(word | class, state). Training backpropagates through the consecutive windows of ``WINDOW`` words of whole documents,
+so that every word and every end is a target once; each window's first state is carried in from the document's start.
+Scoring carries the state from chunk to chunk of ``EVERY`` words through the whole document.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import numpy as np
 EMBED, HIDDEN, CLASSES, PER_CLASS = 16, 16, 64, 64
 VOCAB = CLASSES * PER_CLASS
 END, UNKNOWN = 0, 1
-WINDOW, CARRY, EVERY = 16, 8, 64
+WINDOW, EVERY = 16, 64
 BATCH = 256
 #: Documents scored side by side, and states whose outputs are taken at once.
 SCORED, ROWS = 512, 4096
@@ -90,14 +91,14 @@ class Gru:
         result[order] = out
         return result
 
-    def loss_and_grads(self, tokens: np.ndarray, first: int) -> tuple[float, dict[str, np.ndarray], int]:
+    def loss_and_grads(self, tokens: np.ndarray, first: int, start: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray], int]:
         """Of (batch, time + 1) tokens, -1 after a segment's end: summed loss of the targets from ``first`` on.
 
-        The steps before ``first`` only carry the state in.
+        The steps before ``first`` only carry the state in; ``start`` holds the first states, zeros if not given.
         """
         p, k = self.p, HIDDEN
         b, t = tokens.shape[0], tokens.shape[1] - 1
-        h = np.zeros((b, k), np.float32)
+        h = np.zeros((b, k), np.float32) if start is None else start
         states, caches = [], []
         for i in range(t):
             h, cache = self.step(h, np.maximum(tokens[:, i], 0))
@@ -148,9 +149,24 @@ class Gru:
             carry = dhi * z + dc @ p["u"].T
         return loss, g, len(y)
 
-    def train(self, segments: np.ndarray, rate: float) -> None:
-        """One Adagrad step on (batch, CARRY + WINDOW + 1) tokens."""
-        _, g, n = self.loss_and_grads(segments, CARRY)
+    def states(self, documents: list[np.ndarray], segments: np.ndarray) -> np.ndarray:
+        """The states that the segments of ``segments_of(documents)`` begin in, carried through each whole document."""
+        out = np.zeros((len(segments), HIDDEN), np.float32)
+        count = np.array([-(-len(d) // WINDOW) for d in documents], np.int64)
+        by_length = np.argsort(-count, kind="stable")
+        first, count = (np.cumsum(count) - count)[by_length], count[by_length]
+        h = out[: len(count)].copy()
+        for w in range(1, int(count[0]) if len(count) else 0):
+            live = int((count > w).sum())
+            h, rows = h[:live], first[:live] + w
+            for i in range(WINDOW):  # a segment that another one follows is full
+                h, _ = self.step(h, segments[rows - 1, i])
+            out[rows] = h
+        return out
+
+    def train(self, segments: np.ndarray, rate: float, start: np.ndarray | None = None) -> None:
+        """One Adagrad step on (batch, WINDOW + 1) tokens and the states they begin in."""
+        _, g, n = self.loss_and_grads(segments, 0, start)
         for name, x in g.items():
             x /= max(1, n)
             x *= 16.0
@@ -196,18 +212,13 @@ class Gru:
 
 
 def segments_of(documents: list[np.ndarray]) -> np.ndarray:
-    """Training segments: every EVERY words a window of WINDOW, with up to CARRY words and the word before it.
+    """Training segments: all consecutive windows of WINDOW words, each with the word before it, by document.
 
-    Rows are CARRY + WINDOW + 1 long. A document's first window has the end of the text before as its only history; the
-    steps before are the end, too.
+    Rows are WINDOW + 1 long, -1 after a document's end. Before a document's first word stands the end of the text before.
     """
-    width = CARRY + WINDOW + 1
-    rows = []
+    rows = [np.zeros((0, WINDOW + 1), np.int64)]
     for d in documents:
-        padded = np.concatenate([np.full(CARRY + 1, END), d])
-        for s in range(0, len(d), EVERY):
-            row = np.full(width, -1, np.int64)
-            part = padded[s : s + width]
-            row[: len(part)] = part
-            rows.append(row)
-    return np.array(rows, np.int64).reshape(-1, width)
+        row = np.full(-(-len(d) // WINDOW) * WINDOW + 1, -1, np.int64)
+        row[0], row[1 : len(d) + 1] = END, d
+        rows.append(np.concatenate([row[:-1].reshape(-1, WINDOW), row[WINDOW::WINDOW, None]], 1))
+    return np.concatenate(rows)

@@ -5,8 +5,8 @@
    and meet the documents in a join, so no vocabulary is cut off and no frequent word is shuffled.
 3. Words outside the recurrent model's vocabulary are the unknown word there. Which one it is, is given by a mixture of
    their counts and of a byte model of order three over all of them, so that every text has a proper probability.
-4. The recurrent model is started on a bounded sample on the driver, then trained in every task on windows of all the
-   task's training documents; the replicas' weights are averaged by their numbers of windows, up to ``FAN_IN`` in a group
+4. The recurrent model is started on a bounded sample on the driver, then trained in every task on all windows of all
+   the task's training documents, the state carried from window to window; the replicas' weights are averaged by their numbers of windows, up to ``FAN_IN`` in a group
    at a time.
 5. All documents are scored whole, the state carried from window to window.
 
@@ -36,6 +36,7 @@ HEAD, LONGEST = 200_000, 64
 MOST_COUNTED = 200_000
 #: Documents that the recurrent model is started on, at most, and the steps of that.
 START_DOCS, START_STEPS, START_RATE, RATE = 400, 200, 0.1, 0.03
+START_CARRIED = 50  # steps of the start after which states are carried anew
 FAN_IN = 32
 CONTEXTS, SYMBOLS = 1 << 14, 257  # 256: the word's end
 #: Of an unknown word's probability so much comes from its spelling, the rest from its share of the unknown words counted.
@@ -157,20 +158,21 @@ class Tables:
 def _train_batches(tables: Tables):
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, windows = gru.Gru(tables.weights), 0
-        held = np.zeros((0, gru.CARRY + gru.WINDOW + 1), np.int64)
+        held, states = np.zeros((0, gru.WINDOW + 1), np.int64), np.zeros((0, gru.HIDDEN), np.float32)
         order = np.random.default_rng(3)
         for b in it:
             for at in range(0, b.num_rows, 1024):
-                made = gru.segments_of([tables.numbers(t) for t in b.column(0).slice(at, 1024).to_pylist()])
-                held = np.concatenate([held, made])
-                order.shuffle(held)
+                docs = [tables.numbers(t) for t in b.column(0).slice(at, 1024).to_pylist()]
+                made = gru.segments_of(docs)
+                mixed = order.permutation(len(held) + len(made))
+                held, states = np.concatenate([held, made])[mixed], np.concatenate([states, model.states(docs, made)])[mixed]
                 full = len(held) // gru.BATCH * gru.BATCH
                 for i in range(0, full, gru.BATCH):
-                    model.train(held[i : i + gru.BATCH], RATE)
+                    model.train(held[i : i + gru.BATCH], RATE, states[i : i + gru.BATCH])
                 windows += full
-                held = held[full:]
+                held, states = held[full:], states[full:]
         if len(held):
-            model.train(held, RATE * len(held) / gru.BATCH)
+            model.train(held, RATE * len(held) / gru.BATCH, states)
             windows += len(held)
         if windows:
             yield pa.RecordBatch.from_arrays([pa.array([windows], pa.int64()), pa.array([model.flat().tobytes()], pa.binary())], ["n", "weights"])
@@ -256,10 +258,14 @@ def corpus_tables(training: DataFrame, counts: DataFrame) -> Tables:
     model.start_from_counts(first)
     ids = [r[0] for r in training.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(START_DOCS).collect()]
     texts = sorted(r[0] for r in training.where(F.col("doc_id").isin(ids)).select("text").limit(2 * START_DOCS).collect())
-    start = gru.segments_of([tables.numbers(t) for t in texts])
+    sample = [tables.numbers(t) for t in texts]
+    start = gru.segments_of(sample)
     order = np.random.default_rng(2)
-    for _ in range(START_STEPS if len(start) else 0):
-        model.train(start[order.integers(0, len(start), min(len(start), gru.BATCH))], START_RATE)
+    for step in range(START_STEPS if len(start) else 0):
+        if step % START_CARRIED == 0:
+            states = model.states(sample, start)
+        at = order.integers(0, len(start), min(len(start), gru.BATCH))
+        model.train(start[at], START_RATE, states[at])
     tables.weights = model.flat()
     if ends:
         shared = spark.sparkContext.broadcast(tables)

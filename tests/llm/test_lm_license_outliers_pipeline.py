@@ -50,6 +50,25 @@ def test_state_is_carried_through_the_whole_document():
     assert every == pytest.approx([1, 1], rel=1e-4)  # a distribution
 
 
+def test_every_word_is_a_target_once_with_its_state():
+    r = np.random.default_rng(7)
+    docs = [np.append(r.integers(1, gru.VOCAB, n), gru.END) for n in (0, 15, 16, 64, 7, 200)]
+    seg = gru.segments_of(docs)
+    targets = seg[:, -gru.WINDOW :]
+    assert np.array_equal(targets[targets >= 0], np.concatenate(docs))
+    g = gru.Gru(seed=4)
+    states, row = g.states(docs, seg), 0
+    for d in docs:
+        h, before = np.zeros((1, gru.HIDDEN), np.float32), gru.END
+        for i, w in enumerate(d):
+            if i % gru.WINDOW == 0:
+                assert np.allclose(states[row], h[0], atol=1e-5) and seg[row, 0] == before
+                row += 1
+            h, _ = g.step(h, np.array([before]))
+            before = w
+    assert row == len(seg)
+
+
 def test_training_lowers_the_loss():
     g = gru.Gru(seed=3)
     seq = np.tile([2, 70, 3, 900], 100)
