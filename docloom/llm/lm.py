@@ -24,7 +24,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm import gru
@@ -275,6 +275,14 @@ def corpus_tables(training: DataFrame, counts: DataFrame) -> Tables:
     return tables
 
 
+def unknown_log10(spelled: Column, c: Column, unknown: int) -> Column:
+    """log10 of an unknown word's probability by its spelling's log10 and its count, however small."""
+    by_letters = F.lit(math.log10(SPELLED)) + spelled
+    by_count = F.log10(F.lit((1 - SPELLED) / unknown) * c)
+    both = F.greatest(by_letters, by_count) + F.log1p(F.pow(F.lit(10.0), -F.abs(by_letters - by_count))) / math.log(10)
+    return F.when(c > 0, both).otherwise(by_letters)
+
+
 def score_corpus(docs: DataFrame, held_out_fold: int = HELD_OUT_FOLD) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document row."""
     docs = docs_only(docs)
@@ -287,7 +295,7 @@ def score_corpus(docs: DataFrame, held_out_fold: int = HELD_OUT_FOLD) -> DataFra
     found = rare.join(counts, "word", "left")
     below = tables.below or 1.0
     c = F.coalesce("c", F.lit(0))
-    inside = F.log10(F.lit(SPELLED) * F.pow(F.lit(10.0), F.greatest("spelled", F.lit(-290.0))) + F.lit((1 - SPELLED) / tables.unknown) * c)
+    inside = unknown_log10(F.col("spelled"), c, tables.unknown)
     sums = found.groupBy("row").agg(
         F.sum(F.col("n") * F.log10((c + 0.5) / F.lit(below))).alias("rare_base"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("rare_known"),
         F.sum(F.col("n") * inside).alias("rare_score"),

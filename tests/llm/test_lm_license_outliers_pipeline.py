@@ -8,6 +8,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from docloom.llm import gru, licenses, lm, outliers, registry
@@ -115,6 +116,22 @@ def test_spelling_is_a_distribution():
     assert np.allclose((10.0 ** s.log.astype(float)).sum(1), 1, atol=1e-5)
 
 
+def test_long_unknown_words_cost_all_their_letters(spark):
+    rows = [(-5.0, 0), (-5.0, 3), (-290.0, 0), (-1000.0, 0), (-3e6, 0), (-1000.0, 3), (-1.0, 1)]
+    got = spark.createDataFrame(rows, "spelled double, c long").select(lm.unknown_log10(F.col("spelled"), F.col("c"), 100).alias("x"), "spelled", "c").collect()
+    for r in got:
+        small = r["spelled"] < -200
+        want = math.log10(lm.SPELLED) + r["spelled"] if r["c"] == 0 else math.log10((0 if small else lm.SPELLED * 10 ** r["spelled"]) + (1 - lm.SPELLED) * r["c"] / 100)
+        assert r["x"] == pytest.approx(want, rel=1e-12)
+
+
+def test_longest_word_scores_by_its_length(spark, monkeypatch):
+    monkeypatch.setattr(lm, "START_STEPS", 3)
+    docs = spark.createDataFrame([(i, "some plain words here") for i in range(40)] + [(None, "q" * 1000), (None, "q" * 100_000)], "doc_id long, text string")
+    short, long = sorted((r["score"] for r in lm.score_corpus(docs).where("doc_id is null").collect()), reverse=True)
+    assert long < 50 * short
+
+
 def test_averages_in_groups(spark):
     flat = [np.full(4, float(i), np.float32) for i in range(100)]
     df = spark.createDataFrame([(i + 1, bytearray(w.tobytes())) for i, w in enumerate(flat)], "n long, weights binary")
