@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import os
 import uuid
 import zlib
 
@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 #: A word is a run of characters other than these.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
-
-_own_dir: str | None = None
+#: Bits of the map that tells rows which can't be among some ids from those that may; 64 to a row.
+MAP_BITS = 1 << 22
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,14 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
-    global _own_dir
+    """The folder that all executors share, ``spark.checkpoint.dir``.
+
+    Where it is unset a master that runs in this process alone, as tests do, gets one of its own; any other has to name it.
+    """
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
-    if _own_dir is None:
-        _own_dir = tempfile.mkdtemp(prefix="docloom-")
-    return f"file://{_own_dir}"
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"file:///tmp/docloom-{os.getuid()}-{os.getpid()}"
 
 
 def new_dir(spark: SparkSession, name: str) -> str:
@@ -49,6 +51,29 @@ def drop_dir(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+class Scratch:
+    """Tables of the shared folder that are deleted when the work that needs them is done."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = new_dir(self.spark, name)
+        df.write.option("compression", "zstd").parquet(path)
+        made = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(made)] = (made, path)
+        return made
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            if (found := self.paths.pop(id(t), None)) is not None:
+                drop_dir(self.spark, found[1])
+
+    def drop_all(self) -> None:
+        self.drop(*[t for t, _ in self.paths.values()])
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 5."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
@@ -63,6 +88,21 @@ def docs_only(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def may_be_among(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``docs`` whose doc_id may be the one column of ``ids``, and those whose can't, told apart without a shuffle of ``docs``.
+
+    A bit map of the hashed ids is broadcast: MAP_BITS bits in rows of 64, whatever the number of ids. The first part
+    still has to be joined.
+    """
+    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS))
+    hashed = ids.select(cell(F.col(ids.columns[0]).cast("long")).alias("c"))
+    words = hashed.groupBy(F.shiftright("c", 6).alias("__word")).agg(F.expr("bit_or(shiftleft(1L, cast(c & 63 as int)))").alias("__bits"))
+    at = cell(F.col("doc_id").cast("long"))
+    tagged = docs.join(F.broadcast(words), F.shiftright(at, 6) == F.col("__word"), "left")
+    hit = F.coalesce(F.call_function("shiftrightunsigned", F.col("__bits"), at.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    return tagged.where(hit).select(*docs.columns), tagged.where(~hit).select(*docs.columns)
+
+
 def spans_text(spans: list[tuple[int, int, int]], kinds: tuple[str, ...]) -> str:
     """(start, kind's place, end) triples as ``kind:start:end``, by start, then kind."""
     return ",".join(f"{kinds[k]}:{s}:{e}" for s, k, e in sorted(spans))

@@ -1,7 +1,7 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
 Every step is a minimum per vertex and a join back, so a vertex with many neighbours is summed before it is shuffled
-and its join can be split; what a step leaves is written to the shared folder.
+and its join can be split; what a step leaves is written to the shared folder, and deleted after the next step.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import materialize
+from docloom.llm.common import Scratch
 
 
 def _is_flat(edges: DataFrame) -> bool:
@@ -34,13 +34,20 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return joined.unionAll(least.select("u", F.col("m").alias("v")))
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(vertex, root) of every vertex of ``edges`` (u, v: long) that isn't its component's least; the least is the root.
 
-    Loops, repeated edges and either direction are allowed; a vertex that no row or only loops name has no row.
+    Loops, repeated edges and either direction are allowed; a vertex that no row or only loops name has no row. The
+    result is a table of ``scratch``.
     """
+    scratch = scratch or Scratch(edges.sparkSession)
     now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    last = None
     while True:
-        now = materialize(_small_star(_large_star(now)).distinct(), "cc")
+        after = scratch.write(_small_star(_large_star(now)).distinct().toDF("vertex", "root"), "cc")
+        now = after.toDF("u", "v")
+        if last is not None:
+            scratch.drop(last)
         if _is_flat(now):
-            return now.select(F.col("u").alias("vertex"), F.col("v").alias("root"))
+            return after
+        last = after

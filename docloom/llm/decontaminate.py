@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import docs_only, materialize
-from docloom.llm.neardup import _K1, _mix, _words
+from docloom.llm.words import K1, grams, hashed, mix, parts
 
 EDITS = 5  # one edit per so many words
 WALKS, PER_WALK, SAMPLES = 8, 10, 3
@@ -44,8 +44,7 @@ _BITS, _ALL = 20, (1 << 64) - 1
 
 
 def word_hashes(text: str) -> np.ndarray:
-    words = text.encode().lower().split()
-    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    return hashed(pa.array([text], pa.string()))[0]
 
 
 def seed_width(n: int) -> int:
@@ -53,16 +52,6 @@ def seed_width(n: int) -> int:
     return min(SEED_WORDS, -(-(n - d) // (d + 1)))
 
 
-def _grams(h: np.ndarray, width: int) -> np.ndarray:
-    n = len(h) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    x = np.full(n, width, np.uint64)
-    for i in range(width):
-        x = _mix(x * _K1 + h[i : i + n])
-    return x
-
-
 def _sample_places() -> np.ndarray:
     """For each table the sampled places, as parts of the walk's expected length."""
     return np.sort(np.random.default_rng(11).random((TABLES, SAMPLES)), 1)
@@ -81,12 +70,12 @@ def walk_keys(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         for step in range(2 * most):
             word = padded[rows, at]
             written[:, step] = word
-            bit = _mix(word + np.uint64(((walk << 20) + step + 1) * int(_K1) & _ALL)) & np.uint64(1)
+            bit = mix(word + np.uint64(((walk << 20) + step + 1) * int(K1) & _ALL)) & np.uint64(1)
             at = np.minimum(at + bit.astype(np.int64), most)
         for t in range(walk * PER_WALK, (walk + 1) * PER_WALK):
             key = np.full(count, t + 1, np.uint64) + (sizes.astype(np.uint64) << np.uint64(20))
             for s in range(SAMPLES):
-                key = _mix(key * _K1 + written[rows, places[:, t, s]])
+                key = mix(key * K1 + written[rows, places[:, t, s]])
             keys[:, t] = key
     return keys
 
@@ -126,7 +115,7 @@ class Items:
         self.widths = sorted({seed_width(n) for n in self.sizes.tolist()})
         seeds: list[tuple[int, int, int]] = []
         for k, h in enumerate(self.parts):
-            seeds += [(int(g), k, o) for o, g in enumerate(_grams(h, seed_width(len(h))))]
+            seeds += [(int(g), k, o) for o, g in enumerate(grams(h, seed_width(len(h))))]
         seeds.sort()
         self.seed = np.array([s[0] for s in seeds], np.uint64)
         self.seed_part = np.array([s[1] for s in seeds], np.int64)
@@ -146,7 +135,7 @@ class Items:
         """Distinct (start, size) of the windows that some seed aligns with a segment."""
         found = []
         for width in self.widths:
-            grams = _grams(h, width)
+            grams = grams(h, width)
             at = np.nonzero(self.maybe[(grams & np.uint64((1 << _BITS) - 1)).astype(np.int64)])[0]
             if not len(at):
                 continue
@@ -178,10 +167,12 @@ def _stacked(words: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def find_in_texts(items: Items, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
+def find_in_texts(items: Items, texts: pa.Array | list[str | None]) -> list[list[tuple[int, int, int, int]]]:
     """For each text its (item id, distance, first word, words), by item."""
-    hashed = [word_hashes(t) if t else np.zeros(0, np.uint64) for t in texts]
-    spans = [items.windows(h) if len(h) else np.zeros((0, 2), np.int64) for h in hashed]
+    texts = pa.array([t or "" for t in texts], pa.string()) if isinstance(texts, list) else texts
+    every, first = hashed(texts)
+    words = [every[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+    spans = [items.windows(h) if len(h) else np.zeros((0, 2), np.int64) for h in words]
     owner = np.repeat(np.arange(len(texts)), [len(s) for s in spans])
     flat = np.concatenate(spans) if spans else np.zeros((0, 2), np.int64)
     best: list[dict[int, tuple[int, int, int]]] = [{} for _ in texts]
@@ -189,7 +180,7 @@ def find_in_texts(items: Items, texts: list[str | None]) -> list[list[tuple[int,
     order = np.argsort(flat[:, 1], kind="stable")  # windows of like size are embedded together
     for at in range(0, len(order), MOST_WINDOWS):
         part = order[at : at + MOST_WINDOWS]
-        cut = [hashed[owner[k]][flat[k, 0] : flat[k, 0] + flat[k, 1]] for k in part]
+        cut = [words[owner[k]][flat[k, 0] : flat[k, 0] + flat[k, 1]] for k in part]
         win, segment = items.candidates(cut, flat[part, 1])
         for w, g in zip(win.tolist(), segment.tolist()):
             k, i = part[w], int(items.item[g])
@@ -200,8 +191,8 @@ def find_in_texts(items: Items, texts: list[str | None]) -> list[list[tuple[int,
                 continue
             tried.add(near)
             low = max(0, start - 2 * d)
-            stretch = hashed[doc][low : max(0, start + size + 2 * d)]
-            if start >= 0 and np.array_equal(hashed[doc][start : start + size], items.words[i]):
+            stretch = words[doc][low : max(0, start + size + 2 * d)]
+            if start >= 0 and np.array_equal(words[doc][start : start + size], items.words[i]):
                 found = (0, start, size)
             elif np.isin(items.words[i], stretch).sum() < size - d:  # all words but d stand there in any passage
                 continue
@@ -230,10 +221,9 @@ def find_items(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> Dat
 
         def batches(it: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for b in it:
-                for at in range(0, b.num_rows, 256):
-                    part = b.slice(at, 256)
-                    found = find_in_texts(items, part.column(1).to_pylist())
-                    rows = [(d, *f) for d, fs in zip(part.column(0).to_pylist(), found) for f in fs]
+                for at, texts in parts(b.column(1)):
+                    found = find_in_texts(items, texts)
+                    rows = [(d, *f) for d, fs in zip(b.column(0).slice(at, len(texts)).to_pylist(), found) for f in fs]
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "item_id", "distance", "start_word", "n_words"])
 

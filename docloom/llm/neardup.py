@@ -1,18 +1,22 @@
 """Near duplicates: many universal hash minima with banding, signature verification, star-contracted components.
 
-1. One pass gives each text's set of word shingles as 64-bit hashes, its size, a 128-bit digest of the set, the minima
-   of ``BANDS * ROWS`` universal hash functions (16 bits of each kept), and a hash per band.
-2. Rows of equal sets are one class, found by grouping on the digest; only one row a class goes on.
-3. Classes that share a band's hash are in one bucket. Buckets aren't turned into all their pairs: in each bucket of the
-   first bands every member is paired with the most central one, the one with the most company over these buckets.
-4. Pairs are tested by size and signature, then on the full sets, built again from the texts that take part.
-5. The links' components label the rows. Over all bands, each bucket is summed by label; where several labels meet, two
-   members by lot of each are paired with two of the largest, again and again as long as that finds links. Then all
-   members of a bucket that are still apart are compared. No link between members of a bucket is lost that way, and
-   members already joined aren't compared.
-
-With 46 bands of 7 a pair at the threshold of 0.8 shares no bucket once in 50,000 cases. A pair over the threshold
-passes the signature test but for six standard deviations.
+1. One pass gives each text's set of word shingles as 64-bit hashes, its size, a 128-bit digest of the set, a hash for
+   each band of the minima of ``BANDS * ROWS`` universal hash functions, and a signature: four bits of each minimum.
+2. Rows of equal sets are one class, found by grouping on the digest; only one row a class goes on. Classes that share a
+   band's hash are in one bucket. Buckets of one class go at once, which leaves a small part of the bands' rows, and
+   each turn below leaves fewer: a bucket goes when its members have one label.
+3. Buckets aren't turned into all their pairs. First every member is paired with the bucket's most central one, the one
+   with the most company over its buckets. Then buckets are summed by label, and of each label two members by lot are
+   paired with two of the bucket's largest label, as long as that finds links for a hundredth of what it tries.
+4. Members that are still apart from their bucket's largest label are compared with all others by signature, inside a
+   join that gives each pair once, in the first bucket it shares, and only if its sizes and signatures allow the
+   threshold: likely pairs first, the rest once these have joined what they join.
+5. All pairs are confirmed on the full sets, which are built once. Pairs meet their sets in blocks of ``BLOCK_ROWS`` by
+   ``BLOCK_ROWS`` rows of one neighbourhood, so a set is moved once a block, not once a pair. The links' components, by
+   alternating large-star and small-star, label the rows.
+
+With 46 bands of 7 a pair at the threshold of 0.8 shares no bucket once in 50,000 cases; its signature falls below the
+test, which is ``SIGMAS`` standard deviations below the threshold, once in 30,000.
 
 Defined results: a null, empty or blank text has an empty set and is linked with nothing; a text of fewer words than
 a shingle has its whole sequence as one shingle; repeated rows are members of one class, each reported; a row without
@@ -29,53 +33,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import docs_only, materialize
+from docloom.llm.common import Scratch, docs_only, materialize, may_be_among
 from docloom.llm.components import connected_components
+from docloom.llm.words import K1, K3, mix, parts, shingle_sets
 
 BANDS, ROWS = 46, 7
-#: Bands that the first round looks at.
-FIRST_BANDS = 5
 HASHES = BANDS * ROWS
 THRESHOLD = (80, 100)
-#: The signature test lets pass what is this much below the threshold: six standard deviations of the estimate.
-SLACK = 6 * (0.8 * 0.2 / HASHES) ** 0.5
-MOST_KEPT, CHUNK = 400_000, 2048
-_K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _K2
-    x = (x ^ (x >> np.uint64(27))) * _K3
-    return x ^ (x >> np.uint64(31))
-
-
-class WordHashes(dict):
-    """64-bit hashes of words; a worker process remembers up to MOST_KEPT."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < MOST_KEPT and len(word) < 64:
-            self[word] = h
-        return h
-
-
-_words = WordHashes()
-
-
-def shingle_set(text: str, width: int) -> np.ndarray:
-    """Sorted distinct hashes of the runs of ``width`` words; letters A-Z are lower-cased."""
-    words = text.encode().lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    k = min(width, len(h))
-    n = len(h) - k + 1
-    x = np.full(n, k, np.uint64)
-    for i in range(k):
-        x = _mix(x * _K1 + h[i : i + n])
-    return np.unique(x)
+BITS = 4  # of each minimum in the signature
+SIGMAS, LIKELY = 4.0, 1.5
+BLOCK_ROWS = 256
+CHUNK = 128
+#: Lots go on while they link at least one of so many tried pairs.
+WORTH = 100
 
 
 def universal(count: int = HASHES) -> tuple[np.ndarray, np.ndarray]:
@@ -88,184 +58,269 @@ def minima(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     x = (shingles >> np.uint64(32))[:, None]
     best = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(x), CHUNK):
-        best = np.minimum(best, (x[i : i + CHUNK] * a + b).min(0))
+        y = x[i : i + CHUNK] * a
+        y += b
+        np.minimum(best, y.min(0), out=best)
     return best >> np.uint64(32)
 
 
 def band_hashes(mins: np.ndarray) -> np.ndarray:
-    rows = mins.reshape(BANDS, ROWS)
-    h = np.arange(1, BANDS + 1, dtype=np.uint64) * _K1
+    """(texts, BANDS) hashes of (texts, HASHES) minima."""
+    rows = mins.reshape(len(mins), BANDS, ROWS)
+    h = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * K1, rows.shape[:2])
     for i in range(ROWS):
-        h = _mix(h ^ rows[:, i] * _K3)
-    return h.astype(np.int64)
+        h = mix(h ^ rows[:, :, i] * K3)
+    return h.view(np.int64)
+
+
+def packed(mins: np.ndarray) -> np.ndarray:
+    """(texts, longs) signatures: the last BITS bits of each minimum, side by side; what is left over is zero."""
+    each = 64 // BITS
+    low = np.zeros((len(mins), -(-HASHES // each) * each), np.uint64)
+    low[:, :HASHES] = mins & np.uint64((1 << BITS) - 1)
+    return np.bitwise_or.reduce(low.reshape(len(mins), low.shape[1] // each, each) << (np.arange(each, dtype=np.uint64) * np.uint64(BITS)), 2).view(np.int64)
+
+
+def least_agreeing(threshold: tuple[int, int], sigmas: float) -> int:
+    """So many of the signature's entries agree in a pair at the threshold, less some standard deviations."""
+    j = threshold[0] / threshold[1]
+    p = j + (1 - j) / (1 << BITS)
+    return int(HASHES * p - sigmas * (HASHES * p * (1 - p)) ** 0.5)
+
+
+def _agreeing(x: Column, y: Column) -> Column:
+    """How many entries of two signatures agree."""
+
+    def differ(a: Column, b: Column) -> Column:
+        z = a.bitwiseXOR(b)
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 1))
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 2))
+        return F.bit_count(z.bitwiseAND(F.lit(0x1111111111111111)))
+
+    return F.lit(HASHES) - F.aggregate(F.zip_with(x, y, differ), F.lit(0), lambda s, n: s + n)
+
+
+def _sized(x: Column, y: Column, threshold: tuple[int, int]) -> Column:
+    return F.lit(threshold[1]) * F.least(x, y) >= F.lit(threshold[0]) * F.greatest(x, y)
 
 
-def _digest(s: np.ndarray) -> bytes:
-    import xxhash
+def _lists(values: np.ndarray, some: np.ndarray) -> pa.Array:
+    """A list a text, null where ``some`` is false; the values are those of the other texts."""
+    width = values.shape[1]
+    offsets = np.concatenate([[0], np.cumsum(some)]).astype(np.int32) * width
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.ravel()), mask=pa.array(~some))
 
-    return xxhash.xxh3_128_digest(s.tobytes())
+
+SIGNED = "doc_id long, text_hash long, size long, key binary, bands array<long>, sketch array<long>"
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, size and digest of the shingle set, band hashes, 16 bits of each minimum, row number."""
+    """doc_id, hash of the text, size and digest of the shingle set, band hashes, signature, row number."""
     a, b = universal()
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for batch in it:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                size, key, bands, sig = [], [], [], []
-                for text in part.column(1).to_pylist():
-                    s = shingle_set(text, width)
-                    m = minima(s, a, b) if len(s) else None
-                    size.append(len(s))
-                    key.append(_digest(s))
-                    bands.append(band_hashes(m) if len(s) else None)
-                    sig.append((m & np.uint64(0xFFFF)).astype("<u2").tobytes() if len(s) else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary())], ["doc_id", "size", "key", "bands", "sig"])
-
-    made = docs_only(docs).mapInArrow(batches, "doc_id long, size long, key binary, bands array<long>, sig binary")
+            for at, texts in parts(batch.column(1)):
+                sets = shingle_sets(texts, width)
+                some = np.array([len(s) > 0 for s in sets])
+                mins = np.array([minima(s, a, b) for s in sets if len(s)], np.uint64).reshape(-1, HASHES)
+                keys = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
+                cols = [batch.column(0).slice(at, len(texts)), batch.column(2).slice(at, len(texts)), pa.array([len(s) for s in sets], pa.int64()), keys]
+                yield pa.RecordBatch.from_arrays([*cols, _lists(band_hashes(mins), some), _lists(packed(mins), some)], ["doc_id", "text_hash", "size", "key", "bands", "sketch"])
+
+    made = docs_only(docs).withColumn("text_hash", F.xxhash64("text")).mapInArrow(batches, SIGNED)
     return made.withColumn("row", F.monotonically_increasing_id())
 
 
-def _alike(pairs: DataFrame, rows: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Of pairs (a, b) those whose sizes and signatures allow the threshold."""
-    num, den = threshold
-    least = num / den - SLACK
+def _members(filled: DataFrame, classes: DataFrame) -> DataFrame:
+    """(band, row) of the classes that share a bucket with another class."""
+    each = filled.select("row", F.xxhash64("key").alias("kind"), F.explode("bands").alias("band"))
+    shared = each.groupBy("band").agg(F.min("kind").alias("lo"), F.max("kind").alias("hi")).where("lo <> hi").select("band")
+    return each.select("band", "row").join(shared, "band", "left_semi").join(classes.select(F.col("rep").alias("row")), "row", "left_semi").select("band", "row")
 
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            x = np.frombuffer(b"".join(b.column(2).to_pylist()), "<u2").reshape(-1, HASHES)
-            y = np.frombuffer(b"".join(b.column(3).to_pylist()), "<u2").reshape(-1, HASHES)
-            yield b.select(["a", "b"]).filter(pa.array((x == y).mean(1) >= least))
 
-    side = lambda n: rows.select(F.col("row").alias(n), F.col("size").alias(f"size_{n}"), F.col("sig").alias(f"sig_{n}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.lit(den) * F.least("size_a", "size_b") >= F.lit(num) * F.greatest("size_a", "size_b"))
-    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(batches, "a long, b long")
-
-
-def _sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(row, shingles) of the wanted rows, built from the texts again and matched by the set's digest."""
+def _sets(docs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+    """(row, shingles) of rows (row, doc_id, text_hash), built from the texts again."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for b in it:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
-                sets = [shingle_set(t, width) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "shingles"])
+            keep = []
+            for r in b.column(0).to_pylist():  # repeated rows come one after the other
+                keep.append(r != last)
+                last = r
+            b = b.filter(pa.array(keep, pa.bool_()))
+            for at, texts in parts(b.column(1)):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), pa.array([s.tobytes() for s in shingle_sets(texts, width)], pa.binary())], ["row", "shingles"])
 
-    chosen = materialize(rows.join(wanted, "row", "left_semi").select("row", "doc_id", "key"), "near-wanted")
-    ids = chosen.select(F.col("doc_id").alias("id"))
-    texts = docs_only(docs).join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    found = texts.mapInArrow(batches, "key binary, shingles binary")
-    return chosen.select("row", "key").join(found, "key").select("row", "shingles").dropDuplicates(["row"])
+    ids = rows.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("h"), "row")
+    texts = may_be_among(docs_only(docs), rows.select("doc_id"))[0].withColumn("text_hash", F.xxhash64("text"))
+    return texts.join(ids, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("h"))).select("row", "text").mapInArrow(batches, "row long, shingles binary")
 
 
-def verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, width: int, threshold: tuple[int, int]) -> DataFrame:
-    """The pairs (u, v) whose full sets reach the threshold."""
+def confirmed(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Of distinct pairs (a, b, home) the links (u, v), whose full sets reach the threshold.
+
+    Rows of one home are dealt to blocks; the pairs of two blocks meet the sets of their rows, each moved once.
+    """
     num, den = threshold
-    alike = materialize(_alike(pairs, rows, threshold), "near-alike")
-    wanted = alike.select(F.col("a").alias("row")).unionAll(alike.select(F.col("b").alias("row")))
-    sets = materialize(_sets(docs, rows, wanted, width), "near-sets")
 
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            keep = []
-            for p, q in zip(b.column(2), b.column(3)):
-                x, y = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                keep.append(den * both >= num * (len(x) + len(y) - both))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_())).rename_columns(["u", "v"])
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = {r: np.frombuffer(s.as_buffer(), np.uint64) for r, s in zip(right.column("row").to_pylist(), right.column("shingles"))}
+        u, v = [], []
+        for a, b in zip(left.column("a").to_pylist(), left.column("b").to_pylist()):
+            x, y = found[a], found[b]
+            if len(x) > len(y):
+                x, y = y, x
+            both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+            if den * both >= num * (len(x) + len(y) - both):
+                u.append(a)
+                v.append(b)
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    sizes = pairs.groupBy("home").agg((F.approx_count_distinct("a") + F.approx_count_distinct("b")).alias("n"))
+    blocks = F.floor(F.col("n") / BLOCK_ROWS) + 1
+    block = lambda c: F.pmod(F.xxhash64(c), blocks)
+    dealt = pairs.join(sizes, "home").select("home", block("a").alias("ba"), block("b").alias("bb"), "a", "b")
+    needed = dealt.select("home", "ba", "bb", F.explode(F.array("a", "b")).alias("row")).distinct().join(sets, "row")
+    needed = needed.select(F.col("home").alias("of"), F.col("ba").alias("na"), F.col("bb").alias("nb"), "row", "shingles")
+    return dealt.groupBy("home", "ba", "bb").cogroup(needed.groupBy("of", "na", "nb")).applyInArrow(compare, "u long, v long")
+
+
+def _pair(a: Column, b: Column, home: Column) -> Column:
+    return F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), home.alias("home"))
+
+
+def _likely(pairs: DataFrame, rows: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Of pairs (a, b, home) those whose sizes and signatures allow the threshold, each once."""
+    side = lambda n: rows.select(F.col("row").alias(n), F.col("size").alias(f"size_{n}"), F.col("sketch").alias(f"sketch_{n}"))
+    both = pairs.groupBy("a", "b").agg(F.min("home").alias("home")).join(side("a"), "a").join(side("b"), "b")
+    allowed = _sized(F.col("size_a"), F.col("size_b"), threshold) & (_agreeing(F.col("sketch_a"), F.col("sketch_b")) >= least_agreeing(threshold, SIGMAS))
+    return both.where(allowed).select("a", "b", "home")
+
+
+def _central_pairs(members: DataFrame) -> DataFrame:
+    """Each member of a bucket with the most central one, that with the most company over all its buckets."""
+    counted = members.join(members.groupBy("band").agg(F.count("*").alias("n")), "band")
+    central = counted.join(counted.groupBy("row").agg(F.sum("n").alias("centre")), "row")
+    hubs = central.groupBy("band").agg(F.max_by("row", F.struct("centre", -F.col("row"))).alias("hub"))
+    return members.join(hubs, "band").where("row <> hub").select(_pair(F.col("row"), F.col("hub"), F.col("hub")).alias("p")).select("p.*")
+
 
-    side = lambda n: sets.select(F.col("row").alias(n), F.col("shingles").alias(f"s_{n}"))
-    return materialize(alike.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b").mapInArrow(batches, "u long, v long"), "near-links")
+def _labelled(members: DataFrame, roots: DataFrame) -> DataFrame:
+    return members.join(roots, F.col("row") == F.col("vertex"), "left").select("band", "row", F.coalesce("root", "row").alias("label"))
 
 
-def _met(rows: DataFrame, turn: int) -> DataFrame:
-    """Of rows (row, label, bands) the buckets of several labels: each label's number of members and two of them by lot, and those of the largest.
+def _met(labelled: DataFrame, turn: int) -> DataFrame:
+    """(band, label, r0, r1, main) of the buckets of several labels: of each label two members by lot, and those of the largest.
 
     Members are summed by bucket and label, never joined; the lot falls anew in each bucket and turn.
     """
-    e = rows.select("row", "label", F.explode("bands").alias("band"))
     lot = lambda n: F.min_by("row", F.xxhash64("row", "band", F.lit(2 * turn + n)))
-    labels = e.groupBy("band", "label").agg(F.count("*").alias("m"), lot(0).alias("r0"), lot(1).alias("r1"))
-    bucket = Window.partitionBy("band")
-    main = F.first(F.struct("label", "r0", "r1")).over(bucket.orderBy(F.desc("m"), "label"))
-    return labels.withColumn("labels", F.count("*").over(bucket)).withColumn("main", main).where("labels > 1").drop("labels")
+    labels = labelled.groupBy("band", "label").agg(F.count("*").alias("m"), lot(0).alias("r0"), lot(1).alias("r1"))
+    mains = labels.groupBy("band").agg(F.count("*").alias("labels"), F.max_by(F.struct("label", "r0", "r1"), F.struct("m", -F.col("label"))).alias("main"))
+    return labels.join(mains.where("labels > 1").select("band", "main"), "band").select("band", "label", "r0", "r1", "main")
 
 
-def _pairs(a: Column, b: Column) -> Column:
-    return F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+def _lots(met: DataFrame) -> DataFrame:
+    home = F.col("main.label")
+    each = F.array(_pair(F.col("r0"), F.col("main.r0"), home), _pair(F.col("r1"), F.col("main.r1"), home))
+    return met.where(F.col("label") != home).select(F.explode(each).alias("p")).select("p.*")
 
 
-def _first_pairs(rows: DataFrame) -> DataFrame:
-    """Each member of a bucket of the first bands with the most central one, that with the most company over these bands."""
-    e = rows.select("row", F.explode(F.slice("bands", 1, FIRST_BANDS)).alias("band"))
-    company = e.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    members = materialize(e.join(company, "band"), "near-members")
-    central = members.join(members.groupBy("row").agg(F.sum("n").alias("centre")), "row")
-    hubs = central.groupBy("band").agg(F.max_by("row", F.struct("centre", -F.col("row"))).alias("hub"))
-    return members.join(hubs, "band").where("row <> hub").select(_pairs(F.col("row"), F.col("hub")).alias("p")).select("p.a", "p.b").distinct()
+def _apart(labelled: DataFrame, met: DataFrame, rows: DataFrame, threshold: tuple[int, int], sigmas: float) -> DataFrame:
+    """All pairs (a, b, home) of a bucket with different labels that sizes and signatures allow, in their first bucket."""
+    mains = met.where(F.col("label") == F.col("main.label")).select("band", F.col("main.label").alias("home"))
+    full = labelled.join(mains, "band").join(rows.select("row", "bands", "size", "sketch"), "row")
+    side = lambda n: full.select("home", *(F.col(c).alias(f"{n}_{c}") for c in ("band", "row", "label", "bands", "size", "sketch")))
+    x, y = side("x").where("x_label <> home"), side("y").drop("home")
+    new = (F.col("x_label") != F.col("y_label")) & ((F.col("y_label") == F.col("home")) | (F.col("x_row") < F.col("y_row")))
+    first = F.array_min(F.array_intersect("x_bands", "y_bands")) == F.col("x_band")
+    alike = _agreeing(F.col("x_sketch"), F.col("y_sketch")) >= least_agreeing(threshold, sigmas)
+    met_ = x.join(y, (F.col("x_band") == F.col("y_band")) & new & _sized(F.col("x_size"), F.col("y_size"), threshold) & first & alike)
+    return met_.select(_pair(F.col("x_row"), F.col("y_row"), F.col("home")).alias("p")).select("p.*")
 
 
-def roots_of(docs: DataFrame, rows: DataFrame, width: int, threshold: tuple[int, int]) -> DataFrame:
+def roots_of(docs: DataFrame, filled: DataFrame, classes: DataFrame, width: int, threshold: tuple[int, int], scratch: Scratch) -> DataFrame:
     """(vertex, root) of class representatives whose component has a smaller one; its links connect what any links connect."""
-    light = rows.select("row", "bands")
-    tried = materialize(_first_pairs(light), "near-pairs")
-    roots = connected_components(verified(docs, rows, tried, width, threshold))
-    turn, found = 0, True
+    members = scratch.write(_members(filled, classes), "near-members")
+    buckets = members.groupBy("row").agg(F.sort_array(F.collect_list("band")).alias("bands"))
+    rows = scratch.write(buckets.join(filled.drop("bands", "key"), "row"), "near-rows")
+    sets = scratch.write(_sets(docs, rows.select("row", "doc_id", "text_hash"), width), "near-sets")
+    tried = scratch.write(_likely(_central_pairs(members), rows, threshold), "near-pairs")
+    links = scratch.write(confirmed(tried, sets, threshold), "near-links")
+    roots = connected_components(links, scratch)
+    turn, exhaustive = 0, [LIKELY, SIGMAS]
+    lots = True
     while True:
         turn += 1
-        labelled = light.join(roots, F.col("row") == F.col("vertex"), "left").select("row", "bands", F.coalesce("root", "row").alias("label"))
-        met = materialize(_met(labelled, turn), "near-met")
+        labelled = scratch.write(_labelled(members, roots), "near-labelled")
+        met = scratch.write(_met(labelled, turn), "near-met")
         if met.isEmpty():
             return roots
-        if found:
-            each = F.array(_pairs(F.col("r0"), F.col("main.r0")), _pairs(F.col("r1"), F.col("main.r1")))
-            pairs = met.where(F.col("label") != F.col("main.label")).select(F.explode(F.array_distinct(each)).alias("p")).select("p.a", "p.b").distinct()
-        else:  # lots no longer find links: what is still apart in a bucket is compared in full
-            e = labelled.select("row", "label", F.explode("bands").alias("band")).join(met.select("band"), "band", "left_semi")
-            x, y = e.select("band", F.col("row").alias("a"), F.col("label").alias("la")), e.select("band", F.col("row").alias("b"), F.col("label").alias("lb"))
-            pairs = x.join(y, "band").where("a < b and la <> lb").select("a", "b").distinct()
-        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
-        new = 0 if pairs.isEmpty() else (links := verified(docs, rows, pairs, width, threshold)).count()
+        left = scratch.write(labelled.join(met.select("band").distinct(), "band", "left_semi"), "near-members")
+        if lots:
+            pairs = _likely(_lots(met), rows, threshold)
+        else:
+            pairs = _apart(left, met, rows, threshold, exhaustive.pop(0))
+        pairs = scratch.write(pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
+        found = scratch.write(confirmed(pairs, sets, threshold), "near-links")
+        new, n = found.count(), pairs.count()
         if new:
-            roots = connected_components(roots.toDF("u", "v").unionAll(links))
-        if not found:
+            united = connected_components(roots.toDF("u", "v").unionAll(found), scratch)
+            scratch.drop(roots)
+            roots = united
+        if not exhaustive:
             return roots
-        tried, found = tried.unionAll(pairs), new > 0
+        lots = lots and new * WORTH >= n > 0
+        scratch.drop(labelled, met, members)
+        members, tried = left.select("band", "row"), tried.unionAll(pairs)
+
+
+ROWS_OUT = ["row", "doc_id", "text_hash", "size", "component", "component_id"]
+
+
+def near_rows(docs: DataFrame, width: int, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """row, doc_id, text_hash, size, component and its least doc_id, of every document row."""
+    scratch = Scratch(docs.sparkSession)
+    every = scratch.write(signatures(docs, width), "near-signatures")
+    filled = every.where("size > 0")
+    classes = scratch.write(filled.groupBy("key").agg(F.min("row").alias("rep")), "near-classes")
+    roots = roots_of(docs, filled, classes, width, threshold, scratch)
+    rooted = classes.join(roots, F.col("rep") == F.col("vertex"), "left").select("key", F.coalesce("root", "rep").alias("component"))
+    classed = filled.select("row", "doc_id", "text_hash", "size", "key").join(rooted, "key").drop("key")
+    alone = every.where("size = 0").select("row", "doc_id", "text_hash", "size", (-F.col("row") - 1).alias("component"))
+    rows = materialize(classed.unionAll(alone), "near-components")
+    scratch.drop_all()
+    least = rows.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(least, "component").select(*ROWS_OUT)
 
 
 def near_duplicates(docs: DataFrame, width: int, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept and row (numbers the rows) of every document row."""
-    all_rows = materialize(signatures(docs, width), "near-signatures")
-    filled = all_rows.where("size > 0")
-    classes = materialize(filled.groupBy("key").agg(F.min("row").alias("rep")), "near-classes")
-    reps = filled.join(classes.select(F.col("rep").alias("row")), "row", "left_semi")
-    roots = roots_of(docs, reps, width, threshold)
-    classed = filled.select("row", "doc_id", "size", "key").join(classes, "key")
-    rooted = classed.join(roots, F.col("rep") == F.col("vertex"), "left").withColumn("component", F.coalesce("root", "rep")).select("row", "doc_id", "size", "component")
-    rooted = materialize(rooted, "near-rooted")
-    least = rooted.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    joined = rooted.join(least, "component").select("doc_id", F.col("size").alias("n_shingles"), "component_id", "row")
-    alone = all_rows.where("size = 0").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"), "row")
-    return joined.unionAll(alone).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"), "row")
+    """doc_id, n_shingles, component_id and kept of every document row."""
+    rows = near_rows(docs, width, threshold)
+    return rows.select("doc_id", F.col("size").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
 
 def keep_one_each(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """``docs`` less the rows that are near duplicates of a kept one: of each component the row with the smallest id stays.
+    """``docs`` less the rows that are near duplicates of a kept one: of each component one row stays.
 
-    Rows without words stay. An id goes if none of its rows is kept; of several rows with one id, the one with the
-    least text stays. Rows without an id stay unless each of them resembles a row with one.
+    It is a row with the smallest id; of several with that id the one with the smallest hash of its text; rows without
+    an id come last. Rows without words stay. Rows are told apart by id and text, so other rows with the id of a
+    duplicate are judged by their own texts.
     """
-    found = near_duplicates(docs, width, threshold).groupBy("doc_id").agg(F.max("kept").alias("any_kept"), F.count("*").alias("n"))
-    found = materialize(found.where("not any_kept or n > 1"), "near-decisions")
-    lost = found.where("not any_kept").select(F.col("doc_id").alias("__lost"))
-    again = found.where("any_kept and doc_id is not null").select(F.col("doc_id").alias("__again"))
-    stay = docs.join(lost, F.col("doc_id").cast("long").eqNullSafe(F.col("__lost")), "left_anti")
-    once = stay.join(again, F.col("doc_id").cast("long") == F.col("__again"), "left_anti")
-    repeated = stay.join(again, F.col("doc_id").cast("long") == F.col("__again"), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))
-    return once.unionAll(repeated.withColumn("__n", first).where("__n = 1").select(*docs.columns))
+    rows = near_rows(docs, width, threshold)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
+    kept = rows.groupBy("component").agg(best.alias("best"))
+    judged = rows.where("size > 0").join(kept, "component")
+    mine = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash"))
+    found = judged.groupBy("doc_id", "text_hash").agg(F.max(mine).alias("stays"), F.count("*").alias("n")).where("not stays or n > 1")
+    found = materialize(found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("stays").alias("__stays")), "near-decisions")
+    maybe, free = may_be_among(docs, found.select("__id"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__hash"))
+    told = maybe.join(found, same, "left")
+    once = told.where("__stays is null").select(*docs.columns)
+    again = told.where("__stays").dropDuplicates(["__id", "__hash"]).select(*docs.columns)
+    return free.unionAll(once).unionAll(again)

@@ -46,7 +46,7 @@ def op6_license_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.llm.neardup import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"), 2).drop("row")
+    return near_duplicates(table(spark, sf_dir, "documents"), 2)
 
 
 def op8_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
