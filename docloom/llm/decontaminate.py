@@ -135,11 +135,11 @@ class Items:
         """Distinct (start, size) of the windows that some seed aligns with a segment."""
         found = []
         for width in self.widths:
-            grams = grams(h, width)
-            at = np.nonzero(self.maybe[(grams & np.uint64((1 << _BITS) - 1)).astype(np.int64)])[0]
+            runs = grams(h, width)
+            at = np.nonzero(self.maybe[(runs & np.uint64((1 << _BITS) - 1)).astype(np.int64)])[0]
             if not len(at):
                 continue
-            lo, hi = np.searchsorted(self.seed, grams[at], "left"), np.searchsorted(self.seed, grams[at], "right")
+            lo, hi = np.searchsorted(self.seed, runs[at], "left"), np.searchsorted(self.seed, runs[at], "right")
             n = hi - lo
             if not n.sum():
                 continue

@@ -1,7 +1,8 @@
 """Near duplicates: many universal hash minima with banding, signature verification, star-contracted components.
 
-1. One pass gives each text's set of word shingles as 64-bit hashes, its size, a 128-bit digest of the set, a hash for
-   each band of the minima of ``BANDS * ROWS`` universal hash functions, and a signature: four bits of each minimum.
+1. One pass gives each text's set of word shingles as 64-bit hashes, its size, a 128-bit digest of the set, the minima
+   of ``HASHES`` universal hash functions, of the first ``BANDS * ROWS`` a hash for each band, and a signature: four bits
+   of each minimum.
 2. Rows of equal sets are one class, found by grouping on the digest; only one row a class goes on. Classes that share a
    band's hash are in one bucket. Buckets of one class go at once, which leaves a small part of the bands' rows, and
    each turn below leaves fewer: a bucket goes when its members have one label.
@@ -38,10 +39,10 @@ from docloom.llm.components import connected_components
 from docloom.llm.words import K1, K3, mix, parts, shingle_sets
 
 BANDS, ROWS = 46, 7
-HASHES = BANDS * ROWS
+HASHES = 640  # minima; the first BANDS * ROWS make the bands, all make the signature
 THRESHOLD = (80, 100)
 BITS = 4  # of each minimum in the signature
-SIGMAS, LIKELY = 4.0, 1.5
+SIGMAS, LIKELY = 4.0, 2.5
 BLOCK_ROWS = 256
 CHUNK = 128
 #: Lots go on while they link at least one of so many tried pairs.
@@ -66,7 +67,7 @@ def minima(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def band_hashes(mins: np.ndarray) -> np.ndarray:
     """(texts, BANDS) hashes of (texts, HASHES) minima."""
-    rows = mins.reshape(len(mins), BANDS, ROWS)
+    rows = mins[:, : BANDS * ROWS].reshape(len(mins), BANDS, ROWS)
     h = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * K1, rows.shape[:2])
     for i in range(ROWS):
         h = mix(h ^ rows[:, :, i] * K3)
@@ -230,15 +231,16 @@ def _lots(met: DataFrame) -> DataFrame:
     return met.where(F.col("label") != home).select(F.explode(each).alias("p")).select("p.*")
 
 
-def _apart(labelled: DataFrame, met: DataFrame, rows: DataFrame, threshold: tuple[int, int], sigmas: float) -> DataFrame:
-    """All pairs (a, b, home) of a bucket with different labels that sizes and signatures allow, in their first bucket."""
+def _apart(labelled: DataFrame, met: DataFrame, rows: DataFrame, threshold: tuple[int, int], least: int, below: int) -> DataFrame:
+    """All pairs (a, b, home) of a bucket with different labels whose sizes allow the threshold and whose signatures
+    agree in ``least`` entries or more, but fewer than ``below``; each in its first bucket."""
     mains = met.where(F.col("label") == F.col("main.label")).select("band", F.col("main.label").alias("home"))
     full = labelled.join(mains, "band").join(rows.select("row", "bands", "size", "sketch"), "row")
     side = lambda n: full.select("home", *(F.col(c).alias(f"{n}_{c}") for c in ("band", "row", "label", "bands", "size", "sketch")))
     x, y = side("x").where("x_label <> home"), side("y").drop("home")
     new = (F.col("x_label") != F.col("y_label")) & ((F.col("y_label") == F.col("home")) | (F.col("x_row") < F.col("y_row")))
     first = F.array_min(F.array_intersect("x_bands", "y_bands")) == F.col("x_band")
-    alike = _agreeing(F.col("x_sketch"), F.col("y_sketch")) >= least_agreeing(threshold, sigmas)
+    alike = _agreeing(F.col("x_sketch"), F.col("y_sketch")).between(least, below - 1)
     met_ = x.join(y, (F.col("x_band") == F.col("y_band")) & new & _sized(F.col("x_size"), F.col("y_size"), threshold) & first & alike)
     return met_.select(_pair(F.col("x_row"), F.col("y_row"), F.col("home")).alias("p")).select("p.*")
 
@@ -252,8 +254,8 @@ def roots_of(docs: DataFrame, filled: DataFrame, classes: DataFrame, width: int,
     tried = scratch.write(_likely(_central_pairs(members), rows, threshold), "near-pairs")
     links = scratch.write(confirmed(tried, sets, threshold), "near-links")
     roots = connected_components(links, scratch)
-    turn, exhaustive = 0, [LIKELY, SIGMAS]
-    lots = True
+    turn, lots = 0, True
+    cuts = [HASHES + 1, least_agreeing(threshold, LIKELY), least_agreeing(threshold, SIGMAS)]
     while True:
         turn += 1
         labelled = scratch.write(_labelled(members, roots), "near-labelled")
@@ -262,21 +264,22 @@ def roots_of(docs: DataFrame, filled: DataFrame, classes: DataFrame, width: int,
             return roots
         left = scratch.write(labelled.join(met.select("band").distinct(), "band", "left_semi"), "near-members")
         if lots:
-            pairs = _likely(_lots(met), rows, threshold)
+            pairs = _likely(_lots(met), rows, threshold).join(tried, ["a", "b"], "left_anti")
         else:
-            pairs = _apart(left, met, rows, threshold, exhaustive.pop(0))
-        pairs = scratch.write(pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
+            pairs = _apart(left, met, rows, threshold, cuts[1], cuts.pop(0))
+        pairs = scratch.write(pairs, "near-pairs")
         found = scratch.write(confirmed(pairs, sets, threshold), "near-links")
         new, n = found.count(), pairs.count()
         if new:
             united = connected_components(roots.toDF("u", "v").unionAll(found), scratch)
             scratch.drop(roots)
             roots = united
-        if not exhaustive:
+        if len(cuts) == 1:
             return roots
         lots = lots and new * WORTH >= n > 0
         scratch.drop(labelled, met, members)
-        members, tried = left.select("band", "row"), tried.unionAll(pairs)
+        members = left.select("band", "row")
+        tried = tried.unionAll(pairs) if lots else tried
 
 
 ROWS_OUT = ["row", "doc_id", "text_hash", "size", "component", "component_id"]
