@@ -156,12 +156,14 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end
         store.create_dir(path.rpartition("/")[0], recursive=True)
         own = f"{path}.attempt-{context.taskAttemptId()}"
         code = encoder(vocabulary)
-        end = np.array([end_id], code.kind).tobytes()
         with store.open_output_stream(own) as out:
             writer = ShardWriter(out, code.kind.itemsize)
             for b in batches:
-                for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    writer.add(i, code.encode(text) + end)
+                for at in range(0, b.num_rows, 512):
+                    part = b.slice(at, 512)
+                    ids, edges = code.encode_column(part.column(1), end_id)
+                    for i, doc in enumerate(part.column(0).to_pylist()):
+                        writer.add(doc, ids[edges[i] : edges[i + 1]].tobytes())
             writer.close()
         store.move(own, path)
         row = [[context.partitionId()], [name], [len(writer.ids)], [writer.tokens]]

@@ -35,10 +35,12 @@ def _signs() -> np.ndarray:
     return np.random.default_rng(7).choice([-1.0, 1.0], (BUCKETS, DIMS))
 
 
-def hashed_vector(ids: np.ndarray) -> np.ndarray:
-    """Square roots of the counts of hashed ids, of length 1."""
-    counts = np.sqrt(np.bincount((ids.astype(np.uint32) * _MIX) >> np.uint32(22), minlength=BUCKETS))
-    return counts / max(1.0, float(np.sqrt((counts**2).sum())))
+def hashed_vectors(ids: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Of each document of ``ids`` (from edge to edge) the square roots of the counts of hashed ids, of length 1."""
+    n = len(edges) - 1
+    cell = ((ids.astype(np.uint32) * _MIX) >> np.uint32(22)).astype(np.int64) + np.repeat(np.arange(n) * BUCKETS, np.diff(edges))
+    counts = np.bincount(cell, minlength=n * BUCKETS).reshape(n, BUCKETS)
+    return np.sqrt(counts) / np.sqrt(np.maximum(1, counts.sum(1, keepdims=True)))
 
 
 def hilbert_keys(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -75,6 +77,12 @@ def curve_keys(vectors: np.ndarray, signs: np.ndarray) -> np.ndarray:
     return hilbert_keys(cells)
 
 
+def binaries(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """The values from edge to edge as a column of bytes."""
+    raw = (edges * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(raw.tobytes()), pa.py_buffer(values.tobytes())])
+
+
 def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID) -> DataFrame:
     """doc_id, row, curve key, number of ids, and the ids as little-endian integers."""
     signs = _signs()
@@ -83,14 +91,12 @@ def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID)
         from docloom.llm.tokens import encoder
 
         code = encoder(vocabulary)
-        end = np.array([end_id], code.kind).tobytes()
         for b in it:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                ids = [code.encode(t) + end for t in part.column(1).to_pylist()]
-                vectors = np.stack([hashed_vector(np.frombuffer(x, code.kind)) for x in ids])
-                n = [len(x) // code.kind.itemsize for x in ids]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(curve_keys(vectors, signs)), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "key", "n", "ids"])
+                ids, edges = code.encode_column(part.column(1), end_id)
+                vectors = hashed_vectors(ids, edges)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(curve_keys(vectors, signs)), pa.array(np.diff(edges)), binaries(ids, edges)], ["doc_id", "key", "n", "ids"])
 
     return docs_only(docs).mapInArrow(batches, "doc_id long, key long, n long, ids binary").withColumn("row", F.monotonically_increasing_id())
 
@@ -117,13 +123,14 @@ def pack(docs: DataFrame, size: int = SIZE, vocabulary: str = VOCABULARY, end_id
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             out: list[list] = [[] for _ in range(8)]
-            for doc, n, place, ids in zip(*(b.column(i).to_pylist() for i in range(4))):
+            for doc, n, place, found in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3)):
+                ids = found.as_buffer()  # of the batch's own memory
                 width, at = len(ids) // n, 0
                 wide = np.frombuffer(ids, f"<u{width}").astype("<u4")
                 while at < n:
                     length = min(size - (place + at) % size, n - at)
                     crc = zlib.crc32(wide[at : at + length].tobytes())
-                    piece = ids[at * width : (at + length) * width] if keep_ids else b""
+                    piece = ids[at * width : (at + length) * width].to_pybytes() if keep_ids else b""
                     for k, v in enumerate((doc, at, length, crc, n, (place + at) // size, (place + at) % size, piece)):
                         out[k].append(v)
                     at += length

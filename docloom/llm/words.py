@@ -1,6 +1,6 @@
 """Words of whole Arrow text columns as 64-bit hashes, all words of a batch at once.
 
-A word is a run of bytes other than 0x20 and 0x09-0x0D; letters A-Z count as lower case. Words of up to ``SHORT`` bytes
+A word is a run of bytes other than 0x20 and 0x09-0x0D; letters A-Z may count as lower case. Words of up to ``SHORT`` bytes
 have a polynomial hash over random values of their bytes, read off running sums over the buffer; longer ones, rare in
 text, are hashed one by one.
 """
@@ -33,8 +33,9 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = True
-_VALUES = np.random.default_rng(1618).integers(0, 1 << 64, 256, np.uint64)
-_VALUES[65:91] = _VALUES[97:123]
+_EXACT = np.random.default_rng(1618).integers(0, 1 << 64, 256, np.uint64)
+_FOLDED = _EXACT.copy()
+_FOLDED[65:91] = _FOLDED[97:123]
 _BASE = 0xD1342543DE82EF95
 _UP, _DOWN = _powers(_BASE, BLOCK + SHORT), _powers(pow(_BASE, -1, 1 << 64), BLOCK)
 
@@ -75,8 +76,9 @@ def word_places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, folds: bool = True) -> np.ndarray:
+    """A 64-bit hash of each word; if it ``folds``, letters A-Z count as lower case."""
+    values = _FOLDED if folds else _EXACT
     out = np.empty(len(starts), np.uint64)
     bounds = np.searchsorted(starts, np.arange(0, len(data) + BLOCK, BLOCK))
     for k in range(len(bounds) - 1):
@@ -86,7 +88,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         seg = data[k * BLOCK : (k + 1) * BLOCK + SHORT]
         sums = np.empty(len(seg) + 1, np.uint64)
         sums[0] = 0
-        np.cumsum(_VALUES[seg] * _UP[: len(seg)], out=sums[1:])
+        np.cumsum(values[seg] * _UP[: len(seg)], out=sums[1:])
         s = starts[lo:hi] - k * BLOCK
         e = np.minimum(ends[lo:hi] - k * BLOCK, len(seg))
         out[lo:hi] = (sums[e] - sums[s]) * _DOWN[s]
@@ -95,7 +97,8 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     for i in np.flatnonzero(size > SHORT).tolist():
         import xxhash
 
-        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes().lower())
+        word = data[starts[i] : ends[i]].tobytes()
+        out[i] = xxhash.xxh3_64_intdigest(word.lower() if folds else word)
     return out
 
 
