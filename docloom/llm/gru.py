@@ -2,19 +2,21 @@
 
 Words are numbered by falling frequency and cut into ``CLASSES`` classes of like size; p(word) = p(class | state) *
 p(word | class, state). Training backpropagates through the consecutive windows of ``WINDOW`` words of whole documents,
-so that every word and every end is a target once; each window's first state is carried in from the document's start.
+so that every word and every end is a target once; each window's first state is the last one of the window before.
 Scoring carries the state from chunk to chunk of ``EVERY`` words through the whole document.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 EMBED, HIDDEN, CLASSES, PER_CLASS = 16, 16, 64, 64
 VOCAB = CLASSES * PER_CLASS
 END, UNKNOWN = 0, 1
 WINDOW, EVERY = 16, 64
-BATCH = 256
+BATCH = 512
 #: Documents scored side by side, and states whose outputs are taken at once.
 SCORED, ROWS = 512, 4096
 
@@ -29,9 +31,15 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(-1, keepdims=True))
+def _take_softmax(x: np.ndarray, rows: np.ndarray, at: np.ndarray) -> float:
+    """Turns rows of scores into the gradient of their loss, the softmax less one at the target; the summed log-probabilities."""
+    x -= x.max(1, keepdims=True)
+    scores = x[rows, at].sum(dtype=np.float64)
+    np.exp(x, out=x)
+    total = x.sum(1, keepdims=True)
+    x /= total
+    x[rows, at] -= 1
+    return float(scores - np.log(total).sum(dtype=np.float64))
 
 
 def _picked(x: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -91,87 +99,109 @@ class Gru:
         result[order] = out
         return result
 
-    def loss_and_grads(self, tokens: np.ndarray, first: int, start: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray], int]:
-        """Of (batch, time + 1) tokens, -1 after a segment's end: summed loss of the targets from ``first`` on.
+    def loss_and_grads(self, tokens: np.ndarray, start: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray], int, np.ndarray]:
+        """Of (batch, time + 1) tokens, -1 after a segment's end: summed loss of the targets, its gradients, their number, the last states.
 
-        The steps before ``first`` only carry the state in; ``start`` holds the first states, zeros if not given.
+        ``start`` holds the states that the segments begin in, zeros if not given. Only the recurrence runs step by
+        step; all else is done for all steps at once.
         """
-        p, k = self.p, HIDDEN
+        p, k, dtype = self.p, HIDDEN, self.p["u"].dtype
         b, t = tokens.shape[0], tokens.shape[1] - 1
-        h = np.zeros((b, k), np.float32) if start is None else start
-        states, caches = [], []
+        words = np.maximum(tokens[:, :-1], 0).T.ravel()  # by step, then by segment
+        x = p["embed"][words]
+        a = (x @ p["w"] + p["b"]).reshape(t, b, 3 * k)
+        before = np.empty((t + 1, b, k), dtype)
+        before[0] = 0 if start is None else start
+        gates, cand, inner = np.empty((t, b, 2 * k), dtype), np.empty((t, b, k), dtype), np.empty((t, b, k), dtype)
         for i in range(t):
-            h, cache = self.step(h, np.maximum(tokens[:, i], 0))
-            if i >= first:
-                states.append(h)
-                caches.append(cache)
-        hs = np.stack(states, 1).reshape(-1, k)  # (b * (t - first), k)
-        target = tokens[:, first + 1 :].ravel()
-        live = target >= 0
-        rows, y = np.nonzero(live)[0], target[live]
-        hl = hs[rows]
-        kind, inner = y // PER_CLASS, y % PER_CLASS
-        g = {n: np.zeros_like(v) for n, v in p.items()}
-        lc = _log_softmax(hl @ p["class_w"] + p["class_b"])
-        n = np.arange(len(y))
-        loss = -float(lc[n, kind].sum())
-        d = np.exp(lc)
-        d[n, kind] -= 1
-        g["class_w"], g["class_b"] = hl.T @ d, d.sum(0)
+            h = before[i]
+            c = h @ p["u"]
+            g = _sigmoid(a[i, :, : 2 * k] + c[:, : 2 * k])
+            inner[i], gates[i] = c[:, 2 * k :], g
+            n = np.tanh(a[i, :, 2 * k :] + g[:, k:] * inner[i])
+            cand[i] = n
+            before[i + 1] = n + g[:, :k] * (h - n)
+        target = tokens[:, 1:].T.ravel()
+        rows = np.flatnonzero(target >= 0)
+        rows = rows[np.argsort(target[rows] // PER_CLASS, kind="stable")]
+        y = target[rows]
+        kind, within, at = y // PER_CLASS, y % PER_CLASS, np.arange(len(y))
+        bounds = np.searchsorted(kind, np.arange(CLASSES + 1)).tolist()
+        there = [c for c in range(CLASSES) if bounds[c] < bounds[c + 1]]
+        hs = before[1:].reshape(-1, k)[rows]
+        grads = {}
+        d = hs @ p["class_w"] + p["class_b"]
+        loss = -_take_softmax(d, at, kind)
+        grads["class_w"], grads["class_b"] = hs.T @ d, d.sum(0)
         dh = d @ p["class_w"].T
-        order = np.argsort(kind, kind="stable")
-        bounds = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-        for c in np.unique(kind):
-            at = order[bounds[c] : bounds[c + 1]]
-            lw = _log_softmax(hl[at] @ p["word_w"][c] + p["word_b"][c])
-            m = np.arange(len(at))
-            loss -= float(lw[m, inner[at]].sum())
-            e = np.exp(lw)
-            e[m, inner[at]] -= 1
-            g["word_w"][c], g["word_b"][c] = hl[at].T @ e, e.sum(0)
-            dh[at] += e @ p["word_w"][c].T
-        into = np.zeros_like(hs)
+        e = np.empty((len(y), PER_CLASS), dtype)
+        for c in there:
+            np.matmul(hs[bounds[c] : bounds[c + 1]], p["word_w"][c], out=e[bounds[c] : bounds[c + 1]])
+        e += p["word_b"][kind]
+        loss -= _take_softmax(e, at, within)
+        grads["word_w"], grads["word_b"] = np.zeros_like(p["word_w"]), np.zeros_like(p["word_b"])
+        for c in there:
+            part = slice(bounds[c], bounds[c + 1])
+            np.matmul(hs[part].T, e[part], out=grads["word_w"][c])
+            dh[part] += e[part] @ p["word_w"][c].T
+        if there:
+            grads["word_b"][there] = np.add.reduceat(e, [bounds[c] for c in there], 0)
+        into = np.zeros((t * b, k), dtype)
         into[rows] = dh
-        into = into.reshape(b, t - first, k)
-        carry = np.zeros((b, k), np.float32)
-        for i in range(t - first - 1, -1, -1):
-            x, before, z, r, cand, cn, words = caches[i]
-            dhi = into[:, i] + carry
-            dn = dhi * (1 - z) * (1 - cand**2)
-            dz = dhi * (before - cand) * z * (1 - z)
-            dr = dn * cn * r * (1 - r)
-            da = np.concatenate([dz, dr, dn], 1)
-            dc = np.concatenate([dz, dr, dn * r], 1)
-            g["w"] += x.T @ da
-            g["b"] += da.sum(0)
-            g["u"] += before.T @ dc
-            np.add.at(g["embed"], words, da @ p["w"].T)
-            carry = dhi * z + dc @ p["u"].T
-        return loss, g, len(y)
-
-    def states(self, documents: list[np.ndarray], segments: np.ndarray) -> np.ndarray:
-        """The states that the segments of ``segments_of(documents)`` begin in, carried through each whole document."""
-        out = np.zeros((len(segments), HIDDEN), np.float32)
-        count = np.array([-(-len(d) // WINDOW) for d in documents], np.int64)
-        by_length = np.argsort(-count, kind="stable")
-        first, count = (np.cumsum(count) - count)[by_length], count[by_length]
-        h = out[: len(count)].copy()
-        for w in range(1, int(count[0]) if len(count) else 0):
-            live = int((count > w).sum())
-            h, rows = h[:live], first[:live] + w
-            for i in range(WINDOW):  # a segment that another one follows is full
-                h, _ = self.step(h, segments[rows - 1, i])
-            out[rows] = h
-        return out
-
-    def train(self, segments: np.ndarray, rate: float, start: np.ndarray | None = None) -> None:
-        """One Adagrad step on (batch, WINDOW + 1) tokens and the states they begin in."""
-        _, g, n = self.loss_and_grads(segments, 0, start)
+        into = into.reshape(t, b, k)
+        # what doesn't depend on the gradient that comes from later steps
+        z, r = gates[:, :, :k], gates[:, :, k:]
+        to_n = (1 - z) * (1 - cand**2)
+        to_z = (before[:-1] - cand) * z * (1 - z)
+        to_r = inner * r * (1 - r)
+        da, dc = np.empty((t, b, 3 * k), dtype), np.empty((t, b, 3 * k), dtype)
+        carry, ut = np.zeros((b, k), dtype), np.ascontiguousarray(p["u"].T)
+        for i in range(t - 1, -1, -1):
+            dhi = into[i] + carry
+            dn = dhi * to_n[i]
+            da[i, :, :k], da[i, :, k : 2 * k], da[i, :, 2 * k :] = dhi * to_z[i], dn * to_r[i], dn
+            dc[i, :, : 2 * k], dc[i, :, 2 * k :] = da[i, :, : 2 * k], dn * r[i]
+            carry = dhi * z[i] + dc[i] @ ut
+        da, dc = da.reshape(-1, 3 * k), dc.reshape(-1, 3 * k)
+        grads["w"], grads["b"], grads["u"] = x.T @ da, da.sum(0), before[:-1].reshape(-1, k).T @ dc
+        dx = da @ p["w"].T
+        grads["embed"] = np.stack([np.bincount(words, dx[:, j], VOCAB) for j in range(EMBED)], 1).astype(dtype)
+        return float(loss), grads, len(y), before[t]
+
+    def train(self, segments: np.ndarray, rate: float, start: np.ndarray | None = None) -> np.ndarray:
+        """One Adagrad step on (batch, WINDOW + 1) tokens and the states they begin in; the states they end in."""
+        _, g, n, last = self.loss_and_grads(segments, start)
         for name, x in g.items():
-            x /= max(1, n)
-            x *= 16.0
-            self.sq[name] += x**2
+            x *= 16.0 / max(1, n)
+            self.sq[name] += x * x
             self.p[name] -= rate * x / np.sqrt(self.sq[name])
+        return last
+
+    def train_all(self, documents: Iterator[np.ndarray], rate: float, batch: int = BATCH) -> int:
+        """Trains on whole documents (numbered words, the end last), and returns how many windows they had.
+
+        ``batch`` documents are read side by side, a window of each at a time; the state is carried from window to
+        window, and where a document ends the next one begins.
+        """
+        lanes: list[tuple[np.ndarray, int] | None] = [None] * batch
+        h, windows = np.zeros((batch, HIDDEN), np.float32), 0
+        while True:
+            for i, lane in enumerate(lanes):
+                if lane is None and (d := next(documents, None)) is not None:
+                    lanes[i] = (np.concatenate([[END], d]), 0)
+                    h[i] = 0
+            live = [i for i, lane in enumerate(lanes) if lane is not None]
+            if not live:
+                return windows
+            tokens = np.full((len(live), WINDOW + 1), -1, np.int64)
+            for row, i in enumerate(live):
+                d, at = lanes[i]
+                part = d[at : at + WINDOW + 1]
+                tokens[row, : len(part)] = part
+                at += WINDOW
+                lanes[i] = (d, at) if at + 1 < len(d) else None
+            h[live] = self.train(tokens, rate * len(live) / batch, h[live])
+            windows += len(live)
 
     def score(self, documents: list[np.ndarray]) -> np.ndarray:
         """Natural log-likelihood of whole documents (numbered words, the end last), state carried from window to window."""
@@ -209,16 +239,3 @@ class Gru:
                 rows, cols = np.nonzero(tokens >= 0)
                 out[group[:live]] += np.bincount(rows, self.log_probs(states[rows, cols], tokens[rows, cols]), live)
         return out
-
-
-def segments_of(documents: list[np.ndarray]) -> np.ndarray:
-    """Training segments: all consecutive windows of WINDOW words, each with the word before it, by document.
-
-    Rows are WINDOW + 1 long, -1 after a document's end. Before a document's first word stands the end of the text before.
-    """
-    rows = [np.zeros((0, WINDOW + 1), np.int64)]
-    for d in documents:
-        row = np.full(-(-len(d) // WINDOW) * WINDOW + 1, -1, np.int64)
-        row[0], row[1 : len(d) + 1] = END, d
-        rows.append(np.concatenate([row[:-1].reshape(-1, WINDOW), row[WINDOW::WINDOW, None]], 1))
-    return np.concatenate(rows)

@@ -6,8 +6,8 @@
 3. Words outside the recurrent model's vocabulary are the unknown word there. Which one it is, is given by a mixture of
    their counts and of a byte model of order three over all of them, so that every text has a proper probability.
 4. The recurrent model is started on a bounded sample on the driver, then trained in every task on all windows of all
-   the task's training documents, the state carried from window to window; the replicas' weights are averaged by their numbers of windows, up to ``FAN_IN`` in a group
-   at a time.
+   the task's training documents, the state carried from window to window; the replicas' weights are averaged by their
+   numbers of windows, up to ``FAN_IN`` in a group at a time.
 5. All documents are scored whole, the state carried from window to window.
 
 Defined results: a null text counts as empty, whose tokens are the end alone; a row without an id is never trained on
@@ -20,7 +20,6 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,28 +28,41 @@ from pyspark.sql import functions as F
 
 from docloom.llm import gru
 from docloom.llm.common import docs_only, fold, materialize
+from docloom.llm.words import HashTable, parts, text_bytes, word_hashes, word_places
 
 HELD_OUT_FOLD = 1
 HEAD, LONGEST = 200_000, 64
 #: Words that a task counts before it passes them on.
-MOST_COUNTED = 200_000
-#: Documents that the recurrent model is started on, at most, and the steps of that.
-START_DOCS, START_STEPS, START_RATE, RATE = 400, 200, 0.1, 0.03
-START_CARRIED = 50  # steps of the start after which states are carried anew
+MOST_COUNTED = 400_000
+#: Documents that the recurrent model is started on, at most, how often, and how many side by side.
+START_DOCS, START_ROUNDS, START_BATCH, START_RATE, RATE = 400, 2, 64, 0.1, 0.03
 FAN_IN = 32
+#: Bytes of text that are scored at once, unless one text is longer.
+SCORED_BYTES = 1 << 23
 CONTEXTS, SYMBOLS = 1 << 14, 257  # 256: the word's end
 #: Of an unknown word's probability so much comes from its spelling, the rest from its share of the unknown words counted.
 SPELLED = 0.3
 
 
+def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray, np.ndarray]:
+    """The hashes of a column's words, each text's first, the lower-cased bytes, and where the words start and end there."""
+    data, offsets = text_bytes(column)
+    starts, ends, first = word_places(data, offsets)
+    return np.maximum(word_hashes(data, starts, ends), np.uint64(1)), first, data.tobytes().lower(), starts, ends
+
+
 def _counts_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "c"])
 
-    seen: Counter = Counter()
+    seen: dict[bytes, int] = {}
     for b in batches:
-        for text in b.column(0).to_pylist():
-            seen.update(text.encode().lower().split())
+        for _, part in parts(b.column(0)):
+            hashes, _, raw, starts, ends = _words(part)
+            _, where, times = np.unique(hashes, return_index=True, return_counts=True)
+            for a, e, n in zip(starts[where].tolist(), ends[where].tolist(), times.tolist()):
+                w = raw[a:e]
+                seen[w] = seen.get(w, 0) + n
             if len(seen) >= MOST_COUNTED:
                 yield rows()
                 seen.clear()
@@ -133,7 +145,10 @@ class Tables:
     """What every worker holds: the frequent words with their counts, the spelling, the recurrent model's weights."""
 
     def __init__(self, words: list[bytes], counts: np.ndarray, total: int, distinct: int, ends: int, spelling: Spelling, weights: np.ndarray | None):
-        self.place = {w: i for i, w in enumerate(words)}
+        joined = pa.array([w.decode() for w in words], pa.string())
+        data, offsets = text_bytes(joined)
+        self.index = HashTable(max(4, (2 * len(words)).bit_length()))
+        self.index.put(np.maximum(word_hashes(data, offsets[:-1], offsets[1:]), np.uint64(1)), np.arange(len(words)))
         self.counts, self.total, self.ends = counts, total, ends
         self.below = total + 0.5 * (distinct + 1)
         self.base = np.log10((counts + 0.5) / self.below) if self.below else np.zeros(0)
@@ -147,33 +162,21 @@ class Tables:
         spelled = np.concatenate([spelling.score(words[i : i + 20_000]) for i in range(0, len(words), 20_000)] or [np.zeros(0)])
         self.inside = np.log10(SPELLED * 10.0**spelled + (1 - SPELLED) * counts / self.unknown)
 
-    def places(self, words: list[bytes]) -> np.ndarray:
-        """Each word's place among the frequent ones, -1 for others."""
-        return np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+    def numbers(self, column: pa.Array) -> list[np.ndarray]:
+        """Each text's words as the recurrent model's numbers, the end last."""
+        hashes, first, *_ = _words(column)
+        return self.numbered(self.index.find(hashes), first)
 
-    def numbers(self, text: str) -> np.ndarray:
-        return np.append(self.number[self.places(text.encode().lower().split())], gru.END)
+    def numbered(self, places: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+        line = np.insert(self.number[places], first[1:], gru.END)
+        bounds = (first + np.arange(len(first))).tolist()
+        return [line[a:b] for a, b in zip(bounds, bounds[1:])]
 
 
 def _train_batches(tables: Tables):
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, windows = gru.Gru(tables.weights), 0
-        held, states = np.zeros((0, gru.WINDOW + 1), np.int64), np.zeros((0, gru.HIDDEN), np.float32)
-        order = np.random.default_rng(3)
-        for b in it:
-            for at in range(0, b.num_rows, 1024):
-                docs = [tables.numbers(t) for t in b.column(0).slice(at, 1024).to_pylist()]
-                made = gru.segments_of(docs)
-                mixed = order.permutation(len(held) + len(made))
-                held, states = np.concatenate([held, made])[mixed], np.concatenate([states, model.states(docs, made)])[mixed]
-                full = len(held) // gru.BATCH * gru.BATCH
-                for i in range(0, full, gru.BATCH):
-                    model.train(held[i : i + gru.BATCH], RATE, states[i : i + gru.BATCH])
-                windows += full
-                held, states = held[full:], states[full:]
-        if len(held):
-            model.train(held, RATE * len(held) / gru.BATCH, states)
-            windows += len(held)
+        model = gru.Gru(tables.weights)
+        windows = model.train_all((d for b in it for _, part in parts(b.column(0)) for d in tables.numbers(part)), RATE)
         if windows:
             yield pa.RecordBatch.from_arrays([pa.array([windows], pa.int64()), pa.array([model.flat().tobytes()], pa.binary())], ["n", "weights"])
 
@@ -208,30 +211,28 @@ def _score_batches(tables: Tables):
         model = gru.Gru(tables.weights)
         end_base = math.log10((tables.ends + 0.5) / tables.below) if tables.below else 0.0
         for b in it:
-            for at in range(0, b.num_rows, 2048):
-                part = b.slice(at, 2048)
-                docs, base, known, spelled, tokens, offsets = [], [], [], [], [], [0]
-                rare: list[bytes] = []
-                times: list[int] = []
-                for text in part.column(1).to_pylist():
-                    words = text.encode().lower().split()
-                    places = tables.places(words)
-                    common = places[places >= 0]
-                    others = Counter([words[i] for i in np.nonzero(places < 0)[0].tolist()])
-                    docs.append(np.append(tables.number[places], gru.END))
-                    out = common[common >= gru.VOCAB - 2]
-                    spelled.append(float(tables.inside[out].sum()))
-                    base.append(float(tables.base[common].sum()) + end_base)
-                    known.append(float(len(common) + (tables.ends > 0)))
-                    rare.extend(others)
-                    times.extend(others.values())
-                    offsets.append(len(rare))
-                    tokens.append(len(words) + 1)
-                score = model.score(docs) / math.log(10) + np.array(spelled)
-                letters = np.concatenate([tables.spelling.score(rare[i : i + 20_000]) for i in range(0, len(rare), 20_000)] or [np.zeros(0)])
-                fields = [pa.array([w.decode() for w in rare], pa.string()), pa.array(times, pa.int64()), pa.array(letters, pa.float64())]
-                words_ = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, ["word", "n", "spelled"]))
-                cols = [part.column(0), pa.array(tokens, pa.int64()), pa.array(known), pa.array(base), pa.array(score), words_]
+            for at, texts in parts(b.column(1), SCORED_BYTES):
+                hashes, first, raw, starts, ends = _words(texts)
+                n = len(texts)
+                doc = np.repeat(np.arange(n), np.diff(first))
+                places = tables.index.find(hashes)
+                total = lambda rows, values: np.bincount(doc[rows], values, n)
+                common, out = np.flatnonzero(places >= 0), np.flatnonzero(places >= gru.VOCAB - 2)
+                base = total(common, tables.base[places[common]]) + end_base
+                known = np.bincount(doc[common], minlength=n) + float(tables.ends > 0)
+                score = model.score(tables.numbered(places, first)) / math.log(10) + total(out, tables.inside[places[out]])
+                # the words that the table lacks, each once a text
+                rare = np.flatnonzero(places < 0)
+                kinds, where, kind = np.unique(hashes[rare], return_index=True, return_inverse=True)
+                words = [raw[a:e] for a, e in zip(starts[rare[where]].tolist(), ends[rare[where]].tolist())]
+                letters = np.concatenate([tables.spelling.score(words[i : i + 20_000]) for i in range(0, len(words), 20_000)] or [np.zeros(0)])
+                cells, times = np.unique(doc[rare] * max(1, len(kinds)) + kind, return_counts=True)
+                which = cells % max(1, len(kinds))
+                offsets = np.searchsorted(cells, np.arange(n + 1) * max(1, len(kinds)))
+                spelled = pa.array([w.decode() for w in words], pa.string()).take(pa.array(which))
+                fields = [spelled, pa.array(times.astype(np.int64)), pa.array(letters[which])]
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, ["word", "n", "spelled"]))
+                cols = [b.column(0).slice(at, n), pa.array(np.diff(first) + 1), pa.array(known), pa.array(base), pa.array(score), lists]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "known", "base", "score", "rare"])
 
     return batches
@@ -256,16 +257,10 @@ def corpus_tables(training: DataFrame, counts: DataFrame) -> Tables:
     first[gru.END], first[gru.UNKNOWN] = ends, int(rows_total) - int(number[: len(known)].sum())
     first[2 : 2 + len(known)] = number[: len(known)]
     model.start_from_counts(first)
-    ids = [r[0] for r in training.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(START_DOCS).collect()]
-    texts = sorted(r[0] for r in training.where(F.col("doc_id").isin(ids)).select("text").limit(2 * START_DOCS).collect())
-    sample = [tables.numbers(t) for t in texts]
-    start = gru.segments_of(sample)
-    order = np.random.default_rng(2)
-    for step in range(START_STEPS if len(start) else 0):
-        if step % START_CARRIED == 0:
-            states = model.states(sample, start)
-        at = order.integers(0, len(start), min(len(start), gru.BATCH))
-        model.train(start[at], START_RATE, states[at])
+    sample = training.select("text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(START_DOCS)  # its rows are the same however the table lies
+    texts = pa.array([r["text"] for r in sorted(sample.collect(), key=lambda r: (r["h"], r["text"]))], pa.string())
+    for _ in range(START_ROUNDS):
+        model.train_all((d for _, part in parts(texts) for d in tables.numbers(part)), START_RATE, START_BATCH)
     tables.weights = model.flat()
     if ends:
         shared = spark.sparkContext.broadcast(tables)

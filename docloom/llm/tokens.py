@@ -18,10 +18,10 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-from docloom.llm.words import parts, text_bytes, word_hashes, word_places
+from docloom.llm.words import HashTable, parts, text_bytes, word_hashes, word_places
 
-#: Words that a worker process remembers, at most (some 50 bytes each), in a table of SLOTS.
-MOST_KEPT, SLOTS, SHIFT = 1_000_000, 1 << 21, 43
+#: Words that a worker process remembers, at most (some 50 bytes each), in a table of 2**SLOT_BITS.
+MOST_KEPT, SLOT_BITS = 1_000_000, 21
 LONGEST_KEPT = 40
 
 #: White space beyond ASCII's, and control characters on which libraries disagree.
@@ -103,23 +103,11 @@ class Pieces:
     """Ids of the pieces seen so far, end to end, and a hash table of where each starts."""
 
     def __init__(self, kind: np.dtype):
-        self.keys, self.slots = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32)
+        self.table = HashTable(SLOT_BITS)
         self.ids, self.used = np.zeros(1 << 16, kind), 0
         self.starts, self.sizes = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.count = self.kept = 0
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Each key's piece, -1 where there is none."""
-        out = np.full(len(keys), -1, np.int64)
-        slot, left = (keys >> np.uint64(SHIFT)).astype(np.int64), np.arange(len(keys))
-        while len(left):
-            there = self.keys[slot]
-            hit = there == keys[left]
-            out[left[hit]] = self.slots[slot[hit]]
-            on = ~hit & (there != 0)
-            left, slot = left[on], (slot[on] + 1) & (SLOTS - 1)
-        return out
-
     def add(self, ids: list[list[int]]) -> np.ndarray:
         """New pieces and their numbers."""
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -137,13 +125,7 @@ class Pieces:
 
     def keep(self, keys: np.ndarray, pieces: np.ndarray) -> None:
         """Remembers pieces by their keys, which are new and distinct."""
-        slot, left = (keys >> np.uint64(SHIFT)).astype(np.int64), np.arange(len(keys))
-        while len(left):
-            free = np.flatnonzero(self.keys[slot] == 0)
-            self.keys[slot[free]] = keys[left[free]]  # of several for one slot the last stays
-            put = self.keys[slot] == keys[left]
-            self.slots[slot[put]] = pieces[left[put]]
-            left, slot = left[~put], (slot[~put] + 1) & (SLOTS - 1)
+        self.table.put(keys, pieces)
         self.kept += len(keys)
 
     def joined(self, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -209,7 +191,7 @@ class Encoder:
         from_, to, apart = np.concatenate([starts, cut[with_end]]), np.concatenate([cut, ends[with_end]]), np.concatenate([spaced, np.zeros(len(with_end), bool)])
         salt = np.where(apart, np.uint64(0xA0761D6478BD642F), np.uint64(0))
         keys = np.maximum(np.concatenate([word_hashes(data, starts, cut, self.folds), word_hashes(data, cut[with_end], ends[with_end], self.folds)]) ^ salt, np.uint64(1))
-        at = pieces.find(keys)
+        at = pieces.table.find(keys)
         for i, _ in odd:  # their words aren't looked up
             at[first[i] : first[i + 1]] = 0
         missing = np.flatnonzero(at < 0)

@@ -109,6 +109,37 @@ def hashed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(data, starts, ends), first
 
 
+class HashTable:
+    """Numbers by 64-bit hashes other than 0, found for many hashes at once."""
+
+    def __init__(self, bits: int):
+        self.shift = np.uint64(64 - bits)
+        self.last = (1 << bits) - 1
+        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Each key's number, -1 where there is none."""
+        out = np.full(len(keys), -1, np.int64)
+        slot, left = (keys >> self.shift).astype(np.int64), np.arange(len(keys))
+        while len(left):
+            there = self.keys[slot]
+            hit = there == keys[left]
+            out[left[hit]] = self.values[slot[hit]]
+            on = ~hit & (there != 0)
+            left, slot = left[on], (slot[on] + 1) & self.last
+        return out
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Adds keys, which are new and distinct; at least as many slots must be free."""
+        slot, left = (keys >> self.shift).astype(np.int64), np.arange(len(keys))
+        while len(left):
+            free = np.flatnonzero(self.keys[slot] == 0)
+            self.keys[slot[free]] = keys[left[free]]  # of several for one slot the last stays
+            there = self.keys[slot] == keys[left]
+            self.values[slot[there]] = values[left[there]]
+            left, slot = left[~there], (slot[~there] + 1) & self.last
+
+
 def grams(h: np.ndarray, width: int) -> np.ndarray:
     """Hashes of the runs of ``width`` words."""
     n = len(h) - width + 1
