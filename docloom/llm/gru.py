@@ -31,23 +31,30 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def _take_softmax(x: np.ndarray, rows: np.ndarray, at: np.ndarray) -> float:
+def _bounded(w: np.ndarray, b: np.ndarray) -> bool:
+    """Whether no state, whose entries are within 1, can have a score that exp() can't take as it is."""
+    return float(np.abs(w).sum(-2).max() + np.abs(b).max()) < 40
+
+
+def _take_softmax(x: np.ndarray, rows: np.ndarray, at: np.ndarray, bounded: bool) -> float:
     """Turns rows of scores into the gradient of their loss, the softmax less one at the target; the summed log-probabilities."""
-    x -= x.max(1, keepdims=True)
+    if not bounded:
+        x -= x.max(1, keepdims=True)
     scores = x[rows, at].sum(dtype=np.float64)
     np.exp(x, out=x)
-    total = x.sum(1, keepdims=True)
-    x /= total
+    total = x @ np.ones(x.shape[1], x.dtype)
+    x *= (1 / total)[:, None]
     x[rows, at] -= 1
     return float(scores - np.log(total).sum(dtype=np.float64))
 
 
-def _picked(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _picked(x: np.ndarray, at: np.ndarray, bounded: bool) -> np.ndarray:
     """One entry a row of the logarithm of the softmax; ``x`` is used up."""
-    x -= x.max(1, keepdims=True)
+    if not bounded:
+        x -= x.max(1, keepdims=True)
     score = x[np.arange(len(x)), at].astype(np.float64)
     np.exp(x, out=x)
-    return score - np.log(x.sum(1))
+    return score - np.log(x @ np.ones(x.shape[1], x.dtype))
 
 
 class Gru:
@@ -88,13 +95,14 @@ class Gru:
         out = np.empty(len(h))
         order = np.argsort(kind, kind="stable")
         sorted_h = h[order]
+        all_bounded, bounded = _bounded(p["class_w"], p["class_b"]), _bounded(p["word_w"], p["word_b"])
         for at in range(0, len(h), ROWS):
             part = slice(at, at + ROWS)
-            out[part] = _picked(sorted_h[part] @ p["class_w"] + p["class_b"], kind[order[part]])
+            out[part] = _picked(sorted_h[part] @ p["class_w"] + p["class_b"], kind[order[part]], all_bounded)
         bounds = np.searchsorted(kind[order], np.arange(CLASSES + 1))
         for c in np.nonzero(np.diff(bounds))[0]:
             part = slice(bounds[c], bounds[c + 1])
-            out[part] += _picked(sorted_h[part] @ p["word_w"][c] + p["word_b"][c], inner[order[part]])
+            out[part] += _picked(sorted_h[part] @ p["word_w"][c] + p["word_b"][c], inner[order[part]], bounded)
         result = np.empty(len(h))
         result[order] = out
         return result
@@ -131,14 +139,14 @@ class Gru:
         hs = before[1:].reshape(-1, k)[rows]
         grads = {}
         d = hs @ p["class_w"] + p["class_b"]
-        loss = -_take_softmax(d, at, kind)
-        grads["class_w"], grads["class_b"] = hs.T @ d, d.sum(0)
+        loss = -_take_softmax(d, at, kind, _bounded(p["class_w"], p["class_b"]))
+        grads["class_w"], grads["class_b"] = hs.T @ d, np.ones(len(d), dtype) @ d
         dh = d @ p["class_w"].T
         e = np.empty((len(y), PER_CLASS), dtype)
         for c in there:
             np.matmul(hs[bounds[c] : bounds[c + 1]], p["word_w"][c], out=e[bounds[c] : bounds[c + 1]])
         e += p["word_b"][kind]
-        loss -= _take_softmax(e, at, within)
+        loss -= _take_softmax(e, at, within, _bounded(p["word_w"], p["word_b"]))
         grads["word_w"], grads["word_b"] = np.zeros_like(p["word_w"]), np.zeros_like(p["word_b"])
         for c in there:
             part = slice(bounds[c], bounds[c + 1])
@@ -163,7 +171,7 @@ class Gru:
             dc[i, :, : 2 * k], dc[i, :, 2 * k :] = da[i, :, : 2 * k], dn * r[i]
             carry = dhi * z[i] + dc[i] @ ut
         da, dc = da.reshape(-1, 3 * k), dc.reshape(-1, 3 * k)
-        grads["w"], grads["b"], grads["u"] = x.T @ da, da.sum(0), before[:-1].reshape(-1, k).T @ dc
+        grads["w"], grads["b"], grads["u"] = x.T @ da, np.ones(len(da), dtype) @ da, before[:-1].reshape(-1, k).T @ dc
         dx = da @ p["w"].T
         grads["embed"] = np.stack([np.bincount(words, dx[:, j], VOCAB) for j in range(EMBED)], 1).astype(dtype)
         return float(loss), grads, len(y), before[t]

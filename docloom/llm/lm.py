@@ -31,9 +31,9 @@ from docloom.llm.common import docs_only, fold, materialize
 from docloom.llm.words import HashTable, parts, text_bytes, word_hashes, word_places
 
 HELD_OUT_FOLD = 1
-HEAD, LONGEST = 200_000, 64
-#: Words that a task counts before it passes them on.
-MOST_COUNTED = 400_000
+HEAD, LONGEST = 400_000, 64
+#: Half of two to this power is how many words a task counts before it passes them on.
+COUNTED_BITS = 20
 #: Documents that the recurrent model is started on, at most, how often, and how many side by side.
 START_DOCS, START_ROUNDS, START_BATCH, START_RATE, RATE = 400, 2, 64, 0.1, 0.03
 FAN_IN = 32
@@ -53,19 +53,25 @@ def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray,
 
 def _counts_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "c"])
+        return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in seen], pa.string()), pa.array(times[: len(seen)])], ["word", "c"])
 
-    seen: dict[bytes, int] = {}
+    seen: list[bytes] = []
+    index, times = HashTable(COUNTED_BITS), np.zeros(1 << COUNTED_BITS, np.int64)
     for b in batches:
         for _, part in parts(b.column(0)):
             hashes, _, raw, starts, ends = _words(part)
-            _, where, times = np.unique(hashes, return_index=True, return_counts=True)
-            for a, e, n in zip(starts[where].tolist(), ends[where].tolist(), times.tolist()):
-                w = raw[a:e]
-                seen[w] = seen.get(w, 0) + n
-            if len(seen) >= MOST_COUNTED:
+            places = index.find(hashes)
+            there = places[places >= 0]
+            times[: len(seen)] += np.bincount(there, minlength=len(seen)) if len(seen) else 0
+            new, where, n = np.unique(hashes[places < 0], return_index=True, return_counts=True)
+            where = np.flatnonzero(places < 0)[where]
+            if len(seen) + len(new) > len(times) // 2:
                 yield rows()
-                seen.clear()
+                seen, index = [], HashTable(max(COUNTED_BITS, (2 * len(new)).bit_length()))
+                times = np.zeros(len(index.keys), np.int64)
+            index.put(new, np.arange(len(seen), len(seen) + len(new)))
+            times[len(seen) : len(seen) + len(new)] = n
+            seen += [raw[a:e] for a, e in zip(starts[where].tolist(), ends[where].tolist())]
     if seen:
         yield rows()
 
@@ -149,13 +155,13 @@ class Tables:
         data, offsets = text_bytes(joined)
         self.index = HashTable(max(4, (2 * len(words)).bit_length()))
         self.index.put(np.maximum(word_hashes(data, offsets[:-1], offsets[1:]), np.uint64(1)), np.arange(len(words)))
-        self.counts, self.total, self.ends = counts, total, ends
+        self.total, self.ends = total, ends
         self.below = total + 0.5 * (distinct + 1)
         self.base = np.log10((counts + 0.5) / self.below) if self.below else np.zeros(0)
         self.spelling = spelling
         self.weights = weights
         # numbers of the recurrent model: the end, the unknown word, then the most frequent words
-        self.number = np.full(len(words) + 1, gru.UNKNOWN)
+        self.number = np.full(len(words) + 1, gru.UNKNOWN, np.int32)
         n = min(len(words), gru.VOCAB - 2)
         self.number[:n] = np.arange(2, n + 2)
         self.unknown = max(1, total - ends - int(counts[:n].sum()))  # tokens of training that the model doesn't number
@@ -257,8 +263,10 @@ def corpus_tables(training: DataFrame, counts: DataFrame) -> Tables:
     first[gru.END], first[gru.UNKNOWN] = ends, int(rows_total) - int(number[: len(known)].sum())
     first[2 : 2 + len(known)] = number[: len(known)]
     model.start_from_counts(first)
-    sample = training.select("text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(START_DOCS)  # its rows are the same however the table lies
-    texts = pa.array([r["text"] for r in sorted(sample.collect(), key=lambda r: (r["h"], r["text"]))], pa.string())
+    hashed = training.select("text", F.xxhash64("doc_id", "text").alias("h"))  # the same rows however the table lies
+    chosen = [r["h"] for r in hashed.select("h").distinct().orderBy("h").limit(START_DOCS).collect()]
+    sample = hashed.where(F.col("h").isin(chosen)).dropDuplicates(["h"]).collect()
+    texts = pa.array([r["text"] for r in sorted(sample, key=lambda r: r["h"])], pa.string())
     for _ in range(START_ROUNDS):
         model.train_all((d for _, part in parts(texts) for d in tables.numbers(part)), START_RATE, START_BATCH)
     tables.weights = model.flat()

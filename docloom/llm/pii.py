@@ -1,14 +1,17 @@
 """Personal data: exact patterns, and a skip-chain conditional random field that adds what they miss.
 
-The patterns give the base spans. Around every word that holds a digit or an at sign the field has a chain of words;
-skip edges join each word to the next later word of the document with the same letters and digits (or the same last
-digits), however far away. Base words are clamped to their label, and loopy message passing carries labels along the
-chains and skip edges, so that a phone number written once in full is also found where it recurs without its prefix.
-Weights are fitted by pseudo-likelihood in numpy on the base labels of a bounded sample and on rewritten copies of
-them (``name (at) host``, numbers without ``+``, other separators).
-
-Words without digit or at sign that neighbour no such word have the label "none" by definition of the field, so texts
-without any such character need no pass through Python.
+The patterns give the base spans. The field has a chain of words around every piece of evidence: a digit, an at sign,
+the spelt-out signs of disguised addresses (``(at)``, ``[at]``, `` at host.org``, `` dot ``), and every place where a
+part of a base span, such as a mailbox or a host, recurs in the document. Skip edges join each of these words to the next later one
+of the document that is the same (case and outer punctuation aside), has the same last digits, alone or with the
+digits of its neighbours, or is the same part of an address, however far away. Base words are clamped to their label,
+and loopy message passing carries labels along the chains and skip edges, so that what was written once in full is
+also found where it recurs in a form that no pattern knows. All weights, those of skip edges too, are fitted by
+pseudo-likelihood in numpy on the base labels of a bounded sample of whole documents and on copies of these that have the base
+spans rewritten (``name (at) host``, numbers without ``+``, other separators).
+
+Words without evidence that neighbour none have the label "none" by definition of the field, so texts without any need
+no pass through Python.
 
 Defined results: a null text counts as empty; an empty text has zero counts, no spans and the hash of the empty
 string; repeated rows are each reported; rows without an id are reported with a null id; offsets count code points.
@@ -19,7 +22,6 @@ adds nothing.
 from __future__ import annotations
 
 import hashlib
-import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -34,12 +36,15 @@ from docloom.llm.common import docs_only, spans_text
 KINDS = ("email", "ip", "card", "phone")
 LABELS = 1 + len(KINDS)  # 0: none
 
-#: Documents that the field's weights are fitted on, at most; those with the smallest hash of their id.
+#: Documents that the field's weights are fitted on, at most; those with the smallest hash of their text.
 MAX_SAMPLE = 600
 #: A word gets a label that the patterns don't give from this marginal probability on.
 SURE = 0.9
 BUCKETS, ROUNDS, DAMPING, STEPS = 4096, 10, 0.5, 150
-EVIDENCE = "[0-9@]"
+#: The share of words whose features count in a step of the fit.
+HEARD = 0.6
+#: Digits and at signs, and at signs and dots that are spelt out. Read alike by Java and Python.
+EVIDENCE = r"[0-9@]|[(\[]at[)\]]|\x20at\x20[A-Za-z0-9-]+\.[A-Za-z0-9]|\x20dot\x20"
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -120,14 +125,34 @@ def _gap(c: str) -> bool:
     return c == " " or "\t" <= c <= "\r"
 
 
-def windows(text: str) -> list[list[tuple[int, int]]]:
-    """Chains of word spans: each word with a digit or at sign, and its two neighbours on either side."""
+_EVIDENT = re.compile(EVIDENCE)
+_PART = re.compile(r"[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*")
+
+
+def address_parts(word: str) -> list[str]:
+    """Mailbox and host of an address, or of what may be a part of one: runs with a dot or of five characters and more."""
+    return [x.lower() for x in _PART.findall(word) if "." in x or len(x) >= 5]
+
+
+def evidence_places(text: str, base: list[tuple[int, int, int]]) -> list[int]:
+    """Where evidence begins: that of the pattern, and each recurrence of a part of an e-mail's base span."""
+    found = [m.start() + (m[0][0] == " ") for m in _EVIDENT.finditer(text)]
+    known = {x for s, k, e in base if k == 0 for x in address_parts(text[s:e])}
+    if known:
+        found += [m.start() for m in _PART.finditer(text) if m[0].lower() in known]
+        found.sort()
+    return found
+
+
+def windows(text: str, base: list[tuple[int, int, int]]) -> list[list[tuple[int, int]]]:
+    """Chains of word spans: each word with evidence, and its two neighbours on either side."""
     chains: list[list[tuple[int, int]]] = []
-    reach = 0
-    for m in re.finditer(EVIDENCE, text):
-        if m.start() < reach:
+    reach, places, next_ = 0, evidence_places(text, base), 0
+    while next_ < len(places):
+        s = places[next_]
+        next_ += 1
+        if s < reach:
             continue
-        s = m.start()
         while s > 0 and not _gap(text[s - 1]):
             s -= 1
         chain, at = [_WORD.match(text, s).span()], s
@@ -145,7 +170,9 @@ def windows(text: str) -> list[list[tuple[int, int]]]:
         while after < 2 and (w := _WORD.search(text, at)):
             chain.append(w.span())
             at = w.end()
-            after = 0 if re.search(EVIDENCE, w[0][:200]) else after + 1
+            while next_ < len(places) and places[next_] < w.start():
+                next_ += 1
+            after = 0 if next_ < len(places) and places[next_] < at else after + 1
         reach = at
         if chains and not text[chains[-1][-1][1] : chain[0][0]].strip():
             chains[-1].extend(chain)
@@ -155,7 +182,7 @@ def windows(text: str) -> list[list[tuple[int, int]]]:
 
 
 def _shape(word: str) -> str:
-    w = re.sub(r"[A-Za-zÀ-ɏ]+", "a", word[:60])
+    w = re.sub(r"[A-Za-zÀ-ɏ]+", "a", word)
     return re.sub(r"[0-9]+", lambda m: f"9{min(len(m[0]), 19)}", w)
 
 
@@ -170,16 +197,26 @@ def _features(words: list[str], i: int) -> list[int]:
     return [
         _bucket("bias"), _bucket("shape", _shape(w)), _bucket("digits", min(len(digits), 20)), _bucket("at", "@" in w, w.count(".") >= 1),
         _bucket("luhn", 12 <= len(digits) <= 19, luhn(digits) if 12 <= len(digits) <= 19 else None), _bucket("first", w[:1] if not w[:1].isalnum() else "w"),
-        _bucket("word", w[:40].lower() if not digits else ""), _bucket("before", _shape(near[0])), _bucket("after", _shape(near[1])), _bucket("both", _shape(near[0]), _shape(w)),
+        _bucket("word", w.lower() if not digits else ""), _bucket("before", _shape(near[0])), _bucket("after", _shape(near[1])), _bucket("both", _shape(near[0]), _shape(w)),
+        _bucket("words", near[0].lower() if len(near[0]) <= 5 else "", near[1].lower() if len(near[1]) <= 5 else ""),
     ]
 
 
-def _skip_keys(word: str) -> list[tuple[str, str]]:
-    core = word.strip(_EDGE).lower()
-    digits = "".join(_DIGITS.findall(core))
-    if len(core) < 5 or not re.search(EVIDENCE, core):
-        return []
-    return [("core", core)] + ([("digits", digits[-7:])] if len(digits) >= 7 else [])
+def _skip_keys(words: list[str], i: int) -> list[tuple[str, str]]:
+    """What a word shares with others of its kind: itself, its address parts, its digits with those of the digit words around it."""
+    core = words[i].strip(_EDGE).lower()
+    keys = [("core", core)] if len(core) >= 5 else []
+    keys += [("part", x) for x in address_parts(core) if not x.replace(".", "").isdigit()]
+    if _DIGITS.search(core):
+        a = b = i
+        while a > 0 and _DIGITS.search(words[a - 1]) and not re.search("[A-Za-z@]", words[a - 1]):
+            a -= 1
+        while b + 1 < len(words) and _DIGITS.search(words[b + 1]) and not re.search("[A-Za-z@]", words[b + 1]):
+            b += 1
+        digits = "".join("".join(_DIGITS.findall(w)) for w in words[a : b + 1])
+        own = "".join(_DIGITS.findall(core))
+        keys += [("digits", x[-7:]) for x in dict.fromkeys((own, digits)) if len(x) >= 7]
+    return keys
 
 
 class Graph:
@@ -194,7 +231,7 @@ class Graph:
     def add(self, doc: int, text: str, base: list[tuple[int, int, int]]) -> None:
         seen: dict[tuple[str, str], int] = {}
         at = 0
-        for chain in windows(text):
+        for chain in windows(text, base):
             words = [text[s:e] for s, e in chain]
             for i, (s, e) in enumerate(chain):
                 while at < len(base) and base[at][2] <= s:
@@ -207,7 +244,7 @@ class Graph:
                 if i:
                     self.edges.append((node - 1, node, 0))
                 linked = set()
-                for key in _skip_keys(words[i]):
+                for key in _skip_keys(words, i):
                     if key in seen and seen[key] != node - 1 and seen[key] not in linked:
                         self.edges.append((seen[key], node, 1))
                         linked.add(seen[key])
@@ -237,8 +274,7 @@ class Field:
             pot = np.concatenate([self.pair[kind], self.pair[kind].transpose(0, 2, 1)])
             msg = np.zeros((len(src), LABELS))
             for _ in range(ROUNDS + 1):
-                belief = unary.copy()
-                np.add.at(belief, dst, msg)
+                belief = unary + np.stack([np.bincount(dst, msg[:, j], n) for j in range(LABELS)], 1)
                 x = (belief[src] - msg[back])[:, :, None] + pot
                 top = x.max(1, keepdims=True)
                 new = (top + np.log(np.exp(x - top).sum(1, keepdims=True)))[:, 0]
@@ -253,33 +289,42 @@ def fit_field(graphs: Graph) -> Field | None:
     if not len(y) or not y.any():
         return None
     x = np.array(graphs.features, np.int64)
-    n = len(y)
+    n, f = x.shape
     onehot = np.eye(LABELS)[y]
     a, b, kind = np.array(graphs.edges, np.int64).reshape(-1, 3).T
+    # words without a label that recur as a part of a base span may be what the patterns miss: they and their neighbours teach nothing
+    unsure = np.zeros(n, bool)
+    skip = kind == 1
+    unsure[a[skip & (y[a] == 0) & (y[b] > 0)]] = unsure[b[skip & (y[b] == 0) & (y[a] > 0)]] = True
+    beside = unsure.copy()
+    beside[a[~skip & unsure[b]]] = beside[b[~skip & unsure[a]]] = True
+    unsure = beside & (y == 0)
+    sure = ~(unsure[a] | unsure[b])
+    a, b, kind = a[sure], b[sure], kind[sure]
     node, pair = np.zeros((BUCKETS, LABELS)), np.zeros((2, LABELS, LABELS))
     sq_node, sq_pair = np.full_like(node, 1e-6), np.full_like(pair, 1e-6)
-    weight = np.where(y > 0, 1.0, 1.0)[:, None]
+    to_b, to_a = (kind * LABELS + y[a]) * LABELS, kind * LABELS * LABELS + y[b]  # a pair's first place in the flat form
+    labels = np.arange(LABELS)
+    chance = np.random.default_rng(13)
     for _ in range(STEPS):
-        z = node[x].sum(1)
-        np.add.at(z, b, pair[kind, y[a]])
-        np.add.at(z, a, pair[kind, :, y[b]])
+        heard = chance.random(n) < HEARD  # the others' labels have to follow from their neighbours along chains and skip edges
+        z = node[x].sum(1) * heard[:, None]
+        for j in labels:
+            z[:, j] += np.bincount(b, pair.ravel()[to_b + j], n) + np.bincount(a, pair.ravel()[to_a + LABELS * j], n)
         p = np.exp(z - z.max(1, keepdims=True))
-        d = (p / p.sum(1, keepdims=True) - onehot) * weight
-        gn = np.zeros_like(node)
-        for j in range(x.shape[1]):
-            np.add.at(gn, x[:, j], d)
-        gp = np.zeros_like(pair)
-        for k in (0, 1):
-            e = kind == k
-            np.add.at(gp[k], y[a[e]], d[b[e]])
-            np.add.at(gp[k].T, y[b[e]], d[a[e]])
+        d = (p / p.sum(1, keepdims=True) - onehot) * ~unsure[:, None]
+        own = d * heard[:, None]
+        gn = np.stack([np.bincount(x.ravel(), np.repeat(own[:, j], f), BUCKETS) for j in labels], 1)
+        gp = sum(np.bincount(to_b + j, d[b, j], pair.size) + np.bincount(to_a + LABELS * j, d[a, j], pair.size) for j in labels).reshape(pair.shape)
         gn, gp = gn / n + 1e-4 * node, gp / n + 1e-4 * pair
+        alike = np.trace(gp[1][1:, 1:]) / (LABELS - 1)  # words alike share one potential, whichever their label
+        apart = (gp[1].sum() - np.trace(gp[1])) / (LABELS * (LABELS - 1))
+        gp[1] = np.where(np.eye(LABELS) > 0, alike, apart)
+        gp[1][0, 0] = 0
         sq_node += gn**2
         sq_pair += gp**2
         node -= 0.2 * gn / np.sqrt(sq_node)
         pair -= 0.2 * gp / np.sqrt(sq_pair)
-    even = np.trace(pair[1]) / LABELS  # words alike share a label, whichever it is: one strength, at least 2
-    pair[1] = max(2.0, even) * np.eye(LABELS)
     return Field(node, pair)
 
 
@@ -292,9 +337,9 @@ def _rewritten(text: str, base: list[tuple[int, int, int]], how: int) -> tuple[s
             continue
         x = text[s:e]
         if k == 0:
-            x = x.replace("@", ("(at)", "[at]", " at ")[how % 3])
+            x = x.replace("@", ("(at)", " (at) ", "[at]", " [at] ", " at ")[how % 5])
         elif k == 3:
-            x = x[1:] if how % 2 else "00" + x[1:]
+            x = ("00" + x[1:], x[1:], *(re.sub("[^0-9]+", sep, x[1:]) for sep in "-./ "))[how % 6]
         elif k == 2:
             d = "".join(_DIGITS.findall(x))
             x = ("." if how % 2 else "/").join(d[i : i + 4] for i in range(0, len(d), 4))
@@ -307,28 +352,25 @@ def _rewritten(text: str, base: list[tuple[int, int, int]], how: int) -> tuple[s
     return "".join([*out, text[at:]]), spans
 
 
-def _sample_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each sampled text its chains only, one to a line: what the field is fitted on."""
-    for b in batches:
-        kept = []
-        for text in b.column(1).to_pylist():
-            spans = windows(text)
-            kept.append(json.dumps([text[c[0][0] : c[-1][1]] for c in spans[:50]]))
-        yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string())], ["chains"])
-
-
 def train(docs: DataFrame, most: int = MAX_SAMPLE) -> Field | None:
-    """The field fitted on at most ``most`` documents that hold a digit or at sign; 50 chains of each at most."""
-    with_any = docs.where(F.col("text").rlike(EVIDENCE))
-    ids = [r[0] for r in with_any.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
-    rows = with_any.where(F.col("doc_id").isin(ids)).mapInArrow(_sample_batches, "chains string").limit(2 * most).collect()
+    """The field fitted on at most ``most`` whole documents with evidence, half of them with an at sign or plus sign if there are as many.
+
+    A document is read as it is, and once more followed by a copy with its base spans rewritten, so that skip edges
+    between the forms are seen, too.
+    """
+    hashed = docs.where(F.col("text").rlike(EVIDENCE)).select("text", F.xxhash64("text").alias("h"), F.col("text").rlike("[@+]").alias("signed"))
+    distinct = hashed.select("h", "signed").distinct()
+    chosen = [r["h"] for s in (True, False) for r in distinct.where(F.col("signed") == s).orderBy("h").limit(most // 2).collect()]
+    rows = hashed.where(F.col("h").isin(chosen)).dropDuplicates(["h"]).collect()  # ``most`` at most
     g = Graph()
-    for n, r in enumerate(sorted(x[0] for x in rows)):
-        text = "\n".join(json.loads(r))
+    for n, r in enumerate(sorted(rows, key=lambda r: r["h"])):
+        text = r["text"]
         base = base_spans(text)
-        g.add(n, text, base)
+        g.add(2 * n, text, base)
         if base:
-            g.add(n, *_rewritten(text, base, n))
+            copy, spans = _rewritten(text, base, n)
+            shift = len(text) + 1
+            g.add(2 * n + 1, f"{text}\n{copy}", base + [(s + shift, k, e + shift) for s, k, e in spans])
     return fit_field(g)
 
 
@@ -361,7 +403,7 @@ def added_spans(field: Field | None, texts: list[str], bases: list[list[tuple[in
                 j += 1
             doc, s = g.spans[i][:2]
             s, e = _inside(texts[doc], s, g.spans[j - 1][2])
-            if re.search(EVIDENCE, texts[doc][s:e]):
+            if s < e:
                 found[doc].append((s, int(label[i]) - 1, e))
         i = j
     return found

@@ -1,6 +1,7 @@
 """Quality trees, personal data and secrets: fixtures, odd inputs, brute force."""
 
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -179,3 +180,39 @@ def test_quality_odd_rows(spark):
 @pytest.mark.parametrize("text", ["a", " ", "\n\n", "|||", "é" * 5, "#" * 1000])
 def test_statistics_are_finite(text):
     assert np.isfinite(quality.statistics(text)).all()
+
+
+def test_planted_forms(spark):
+    """Disguised and repeated personal data among plain words: what the field adds, against what was planted."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("aeioulnrst") for _ in range(r.randint(2, 9)))
+    name = lambda: f"{word()}.{word()}xy"
+    rows, planted = [], {}
+    for i in range(600):
+        kind, spans, out = i % 4, [], [word() for _ in range(r.randint(5, 40))]
+        n = f"{r.randint(10, 99)} {r.randint(100, 999)} {r.randint(100, 999)} {r.randint(1000, 9999)}"
+        mail = (name(), f"mail.{word()}z.com")
+        full, again = ("@".join(mail), r.choice(["(at)", " (at) ", " [at] "]).join(mail)) if kind == 0 else (f"+{n}", n.replace(" ", r.choice("-./"))) if kind == 1 else (str(r.randint(2, 3000)), str(r.randint(2, 3000)))
+        for x, k in ((full, None), (again, "email" if kind == 0 else "phone" if kind == 1 else None)):
+            out += [x if k is None else ("", x), *(word() for _ in range(r.randint(3, 30)))]
+        text = ""
+        for x in out:
+            if isinstance(x, tuple):
+                spans.append((len(text), len(text) + len(x[1])))
+                x = x[1]
+            text += x + " "
+        rows.append((i, text))
+        planted[i] = spans
+    got = pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    hit = wrong = 0
+    for g in got:
+        base = set(pii.spans_text(pii.base_spans(rows[g["doc_id"]][1]), pii.KINDS).split(","))
+        for x in set(filter(None, g["spans"].split(","))) - base:
+            _, s, e = x.split(":")
+            if any(int(s) < b and int(e) > a for a, b in planted[g["doc_id"]]):
+                hit += 1
+            else:
+                wrong += 1
+    every = sum(map(len, planted.values()))
+    print("planted", every, "hit", hit, "wrong", wrong)
+    assert hit >= 0.9 * every and wrong <= 0.05 * hit
