@@ -212,9 +212,10 @@ def test_planted_outliers_go_and_others_stay(spark):
 def test_distance_equals_numpy(spark):
     r = np.random.default_rng(6)
     x = r.normal(size=(400, outliers.P)) @ r.normal(size=(outliers.P, outliers.P)) * 0.3
-    df = spark.createDataFrame([("p", *map(float, v)) for v in x], "pool string, " + ", ".join(f"{v} double" for v in outliers.VECTOR))
-    got = outliers._with_distance(df, outliers._factored(outliers._moments(df, 1.0)))
-    cov = np.cov(x.T, bias=True) + np.diag([f**2 for f in outliers.FLOORS.values()])
+    df = spark.createDataFrame([("p", 0, *map(float, v)) for v in x], "pool string, start int, " + ", ".join(f"{v} double" for v in outliers.VECTOR))
+    got = outliers._with_distance(df.drop("start"), outliers._factored(outliers._moments(df, 1.0)))
+    cov = np.cov(x.T, bias=True)
+    cov[np.diag_indices(outliers.P)] = np.maximum(np.diag(cov), [f**2 for f in outliers.FLOORS.values()])
     want = np.einsum("ij,jk,ik->i", x - x.mean(0), np.linalg.inv(cov), x - x.mean(0))
     assert np.allclose(sorted(r["d2"] for r in got.collect()), np.sort(want), rtol=1e-6)
 
@@ -243,3 +244,43 @@ def test_pipeline_stages(spark, sf_dir):
 def test_registry():
     names = list(registry.queries())
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in names[:-1]] == list(range(1, 11)) and names[-1] == "pipeline"
+
+
+def test_estimate_is_the_least_determinant_of_both_starts(spark):
+    """Against numpy's concentration steps: a group of its own, with a third of its rows far away and close together."""
+    r = np.random.default_rng(11)
+    x = np.concatenate([r.normal(size=(200, outliers.P)), 0.2 * r.normal(size=(90, outliers.P)) + 6])
+    df = spark.createDataFrame([(i, "p", *map(float, v)) for i, v in enumerate(x)], "doc_id long, pool string, " + ", ".join(f"{v} double" for v in outliers.VECTOR))
+    lot = {r_[0] for r_ in df.where(F.pmod(F.xxhash64("doc_id", *outliers.VECTOR), F.lit(2)) == 0).select("doc_id").collect()}
+    floors = np.array([f**2 for f in outliers.FLOORS.values()])
+
+    def kept(cov):
+        cov = cov.copy()
+        cov[np.diag_indices(outliers.P)] = np.maximum(np.diag(cov), floors)
+        return cov
+
+    q = np.sort(x, 0)
+    at = lambda p, a: a[max(0, int(np.ceil(p * len(a))) - 1)]
+    starts = [(at(0.5, q), kept(np.diag(((at(0.75, q) - at(0.25, q)) / 1.349) ** 2)))]
+    half = x[sorted(lot)]
+    starts.append((half.mean(0), kept(np.cov(half.T, bias=True))))
+    found = []
+    for m, c in starts:
+        for _ in range(outliers.STEPS):
+            d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+            core = x[d <= at(outliers.CORE, np.sort(d))]
+            m, old, c = core.mean(0), c, kept(np.cov(core.T, bias=True) * outliers.CORE / outliers.CHI2_CORE_NEXT)
+            if abs(np.linalg.slogdet(old)[1] - np.linalg.slogdet(c)[1]) < 1e-9:
+                break
+        found.append((np.linalg.slogdet(c)[1], m))
+    got = outliers.estimates(df).collect()
+    assert len(got) == 1 and [got[0][f"m{i}"] for i in range(outliers.P)] == pytest.approx(list(min(found, key=lambda t: t[0])[1]), abs=1e-3)
+
+
+def test_small_groups_are_judged_by_larger_pools(spark):
+    r = np.random.default_rng(6)
+    make = lambda n: " ".join("".join(r.choice(list("abcdefghij"), r.integers(3, 8))) for _ in range(n))
+    rows = [(i, make(int(r.integers(80, 300))), "en", "big" if i % 10 else f"small{i}") for i in range(400)]
+    rows += [(1000 + i, " ".join(w + "###" for w in make(100).split()), lang, "rare") for i, lang in enumerate(("en", "xx", None))]
+    got = {x["doc_id"]: x["kept"] for x in outliers.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(got[1000 + i] for i in range(3)) and np.mean([got[i] for i in range(400)]) > 0.98
