@@ -14,7 +14,7 @@ edit distance. ``TABLES`` keys sample ``SAMPLES`` written words each. Around a w
 whole item is verified by exact alignment, unless more than d of its words don't occur there at all. At exactly n / 5
 edits recall in a simulation was at least 0.99 for items of 10 to 300 words, deletions alone included.
 
-The items are read in blocks of at most ``BLOCK`` and each block is carried to all texts, whatever the number of items.
+The items are read in blocks of some ``BLOCK`` and each batch of texts meets all blocks in one pass, whatever the number of items.
 
 Defined results: a null or empty text holds nothing; null or empty items are ignored; an item of fewer than five words
 must stand there exactly; letters A-Z count as lower case; repeated rows are each reported; of several places of an
@@ -23,14 +23,17 @@ item in a document the nearest, then the first is reported. Columns of either ta
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import docs_only, materialize
+from docloom.llm.common import docs_only, new_dir
+from docloom.llm.frames import filesystem
 from docloom.llm.words import K1, grams, hashed, mix, parts
 
 EDITS = 5  # one edit per so many words
@@ -209,31 +212,62 @@ def find_in_texts(items: Items, texts: pa.Array | list[str | None]) -> list[list
 SCHEMA = "doc_id long, item_id long, distance long, start_word long, n_words long"
 
 
-def find_items(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
-    """A row for each item that a document holds."""
-    docs = docs_only(docs)
+def _items(benchmark: DataFrame, block: int) -> Callable[[], Iterator[Items]]:
+    """A function that gives the items of a benchmark, a block at a time, on any executor.
+
+    One block is carried along with the function; more are written to the shared folder, so that neither the driver nor
+    a worker holds more than one, whatever the number of items.
+    """
+    spark = benchmark.sparkSession
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null and item_id is not null")
     blocks = max(1, -(-bench.count() // block))
-    out = None
+    at = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+    folder = new_dir(spark, "benchmark-items")
     for n in range(blocks):
-        rows = bench.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == n).collect()  # a block of items
-        items = Items([(r["item_id"], r["text"]) for r in rows])
+        items = Items([(r["item_id"], r["text"]) for r in bench.where(at == n).collect()])  # a block of items
+        if blocks == 1:
+            return lambda: iter([items])
+        store, path = filesystem(f"{folder}/{n}")
+        store.create_dir(path.rpartition("/")[0], recursive=True)
+        with store.open_output_stream(path) as out:
+            out.write(pickle.dumps(items))
+
+    def each() -> Iterator[Items]:
+        for n in range(blocks):
+            store, path = filesystem(f"{folder}/{n}")
+            with store.open_input_file(path) as f:
+                yield pickle.loads(f.read())
+
+    return each
+
 
-        def batches(it: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
-            for b in it:
+def find_items(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
+    """A row for each item that a document holds; texts are read once."""
+    each = _items(benchmark, block)
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for items in each():
                 for at, texts in parts(b.column(1)):
-                    found = find_in_texts(items, texts)
+                    found = find_in_texts(items, texts) if items.ids else []
                     rows = [(d, *f) for d, fs in zip(b.column(0).slice(at, len(texts)).to_pylist(), found) for f in fs]
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "item_id", "distance", "start_word", "n_words"])
 
-        if items.ids:
-            part = docs.mapInArrow(batches, SCHEMA)
-            out = part if out is None else out.unionAll(part)
-    return out if out is not None else docs.sparkSession.createDataFrame([], SCHEMA)
+    return docs_only(docs).mapInArrow(batches, SCHEMA)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``docs`` less the rows whose text holds an item; rows are judged where they are read, whatever their ids."""
+    each, place = _items(benchmark, block), docs.columns.index("text")
 
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            clean = np.ones(b.num_rows, bool)
+            texts = pc.fill_null(b.column(place), "")
+            for items in each():
+                for at, part in parts(texts) if items.ids else ():
+                    clean[at : at + len(part)] &= [not x for x in find_in_texts(items, part)]
+            yield b.filter(pa.array(clean))
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` less the rows whose id holds an item; rows without an id stay."""
-    found = materialize(find_items(docs, benchmark).where("doc_id is not null").select(F.col("doc_id").alias("__held")).distinct(), "held-items")
-    return docs.join(found, F.col("doc_id").cast("long") == F.col("__held"), "left_anti")
+    return docs.mapInArrow(batches, docs.schema)
