@@ -7,11 +7,11 @@ decompressed size and crc32 of the decompressed bytes, then the index frame's pl
 zstandard readers skip both tables. A reader takes the tables from the shard's end and decompresses only the frames
 that hold the documents asked for.
 
-Documents are range-partitioned and sorted by id; a task writes one shard under a name of its attempt and renames it,
+Documents are range-partitioned and sorted by id, those of one id by a hash of their text; a task writes one shard under a name of its attempt and renames it,
 so a repeated task replaces what a lost one left. Shards are numbered in the order of ids.
 
 Defined results: a null text counts as empty and yields its end id alone; rows without an id come first; rows with the
-same id are ordered by text; an empty table makes no shard with documents and no rows. Columns other than doc_id and
+same id are ordered by a hash of their text; an empty table makes no shard with documents and no rows. Columns other than doc_id and
 text are ignored, whatever their names.
 """
 
@@ -169,7 +169,9 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end
         row = [[context.partitionId()], [name], [len(writer.ids)], [writer.tokens]]
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int64(), pa.string(), pa.int64(), pa.int64()))], ["part", "name", "docs", "tokens"])
 
-    ordered = docs_only(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", "text_hash", "row"]  # so that ranges hold even where many rows have one id, or are the same
+    keyed = docs_only(docs).withColumn("text_hash", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+    ordered = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     found = ordered.mapInArrow(shard, "part long, name string, docs long, tokens long").collect()  # a row a shard
     return [(r["name"], r["docs"], r["tokens"]) for r in sorted(found, key=lambda r: r["part"]) if r["docs"]]
 
