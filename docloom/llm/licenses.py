@@ -104,7 +104,9 @@ def own_licenses(files: DataFrame) -> DataFrame:
 
 def scan(files: DataFrame) -> DataFrame:
     """doc_id, path, license, score, found ('own', 'inherited', 'none') and licence_dir of every file row (doc_id, path, text)."""
-    rows = files.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("path").cast("string").alias("path"), "text", F.monotonically_increasing_id().alias("row"))
+    parts = [F.isnull("doc_id"), F.col("doc_id").cast("long"), F.isnull("path"), F.col("path").cast("string"), F.col("text")]
+    key = F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(*reversed(parts)).alias("b"))  # equal for equal rows only, however often it is computed
+    rows = files.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("path").cast("string").alias("path"), "text", key.alias("row"))
     own = materialize(own_licenses(rows), "license-own")
     slash = F.length("path") - F.instr(F.reverse("path"), "/")
     folder = F.when(F.instr("path", "/") > 0, F.substring("path", F.lit(1), slash)).otherwise(F.lit(""))
