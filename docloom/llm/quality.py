@@ -181,7 +181,8 @@ def marked(labels: DataFrame, held_out_fold: int = HELD_OUT_FOLD, most: int = MA
 
 def labelled_sample(stats: DataFrame, marks: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Statistics and quality of the marked ids."""
-    rows = stats.join(F.broadcast(marks), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()  # bounded as the marks are
+    least = F.min(F.struct(*STATS)).alias("s")  # of rows with one id always the same
+    rows = stats.join(F.broadcast(marks), "doc_id").groupBy("doc_id", "y").agg(least).select("doc_id", "y", "s.*").orderBy("doc_id").toPandas()  # bounded as the marks are
     return rows[list(STATS)].to_numpy(np.float64), rows["y"].to_numpy(np.float64)
 
 
