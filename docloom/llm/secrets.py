@@ -48,7 +48,6 @@ def evidence(text: Column) -> Column:
     return text.rlike("[0-9:=]") | text.contains("AKIA") | text.rlike("[a-f]{24}")
 
 
-
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     found = [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
     found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if len(m[0]) >= 20]
@@ -63,7 +62,7 @@ def entropy(word: str) -> float:
 
 def _is_secret(word: str) -> bool:
     kinds = (any(c.islower() for c in word), any(c.isupper() for c in word), any(c.isdigit() for c in word))
-    return len(word) <= 4096 and all(kinds) and entropy(word) >= ENTROPY
+    return all(kinds) and entropy(word) >= ENTROPY
 
 
 def weak_candidates(text: str) -> list[tuple[int, int, int]]:

@@ -140,6 +140,49 @@ def test_secrets_odd_rows_and_redaction(spark):
     assert secrets.redact(d.where("false")).count() == 0
 
 
+def test_secrets_whole_table(spark, sf_dir):
+    """Base spans by the patterns as they stand; links by all pairs of parts."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text").collect()
+    got = {r["doc_id"]: r for r in secrets.find_secrets(table(spark, sf_dir, "documents")).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        text, g = r["text"] or "", got[r["doc_id"]]
+        assign = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[1]) >= 6]
+        access = [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+        hexes = [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+        base = secrets.spans_text(assign + access + hexes, secrets.KINDS)
+        assert (g["n_assign"], g["n_access"], g["n_hex"], g["base_sha256"]) == (len(assign), len(access), len(hexes), hashlib.sha256(base.encode()).hexdigest())
+
+
+def test_long_secrets_are_linked():
+    text = "client_id=myservice " + "aB3x" * 3000
+    base = secrets.base_spans(text)
+    assert {k for _, k, _ in secrets.linked_spans(text, base)} == {3, 4} or secrets.entropy("aB3x" * 3000) < secrets.ENTROPY
+    key = "".join(random.Random(1).choices("abcdefghijABCDEFGHIJ0123456789", k=9000))
+    assert [k for _, k, _ in secrets.linked_spans(f"client_id=myservice {key}", [])] == [3, 4]
+
+
+def test_statistics_by_brute_force():
+    """The statistics of a text against their definitions."""
+    text = "Ab cd, cd!  12 É#x (ab)\nab cd cd\nab cd cd\n\n"
+    s = dict(zip(quality.STATS, quality.statistics(text)))
+    words, lines = text.split(), [x for x in text.split("\n") if x.strip()]
+    ink = sum(not c.isspace() for c in text)
+    assert s["log_words"] == pytest.approx(np.log1p(len(words))) and s["log_chars"] == pytest.approx(np.log1p(len(text)))
+    assert s["digits"] == pytest.approx(2 / ink) and s["symbols"] == pytest.approx(1 / ink) and s["commas"] == pytest.approx(1 / ink)
+    assert s["dup_lines"] == pytest.approx(1 - len(set(lines)) / len(lines)) and s["distinct_words"] == pytest.approx(len(set(words)) / len(words))
+    pairs = list(zip(words, words[1:]))
+    assert s["repeat_pairs"] == pytest.approx(1 - len(set(pairs)) / len(pairs)) and s["line_words"] == pytest.approx(len(words) / len(lines))
+
+
+def test_repeated_ids_train_alike(spark):
+    stats = ", ".join(f"{s} double" for s in quality.STATS)
+    rows = [(i, *[float((i * 7 + j + k) % 11) for j in range(len(quality.STATS))]) for i in range(30) for k in (0, 5)]
+    marks = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, y int")
+    one, two = (quality.labelled_sample(spark.createDataFrame(x, f"doc_id long, {stats}").repartition(3), marks)[0] for x in (rows, rows[::-1]))
+    assert np.array_equal(one, two) and len(one) == 30
+
+
 def test_trees_learn_a_rule():
     r = np.random.default_rng(0)
     x = r.normal(size=(800, len(quality.STATS)))
