@@ -31,14 +31,14 @@ from docloom.llm.common import docs_only, fold, materialize
 from docloom.llm.words import HashTable, parts, text_bytes, word_hashes, word_places
 
 HELD_OUT_FOLD = 1
-HEAD, LONGEST = 400_000, 64
+HEAD, LONGEST = 250_000, 64
 #: Half of two to this power is how many words a task counts before it passes them on.
 COUNTED_BITS = 20
 #: Documents that the recurrent model is started on, at most, how often, and how many side by side.
 START_DOCS, START_ROUNDS, START_BATCH, START_RATE, RATE = 400, 2, 64, 0.1, 0.03
 FAN_IN = 32
 #: Bytes of text that are scored at once, unless one text is longer.
-SCORED_BYTES = 1 << 23
+SCORED_BYTES = 1 << 22
 CONTEXTS, SYMBOLS = 1 << 14, 257  # 256: the word's end
 #: Of an unknown word's probability so much comes from its spelling, the rest from its share of the unknown words counted.
 SPELLED = 0.3

@@ -39,7 +39,7 @@ from docloom.llm.components import connected_components
 from docloom.llm.words import K1, K3, mix, parts, shingle_sets
 
 BANDS, ROWS = 46, 7
-HASHES = 640  # minima; the first BANDS * ROWS make the bands, all make the signature
+HASHES = 960  # minima; the first BANDS * ROWS make the bands, all make the signature
 THRESHOLD = (80, 100)
 BITS = 4  # of each minimum in the signature
 SIGMAS, LIKELY = 4.0, 2.5
@@ -162,7 +162,7 @@ def _sets(docs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Of distinct pairs (a, b, home) the links (u, v), whose full sets reach the threshold.
+    """Of distinct pairs (a, b, home, blocks) the links (u, v), whose full sets reach the threshold.
 
     Rows of one home are dealt to blocks; the pairs of two blocks meet the sets of their rows, each moved once.
     """
@@ -181,32 +181,36 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) ->
                 v.append(b)
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    sizes = pairs.groupBy("home").agg((F.approx_count_distinct("a") + F.approx_count_distinct("b")).alias("n"))
-    blocks = F.floor(F.col("n") / BLOCK_ROWS) + 1
-    block = lambda c: F.pmod(F.xxhash64(c), blocks)
-    dealt = pairs.join(sizes, "home").select("home", block("a").alias("ba"), block("b").alias("bb"), "a", "b")
-    needed = dealt.select("home", "ba", "bb", F.explode(F.array("a", "b")).alias("row")).distinct().join(sets, "row")
-    needed = needed.select(F.col("home").alias("of"), F.col("ba").alias("na"), F.col("bb").alias("nb"), "row", "shingles")
-    return dealt.groupBy("home", "ba", "bb").cogroup(needed.groupBy("of", "na", "nb")).applyInArrow(compare, "u long, v long")
+    block = lambda c: F.pmod(F.xxhash64(c), F.col("blocks"))
+    dealt = pairs.select("home", "blocks", block("a").alias("ba"), block("b").alias("bb"), "a", "b")
+    side = lambda c: dealt.select("home", "blocks", "ba", "bb", F.col(c).alias("row")).distinct()
+    needed = side("a").unionAll(side("b")).distinct().join(sets, "row")
+    needed = needed.select(F.col("home").alias("of"), F.col("blocks").alias("in"), F.col("ba").alias("na"), F.col("bb").alias("nb"), "row", "shingles")
+    return dealt.groupBy("home", "blocks", "ba", "bb").cogroup(needed.groupBy("of", "in", "na", "nb")).applyInArrow(compare, "u long, v long")
+
+
+def _blocks(members: Column) -> Column:
+    """Into how many blocks a bucket's members are dealt: a power of two, so that buckets of like size share them."""
+    return F.greatest(F.lit(1), F.pow(F.lit(2), F.ceil(F.log2(members / BLOCK_ROWS))).cast("int"))
 
 
 def _pair(a: Column, b: Column, home: Column) -> Column:
-    return F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), home.alias("home"))
+    return F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), home.alias("home"), F.col("blocks"))
 
 
 def _likely(pairs: DataFrame, rows: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Of pairs (a, b, home) those whose sizes and signatures allow the threshold, each once."""
+    """Of pairs (a, b, home, blocks) those whose sizes and signatures allow the threshold, each once."""
     side = lambda n: rows.select(F.col("row").alias(n), F.col("size").alias(f"size_{n}"), F.col("sketch").alias(f"sketch_{n}"))
-    both = pairs.groupBy("a", "b").agg(F.min("home").alias("home")).join(side("a"), "a").join(side("b"), "b")
+    both = pairs.groupBy("a", "b").agg(F.min(F.struct("home", "blocks")).alias("at")).select("a", "b", "at.*").join(side("a"), "a").join(side("b"), "b")
     allowed = _sized(F.col("size_a"), F.col("size_b"), threshold) & (_agreeing(F.col("sketch_a"), F.col("sketch_b")) >= least_agreeing(threshold, SIGMAS))
-    return both.where(allowed).select("a", "b", "home")
+    return both.where(allowed).select("a", "b", "home", "blocks")
 
 
 def _central_pairs(members: DataFrame) -> DataFrame:
     """Each member of a bucket with the most central one, that with the most company over all its buckets."""
     counted = members.join(members.groupBy("band").agg(F.count("*").alias("n")), "band")
     central = counted.join(counted.groupBy("row").agg(F.sum("n").alias("centre")), "row")
-    hubs = central.groupBy("band").agg(F.max_by("row", F.struct("centre", -F.col("row"))).alias("hub"))
+    hubs = central.groupBy("band").agg(F.max_by("row", F.struct("centre", -F.col("row"))).alias("hub"), _blocks(F.max("n")).alias("blocks"))
     return members.join(hubs, "band").where("row <> hub").select(_pair(F.col("row"), F.col("hub"), F.col("hub")).alias("p")).select("p.*")
 
 
@@ -215,14 +219,14 @@ def _labelled(members: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _met(labelled: DataFrame, turn: int) -> DataFrame:
-    """(band, label, r0, r1, main) of the buckets of several labels: of each label two members by lot, and those of the largest.
+    """(band, label, r0, r1, main, blocks) of the buckets of several labels: of each label two members by lot, and those of the largest.
 
     Members are summed by bucket and label, never joined; the lot falls anew in each bucket and turn.
     """
     lot = lambda n: F.min_by("row", F.xxhash64("row", "band", F.lit(2 * turn + n)))
     labels = labelled.groupBy("band", "label").agg(F.count("*").alias("m"), lot(0).alias("r0"), lot(1).alias("r1"))
-    mains = labels.groupBy("band").agg(F.count("*").alias("labels"), F.max_by(F.struct("label", "r0", "r1"), F.struct("m", -F.col("label"))).alias("main"))
-    return labels.join(mains.where("labels > 1").select("band", "main"), "band").select("band", "label", "r0", "r1", "main")
+    mains = labels.groupBy("band").agg(F.count("*").alias("labels"), F.max_by(F.struct("label", "r0", "r1"), F.struct("m", -F.col("label"))).alias("main"), _blocks(F.sum("m")).alias("blocks"))
+    return labels.join(mains.where("labels > 1").select("band", "main", "blocks"), "band").select("band", "label", "r0", "r1", "main", "blocks")
 
 
 def _lots(met: DataFrame) -> DataFrame:
@@ -232,12 +236,12 @@ def _lots(met: DataFrame) -> DataFrame:
 
 
 def _apart(labelled: DataFrame, met: DataFrame, rows: DataFrame, threshold: tuple[int, int], least: int, below: int) -> DataFrame:
-    """All pairs (a, b, home) of a bucket with different labels whose sizes allow the threshold and whose signatures
+    """All pairs (a, b, home, blocks) of a bucket with different labels whose sizes allow the threshold and whose signatures
     agree in ``least`` entries or more, but fewer than ``below``; each in its first bucket."""
-    mains = met.where(F.col("label") == F.col("main.label")).select("band", F.col("main.label").alias("home"))
+    mains = met.where(F.col("label") == F.col("main.label")).select("band", F.col("main.label").alias("home"), "blocks")
     full = labelled.join(mains, "band").join(rows.select("row", "bands", "size", "sketch"), "row")
-    side = lambda n: full.select("home", *(F.col(c).alias(f"{n}_{c}") for c in ("band", "row", "label", "bands", "size", "sketch")))
-    x, y = side("x").where("x_label <> home"), side("y").drop("home")
+    side = lambda n: full.select("home", "blocks", *(F.col(c).alias(f"{n}_{c}") for c in ("band", "row", "label", "bands", "size", "sketch")))
+    x, y = side("x").where("x_label <> home"), side("y").drop("home", "blocks")
     new = (F.col("x_label") != F.col("y_label")) & ((F.col("y_label") == F.col("home")) | (F.col("x_row") < F.col("y_row")))
     first = F.array_min(F.array_intersect("x_bands", "y_bands")) == F.col("x_band")
     alike = _agreeing(F.col("x_sketch"), F.col("y_sketch")).between(least, below - 1)
