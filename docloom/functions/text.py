@@ -163,10 +163,10 @@ def unit_hints(text: Column, most: int = 20) -> Column:
 def char_overlap(a: Column, b: Column) -> Column:
     """common characters counted with repetition, over the longer text's length; 0 if either is empty.
 
-    Characters are sorted once a text; counts come from the sorted arrays, so nothing is exploded.
+    Each distinct character of the first text is counted in both by what its removal takes away: linear in the texts
+    for each distinct character, of which scripts have few, and nothing is exploded.
     """
-    chars = lambda t: F.filter(F.split(t, ""), lambda c: c != "")
-    kinds = F.array_distinct(chars(a))
+    kinds = F.array_distinct(F.filter(F.split(a, ""), lambda c: c != ""))
     count = lambda t, c: F.length(t) - F.length(F.replace(t, c))
     shared = F.aggregate(kinds, F.lit(0), lambda n, c: n + F.least(count(a, c), count(b, c)))
     return F.when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0.0)).otherwise(shared / F.greatest(F.length(a), F.length(b)).cast("double"))
@@ -238,9 +238,22 @@ def masked_paths(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"(?:/[\w.-]+){2,}", "[path]"), r"[A-Za-z0-9+/=]{240,}", "[base64]")
 
 
+@F.pandas_udf(StringType())
+def _sorted_json(s: pd.Series) -> pd.Series:
+    import json
+
+    return s.map(lambda x: json.dumps(json.loads(x), sort_keys=True, separators=(",", ":"), ensure_ascii=False), na_action="ignore")
+
+
+def canonical_json(text: Column) -> Column:
+    """the same JSON with the keys of all objects, nested ones too, in order."""
+    return _sorted_json(text)
+
+
 def decision_id(op: Column, target: Column, payload: Column) -> Column:
-    """a short digest of a command in canonical form."""
-    return F.substring(F.sha1(F.to_json(F.struct(op.alias("op"), payload.alias("payload"), target.alias("target")))), 1, 12)
+    """a short digest of a command in canonical form; the payload may be a string, a struct or a map."""
+    whole = F.to_json(F.struct(op.alias("op"), payload.alias("payload"), target.alias("target")))
+    return F.substring(F.sha1(canonical_json(whole)), 1, 12)
 
 
 def work_item_id(kind: Column, refs: Column) -> Column:

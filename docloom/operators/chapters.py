@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.sources.shared import written
+
 LAST_PAGE = 9_007_199_254_740_991
 
 
@@ -58,22 +60,29 @@ def contents(assigned: DataFrame, kinds: list[str], kind: str = "label", order:
 
 
 def smallest_containing(pages: DataFrame, ranges: DataFrame) -> DataFrame:
-    """The chapter of the least span that holds a page, the first of equal ones; spans may overlap."""
-    laid = ranges.select("doc_id", "k", (F.col("end_page") - F.col("start_page")).alias("span"), F.explode(F.sequence("start_page", "end_page")).alias("page_no"))
+    """The chapter of the least span that holds a page, the first of equal ones; spans may overlap, and reach beyond the last page."""
+    last = pages.groupBy("doc_id").agg(F.max("page_no").alias("__last"))
+    inside = ranges.join(last, "doc_id").where((F.col("start_page") <= F.col("__last")) & (F.col("start_page") <= F.col("end_page")))
+    laid = inside.select("doc_id", "k", (F.col("end_page") - F.col("start_page")).alias("span"), F.explode(F.sequence("start_page", F.least("end_page", "__last"))).alias("page_no"))
     best = laid.groupBy("doc_id", "page_no").agg(F.min_by("k", F.struct("span", "k")).alias("k"))
     return pages.join(best, ["doc_id", "page_no"], "left")
 
 
-def subtree(nodes: DataFrame, top: int = 6) -> DataFrame:
-    """Preorder of a tree of (doc_id, id, parent, ordinal), as a sortable path, ``top`` levels deep at most."""
-    step = F.format_string("%06d", F.col("ordinal"))
-    now = nodes.where("parent is null").select("doc_id", "id", F.lit(1).alias("level"), step.alias("path"))
-    found = now
-    for n in range(2, top + 1):
-        up = now.select(F.col("doc_id").alias("__d"), F.col("id").alias("__p"), F.col("path").alias("__path"))
-        now = nodes.join(up, (F.col("doc_id") == F.col("__d")) & (F.col("parent") == F.col("__p"))).select("doc_id", "id", F.lit(n).alias("level"), F.concat("__path", F.lit("/"), step).alias("path"))
-        found = found.unionByName(now)
-    return found.withColumn("preorder", F.row_number().over(Window.partitionBy("doc_id").orderBy("path")))
+def subtree(nodes: DataFrame) -> DataFrame:
+    """Level and preorder of a forest of (doc_id, id, parent, ordinal), however deep, with the ordinals from the root as ``path``.
+
+    Every turn joins a node's path to that of the node it hangs on, so turns grow with the logarithm of the depth. What
+    hangs on an unknown node or on itself is left out.
+    """
+    now = nodes.select("doc_id", "id", F.col("parent").alias("up"), F.array(F.col("ordinal").cast("long")).alias("path"))
+    sizes = nodes.groupBy("doc_id").agg(F.count("*").alias("__most"))
+    while not (hanging := now.where("up is not null")).isEmpty():
+        on = now.select(F.col("doc_id").alias("__d"), F.col("id").alias("__i"), F.col("up").alias("__up"), F.col("path").alias("__path"))
+        step = hanging.join(on, (F.col("doc_id") == F.col("__d")) & (F.col("up") == F.col("__i"))).select("doc_id", "id", F.col("__up").alias("up"), F.concat("__path", "path").alias("path"))
+        no_ring = step.join(sizes, "doc_id").where(F.size("path") <= F.col("__most")).drop("__most")
+        now = written(now.where("up is null").unionByName(no_ring), "subtree")
+    order = Window.partitionBy("doc_id").orderBy("path")
+    return now.select("doc_id", "id", F.size("path").alias("level"), "path", F.row_number().over(order).alias("preorder"))
 
 
 def inverse_pages(page_ranges: DataFrame) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.operators.chapters import subtree
+from docloom.sources.shared import written
+
 KINDS = ("texts", "pictures", "tables", "groups")
 
 
@@ -38,26 +41,28 @@ def edges(nodes: DataFrame) -> DataFrame:
     return nodes.select("doc_id", F.col("self_ref").alias("parent_ref"), F.posexplode("children").alias("child_pos", "c")).select("doc_id", "parent_ref", F.col("c.ref").alias("child_ref"), "child_pos")
 
 
-def reading_order(nodes: DataFrame, depth: int = 6) -> DataFrame:
-    """Depth-first place of nodes (doc_id, id, parent, ordinal); what no container reaches follows in its own order."""
-    from docloom.operators.chapters import subtree
+def reading_order(nodes: DataFrame) -> DataFrame:
+    """Depth-first place of nodes (doc_id, id, parent, ordinal), however deep; what no container reaches follows in its own order."""
+    reached = subtree(nodes).select("doc_id", "id", F.lit(0).alias("rest"), "path")
+    rest = nodes.join(reached, ["doc_id", "id"], "left_anti").select("doc_id", "id", F.lit(1).alias("rest"), F.array(F.col("ordinal").cast("long")).alias("path"))
+    order = Window.partitionBy("doc_id").orderBy("rest", "path", "id")
+    return reached.unionByName(rest).select("doc_id", "id", F.row_number().over(order).alias("reading_order"))
 
-    reached = subtree(nodes, depth).select("doc_id", "id", F.col("path"))
-    rest = nodes.join(reached, ["doc_id", "id"], "left_anti").select("doc_id", "id", F.concat(F.lit("~"), F.format_string("%06d", F.col("ordinal"))).alias("path"))
-    return reached.unionByName(rest).select("doc_id", "id", F.row_number().over(Window.partitionBy("doc_id").orderBy("path")).alias("reading_order"))
 
+def nearest_container(nodes: DataFrame) -> DataFrame:
+    """The first group or table above each node (doc_id, self_ref, parent_ref), however far above.
 
-def nearest_container(nodes: DataFrame, depth: int = 6) -> DataFrame:
-    """The first group or table above each node (doc_id, self_ref, parent_ref)."""
-    up = nodes.select(F.col("doc_id").alias("__d"), F.col("self_ref").alias("__r"), F.col("parent_ref").alias("__up"))
-    now = nodes.select("doc_id", "self_ref", F.col("parent_ref").alias("at"))
-    found = None
-    for _ in range(depth):
-        hit = now.where(F.col("at").rlike("^#/(groups|tables)/")).select("doc_id", "self_ref", F.col("at").alias("container"))
-        found = hit if found is None else found.unionByName(hit)
-        rest = now.where(F.col("at").isNotNull() & ~F.col("at").rlike("^#/(groups|tables)/"))
-        now = rest.join(up, (F.col("doc_id") == F.col("__d")) & (F.col("at") == F.col("__r"))).select("doc_id", "self_ref", F.col("__up").alias("at"))
-    return found
+    Every turn a node that hasn't met one jumps to where the node it has reached has jumped.
+    """
+    met = F.coalesce(F.col("at"), F.lit("")).rlike("^#/(groups|tables)/")
+    now = nodes.select("doc_id", "self_ref", F.col("parent_ref").alias("at"), F.lit(0).alias("turn"))
+    turn = 0
+    while not (climbing := now.where(F.col("at").isNotNull() & ~met)).isEmpty() and turn < 40:  # whoever climbs then runs in a ring
+        turn += 1
+        on = now.select(F.col("doc_id").alias("__d"), F.col("self_ref").alias("__r"), F.col("at").alias("__at"))
+        step = climbing.join(on, (F.col("doc_id") == F.col("__d")) & (F.col("at") == F.col("__r")), "left").select("doc_id", "self_ref", F.col("__at").alias("at"), F.lit(turn).alias("turn"))
+        now = written(now.where(F.col("at").isNull() | met).unionByName(step), "containers")
+    return now.where(met).select("doc_id", "self_ref", F.col("at").alias("container"))
 
 
 def following_sibling(edges_: DataFrame, wanted: Column, reach: int = 3) -> DataFrame:

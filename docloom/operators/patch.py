@@ -22,12 +22,37 @@ class Refused(ValueError):
     """A command that the document doesn't allow."""
 
 
-def _node(doc: dict, ref: str) -> dict:
-    for kind in KINDS:
-        for n in doc.get(kind, ()):
-            if n["self_ref"] == ref:
-                return n
-    raise Refused(f"unknown reference {ref}")
+class Draft(dict):
+    """A document with an index of its nodes, and a journal of what a command has changed, so that it can be undone."""
+
+    def __init__(self, doc: dict):
+        super().__init__(doc)
+        self.nodes = {}
+        for kind in reversed(KINDS):
+            for n in reversed(doc.get(kind, ())):
+                self.nodes[n["self_ref"]] = n
+        self.journal: list[Callable[[], None]] = []
+
+    def keep(self, owner: dict, *keys: str) -> None:
+        """Remembers entries of a node or container before they change; lists and boxes as copies."""
+        for k in keys:
+            if k in owner:
+                old = copy.deepcopy(owner[k])
+                self.journal.append(lambda k=k, old=old: owner.__setitem__(k, old))
+            else:
+                self.journal.append(lambda k=k: owner.pop(k, None))
+
+    def undo(self) -> None:
+        while self.journal:
+            self.journal.pop()()
+
+
+def _node(doc: Draft, ref: str) -> dict:
+    """The node that a command is about to change."""
+    if (n := doc.nodes.get(ref)) is None:
+        raise Refused(f"unknown reference {ref}")
+    doc.keep(n, *(k for k in ("text", "orig", "label", "captions", "prov", "num_rows", "num_cols")))
+    return n
 
 
 def _containers(doc: dict) -> list[dict]:
@@ -36,12 +61,15 @@ def _containers(doc: dict) -> list[dict]:
 
 def _unlink(doc: dict, ref: str) -> None:
     for c in _containers(doc):
-        c["children"] = [x for x in c.get("children", []) if x != ref]
+        if ref in c.get("children", ()):
+            doc.keep(c, "children")
+            c["children"] = [x for x in c["children"] if x != ref]
 
 
 def _insert(doc: dict, ref: str, beside: str, after: bool = True) -> None:
     for c in _containers(doc):
         if beside in c.get("children", []):
+            doc.keep(c, "children")
             c["children"].insert(c["children"].index(beside) + after, ref)
             return
     raise Refused(f"{beside} stands in no container")
@@ -50,6 +78,7 @@ def _insert(doc: dict, ref: str, beside: str, after: bool = True) -> None:
 def _replace(doc: dict, ref: str, new: list[str]) -> None:
     for c in _containers(doc):
         if ref in c.get("children", []):
+            doc.keep(c, "children")
             i = c["children"].index(ref)
             c["children"][i : i + 1] = new
             return
@@ -57,13 +86,18 @@ def _replace(doc: dict, ref: str, new: list[str]) -> None:
 
 
 def _new(doc: dict, kind: str, **fields) -> dict:
-    node = {"self_ref": f"#/{kind}/{len(doc.setdefault(kind, []))}", **fields}
-    doc[kind].append(node)
+    nodes = doc.setdefault(kind, [])
+    node = {"self_ref": f"#/{kind}/{len(nodes)}", **fields}
+    nodes.append(node)
+    doc.nodes[node["self_ref"]] = node
+    doc.journal.append(lambda: (nodes.pop(), doc.nodes.pop(node["self_ref"])))
     return node
 
 
 def _home(doc: dict, label: str) -> list[str]:
-    return doc.setdefault("furniture" if label in FURNITURE else "body", {"children": []}).setdefault("children", [])
+    home = doc.setdefault("furniture" if label in FURNITURE else "body", {"children": []})
+    doc.keep(home, "children")
+    return home.setdefault("children", [])
 
 
 def _caption(doc: dict, owner: dict, text: str) -> None:
@@ -102,7 +136,9 @@ def remove_text(doc: dict, c: dict) -> None:
     _unlink(doc, c["textRef"])
     for kind in ("pictures", "tables"):
         for n in doc.get(kind, ()):
-            n["captions"] = [r for r in n.get("captions", []) if r != c["textRef"]]
+            if c["textRef"] in n.get("captions", ()):
+                doc.keep(n, "captions")
+                n["captions"] = [r for r in n["captions"] if r != c["textRef"]]
 
 
 def merge_texts(doc: dict, c: dict) -> None:
@@ -131,11 +167,15 @@ def update_table_cell(doc: dict, c: dict) -> None:
     grid = _node(doc, c["tableRef"])["grid"]
     if not (0 <= c["row"] < len(grid) and 0 <= c["col"] < len(grid[c["row"]])):
         raise Refused("no such cell")
-    grid[c["row"]][c["col"]]["text"] = c["text"]
+    cell = grid[c["row"]][c["col"]]
+    doc.keep(cell, "text")
+    cell["text"] = c["text"]
 
 
 def replace_table(doc: dict, c: dict) -> None:
     n = _node(doc, c["tableRef"])
+    old = n.get("grid")
+    doc.journal.append(lambda: n.__setitem__("grid", old))
     n["grid"] = c["grid"]
     n["num_rows"], n["num_cols"] = len(c["grid"]), max((len(r) for r in c["grid"]), default=0)
     if c.get("caption"):
@@ -144,6 +184,7 @@ def replace_table(doc: dict, c: dict) -> None:
 
 def link_continued_table(doc: dict, c: dict) -> None:
     _node(doc, c["sourceTableRef"]), _node(doc, c["continuedTableRef"])
+    doc.keep(doc, "links")
     doc.setdefault("links", []).append({"from": c["sourceTableRef"], "to": c["continuedTableRef"], "relation": c["relation"]})
 
 
@@ -181,12 +222,14 @@ def update_bbox(doc: dict, c: dict) -> None:
     n = _node(doc, c["targetRef"])
     if not n.get("prov"):
         raise Refused("nothing says where it stands")
+    doc.evidence = {"previousBbox": n["prov"][0].get("bbox")}
     n["prov"][0]["bbox"] = c["bbox"]
 
 
 def link_footnote(doc: dict, c: dict) -> None:
     _node(doc, c["markerTextRef"])
-    _node(doc, c["footnoteTextRef"])["label"] = "footnote"
+    update_text_role(doc, {"textRef": c["footnoteTextRef"], "label": "footnote"})
+    doc.keep(doc, "links")
     doc.setdefault("links", []).append({"from": c["markerTextRef"], "to": c["footnoteTextRef"], "relation": "footnote"})
 
 
@@ -206,18 +249,21 @@ OPERATIONS: dict[str, Callable[[dict, dict], None]] = {
 
 
 def apply_commands(doc: dict, commands: list[dict]) -> tuple[dict, list[str]]:
-    """The document after the commands, and for each ``applied`` or why it was skipped; a failing command leaves no trace."""
-    done = []
+    """The document after the commands, and for each ``applied``, with its evidence if it has any, or why it was skipped.
+
+    A failing command leaves no trace: what it changed is undone, so the cost of a command is that of what it touches.
+    """
+    draft, done = Draft(copy.deepcopy(doc)), []
     for c in commands:
-        trial = copy.deepcopy(doc)
+        draft.journal, draft.evidence = [], None
         try:
-            OPERATIONS[c["op"]](trial, c)
+            OPERATIONS[c["op"]](draft, c)
         except (Refused, KeyError, TypeError) as e:
+            draft.undo()
             done.append(f"patch_skipped: {e}")
         else:
-            doc = trial
-            done.append("applied")
-    return doc, done
+            done.append("applied" if draft.evidence is None else f"applied: {json.dumps(draft.evidence, sort_keys=True)}")
+    return dict(draft), done
 
 
 def patched(documents: DataFrame, commands: DataFrame) -> DataFrame:

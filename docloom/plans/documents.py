@@ -53,9 +53,12 @@ g AS (SELECT doc_id, norm FROM t WHERE length(norm) >= 2 GROUP BY ALL HAVING cou
 SELECT t.doc_id, t.self_ref, t.page_no FROM t SEMI JOIN g ON t.doc_id = g.doc_id AND t.norm = g.norm""")
 def repeated_across_pages(spark, sf_dir):
     """Texts that stand on two pages or more of a document."""
+    # texts meet as hashes, summed where they are; only what may recur is compared as it stands
+    t = lines(spark, sf_dir).withColumn("norm", T.spaceless(F.col("text"))).where(F.length("norm") >= 2).withColumn("h", F.xxhash64("norm"))
+    often = t.groupBy("doc_id", "h").agg(F.min("page_no").alias("lo"), F.max("page_no").alias("hi")).where("lo <> hi").select("doc_id", "h")
+    maybe = t.join(often, ["doc_id", "h"], "left_semi")
     same = Window.partitionBy("doc_id", "norm")
-    t = lines(spark, sf_dir).withColumn("norm", T.spaceless(F.col("text"))).where(F.length("norm") >= 2)
-    return t.select("doc_id", "self_ref", "page_no", (F.min("page_no").over(same) != F.max("page_no").over(same)).alias("again")).where("again").drop("again")
+    return maybe.select("doc_id", "self_ref", "page_no", (F.min("page_no").over(same) != F.max("page_no").over(same)).alias("again")).where("again").drop("again")
 
 
 @query(f"""WITH {I.ITEMS_SQL}, p AS (SELECT doc_id, pos, text AS a, lead(text) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM items),
@@ -252,7 +255,7 @@ SELECT doc_id, k, level::BIGINT AS level, row_number() OVER (PARTITION BY doc_id
 def toc_tree(spark, sf_dir):
     """Preorder and levels of the contents tree."""
     e = _entries(spark, sf_dir).select("doc_id", F.col("k").alias("id"), "parent", F.col("k").alias("ordinal"))
-    return chapters.subtree(e, 3).select("doc_id", F.col("id").alias("k"), F.col("level").cast("long").alias("level"), F.col("preorder").cast("long").alias("preorder"))
+    return chapters.subtree(e).select("doc_id", F.col("id").alias("k"), F.col("level").cast("long").alias("level"), F.col("preorder").cast("long").alias("preorder"))
 
 
 @query(f"""WITH {_ENTRIES_SQL}, m AS (SELECT doc_id, string_agg(substring(title, 1, 20) || ' .... ' || start_page, chr(10) ORDER BY k) AS md FROM toc GROUP BY doc_id)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.operators import items as I
+from docloom.sources.shared import shared_folder
 from docloom.streaming import tasks as S
 
 QUERIES: dict = {}
@@ -26,8 +26,7 @@ def query(sql: str | None = None):
 
 
 def _folder(spark: SparkSession) -> str:
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{given.rstrip('/')}/stream-{uuid.uuid4().hex}" if given else f"file://{tempfile.mkdtemp(prefix='docloom-')}"
+    return shared_folder(spark, "stream")
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -125,7 +125,7 @@ def test_patch():
     assert d["tables"][0]["num_cols"] == 2 and d["texts"][2]["text"] == "T" and d["texts"][1]["text"] == "P"
     d, done = run({"op": "addText", "pageNo": 1, "bbox": 0, "text": "n", "label": "text", "afterRef": "#/texts/0"}, {"op": "addPicture", "pageNo": 1, "bbox": 0, "imageUri": "u", "caption": "k"}, {"op": "hidePicture", "pictureRef": "#/pictures/0"},
                   {"op": "updateBbox", "targetRef": "#/texts/1", "bbox": 7}, {"op": "linkFootnote", "markerTextRef": "#/texts/0", "footnoteTextRef": "#/texts/1"}, {"op": "linkContinuedTable", "sourceTableRef": "#/tables/0", "continuedTableRef": "#/tables/0", "relation": "continues_on_next_page"})
-    assert set(done) == {"applied"} and d["body"]["children"] == ["#/texts/0", "#/texts/2", "#/texts/1", "#/pictures/1"] and d["texts"][1]["prov"][0]["bbox"] == 7 and len(d["links"]) == 2
+    assert set(done) == {"applied", 'applied: {"previousBbox": 1}'} and d["body"]["children"] == ["#/texts/0", "#/texts/2", "#/texts/1", "#/pictures/1"] and d["texts"][1]["prov"][0]["bbox"] == 7 and len(d["links"]) == 2
 
 
 def test_arbitration_by_lead(spark):
@@ -197,3 +197,23 @@ def test_uploads(spark):
     c = spark.createDataFrame([("a", 1, 2, b"F-rest"), ("a", 0, 2, b"%PD"), ("b", 0, 2, b"x")], "session string, chunk int, total int, data binary")
     r = tasks.complete_uploads(c).collect()
     assert [(x["session"], bytes(x["data"]), x["is_pdf"]) for x in r] == [("a", b"%PDF-rest", True)]
+
+
+def test_deep_trees(spark):
+    """A chain of nodes deeper than any fixed number of levels, with a second child of the root; dangling nodes and a ring follow."""
+    n = [(1, i, None if i == 0 else i - 1, 0) for i in range(25)] + [(1, 100, 0, 1), (1, 200, 999, 5), (1, 300, 301, 6), (1, 301, 300, 7)]
+    df = spark.createDataFrame(n, "doc_id long, id long, parent long, ordinal long")
+    assert [r["id"] for r in nodes.reading_order(df).orderBy("reading_order").collect()] == [*range(25), 100, 200, 300, 301]
+    assert {r["id"]: r["level"] for r in chapters.subtree(df).collect()} == {**{i: i + 1 for i in range(25)}, 100: 2}
+    up = [(1, "#/groups/0", None), *((1, f"#/texts/{i}", "#/groups/0" if i == 0 else f"#/texts/{i - 1}") for i in range(20)), (1, "#/texts/90", "#/texts/91"), (1, "#/texts/91", "#/texts/90"), (1, "#/texts/95", "#/texts/404")]
+    got = {r["self_ref"]: r["container"] for r in nodes.nearest_container(spark.createDataFrame(up, "doc_id long, self_ref string, parent_ref string")).collect()}
+    assert got == {f"#/texts/{i}": "#/groups/0" for i in range(20)}
+
+
+def test_refused_commands_leave_no_trace():
+    doc = {"texts": [{"self_ref": "#/texts/0", "text": "a", "orig": "a", "label": "text"}, {"self_ref": "#/texts/1", "text": "b", "label": "page_footer"}], "body": {"children": ["#/texts/0"]}, "furniture": {"children": ["#/texts/1"]}}
+    bad = [{"op": "mergeTexts", "keepRef": "#/texts/0", "textRefs": ["#/texts/0", "#/texts/9"], "text": "x"}, {"op": "splitText", "textRef": "#/texts/0", "parts": [{"text": "p"}, {"text": "q"}, {}]}, {"op": "addText", "text": "t", "label": "text", "pageNo": 1, "bbox": 1, "afterRef": "#/texts/7"}, {"op": "moveNode", "sourceRef": "#/texts/0", "targetRef": "#/texts/1", "position": "after", "x": 1}]
+    after, done = patch.apply_commands(doc, bad[:3])
+    assert after == doc and all(x.startswith("patch_skipped") for x in done)
+    after, _ = patch.apply_commands(doc, [{"op": "linkFootnote", "markerTextRef": "#/texts/0", "footnoteTextRef": "#/texts/1"}])
+    assert after["body"]["children"] == ["#/texts/0", "#/texts/1"] and after["furniture"]["children"] == [] and after["texts"][1]["label"] == "footnote"
