@@ -93,3 +93,9 @@ BLOCK_REASONS = {
     **dict.fromkeys(("addPicture", "splitPicture", "hidePicture", "mergeTexts", "splitText", "replaceTable", "linkContinuedTable"), "structural_command_requires_manual_review"),
 }
 EVIDENCED_OPS = ("addText", "updateBbox", "linkFootnote", "moveNode")
+
+# fixed values: parts of reasons that another answer could mend
+MENDABLE_PARTS = (
+    "_ref_not_found", "page_number_mismatch", "target_already_modified", "not_in_text_refs", "negative_index", "out_of_preview_range", "not_rectangular",
+    "requires_", "without_boundary_candidate", "outside_source", "region_count_mismatch", "boundary_not_supported",
+)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("documents", "relational", "reviews", "streams")
+MODULES: tuple[str, ...] = ("documents", "relational", "reviews", "context", "streams")
 
 
 def queries() -> dict:
