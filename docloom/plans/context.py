@@ -31,16 +31,16 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: What lines begin with in turn, so that every rule meets something.
 MARKS = (
     "Fig. 3 ", "Table 12. ", "사진 4 ", "1) note ", "* note ", "Contents ", "目次 ", "목차(계속) ", "Chapter one ..... 12 ", "[도면 3] ", "lorem ipsum ", "the image contains ", "주거지 3호 Ⅳ층 ",
-    "(단위: cm) 12.5 cm ", "カタカナ 漢字 ", "a b c d e ", "plain ", "-- -- -- -- -- -- ",
+    "(단위: cm) 12.5 cm ", "カタカナ 漢字 ", "a b c d e ", "plain ",
 )
 _MARKS_SQL = "[" + ", ".join("'" + m.replace("'", "''") + "'" for m in MARKS) + "]"
-_PLANTED = f"planted AS (SELECT doc_id, pos, page_no, CASE WHEN pos % 3 = 2 THEN left(text, 40) || ' ..... ' || (pos % 90) ELSE {_MARKS_SQL}[pos % {len(MARKS)} + 1] || text END AS text FROM items)"
+_PLANTED = f"planted AS (SELECT doc_id, pos, page_no, CASE WHEN pos % 4 = 3 THEN left(text, 40) || ' ..... ' || (pos % 90) ELSE {_MARKS_SQL}[pos % {len(MARKS)} + 1] || text END AS text FROM items)"
 
 
 def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     mark = F.element_at(F.array(*map(F.lit, MARKS)), (F.col("pos") % len(MARKS) + 1).cast("int"))
     leader = F.concat(F.substring("text", 1, 40), F.lit(" ..... "), (F.col("pos") % 90).cast("string"))
-    return lines(spark, sf_dir).select("doc_id", "pos", "page_no", F.when(F.col("pos") % 3 == 2, leader).otherwise(F.concat(mark, "text")).alias("text"))
+    return lines(spark, sf_dir).select("doc_id", "pos", "page_no", F.when(F.col("pos") % 4 == 3, leader).otherwise(F.concat(mark, "text")).alias("text"))
 
 
 _KINDS = {
