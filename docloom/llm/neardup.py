@@ -249,11 +249,16 @@ def _apart(labelled: DataFrame, met: DataFrame, rows: DataFrame, threshold: tupl
     return met_.select(_pair(F.col("x_row"), F.col("y_row"), F.col("home")).alias("p")).select("p.*")
 
 
-def roots_of(docs: DataFrame, filled: DataFrame, classes: DataFrame, width: int, threshold: tuple[int, int], scratch: Scratch) -> DataFrame:
-    """(vertex, root) of class representatives whose component has a smaller one; its links connect what any links connect."""
+def roots_of(docs: DataFrame, signed: DataFrame, classes: DataFrame, width: int, threshold: tuple[int, int], scratch: Scratch) -> DataFrame:
+    """(vertex, root) of class representatives whose component has a smaller one; its links connect what any links connect.
+
+    ``signed`` is dropped once the rows that share a bucket have been taken from it.
+    """
+    filled = signed.where("size > 0")
     members = scratch.write(_members(filled, classes), "near-members")
     buckets = members.groupBy("row").agg(F.sort_array(F.collect_list("band")).alias("bands"))
     rows = scratch.write(buckets.join(filled.drop("bands", "key"), "row"), "near-rows")
+    scratch.drop(signed)
     sets = scratch.write(_sets(docs, rows.select("row", "doc_id", "text_hash"), width), "near-sets")
     tried = scratch.write(_likely(_central_pairs(members), rows, threshold), "near-pairs")
     links = scratch.write(confirmed(tried, sets, threshold), "near-links")
@@ -292,10 +297,11 @@ ROWS_OUT = ["row", "doc_id", "text_hash", "size", "component", "component_id"]
 def near_rows(docs: DataFrame, width: int, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """row, doc_id, text_hash, size, component and its least doc_id, of every document row."""
     scratch = Scratch(docs.sparkSession)
-    every = scratch.write(signatures(docs, width), "near-signatures")
+    signed = scratch.write(signatures(docs, width), "near-signatures")
+    every = scratch.write(signed.drop("bands", "sketch"), "near-ids")
     filled = every.where("size > 0")
     classes = scratch.write(filled.groupBy("key").agg(F.min("row").alias("rep")), "near-classes")
-    roots = roots_of(docs, filled, classes, width, threshold, scratch)
+    roots = roots_of(docs, signed, classes, width, threshold, scratch)
     rooted = classes.join(roots, F.col("rep") == F.col("vertex"), "left").select("key", F.coalesce("root", "rep").alias("component"))
     classed = filled.select("row", "doc_id", "text_hash", "size", "key").join(rooted, "key").drop("key")
     alone = every.where("size = 0").select("row", "doc_id", "text_hash", "size", (-F.col("row") - 1).alias("component"))
