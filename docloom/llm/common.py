@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 import zlib
@@ -70,6 +71,11 @@ class Scratch:
             if (found := self.paths.pop(id(t), None)) is not None:
                 drop_dir(self.spark, found[1])
 
+    def release(self) -> None:
+        """Lets go of what finished queries hold: their shuffle files are deleted when the driver's references are collected."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop_all(self) -> None:
         self.drop(*[t for t, _ in self.paths.values()])
 

@@ -11,7 +11,7 @@
    paired with two of the bucket's largest label, as long as that finds links for a hundredth of what it tries.
 4. Members that are still apart from their bucket's largest label are compared with all others by signature, inside a
    join that gives each pair once, in the first bucket it shares, and only if its sizes and signatures allow the
-   threshold: likely pairs first, the rest once these have joined what they join.
+   threshold.
 5. All pairs are confirmed on the full sets, which are built once. Pairs meet their sets in blocks of ``BLOCK_ROWS`` by
    ``BLOCK_ROWS`` rows of one neighbourhood, so a set is moved once a block, not once a pair. The links' components, by
    alternating large-star and small-star, label the rows.
@@ -42,7 +42,7 @@ BANDS, ROWS = 46, 7
 HASHES = 960  # minima; the first BANDS * ROWS make the bands, all make the signature
 THRESHOLD = (80, 100)
 BITS = 4  # of each minimum in the signature
-SIGMAS, LIKELY = 4.0, 2.5
+SIGMAS = 4.0
 BLOCK_ROWS = 256
 CHUNK = 128
 #: Lots go on while they link at least one of so many tried pairs.
@@ -235,16 +235,15 @@ def _lots(met: DataFrame) -> DataFrame:
     return met.where(F.col("label") != home).select(F.explode(each).alias("p")).select("p.*")
 
 
-def _apart(labelled: DataFrame, met: DataFrame, rows: DataFrame, threshold: tuple[int, int], least: int, below: int) -> DataFrame:
-    """All pairs (a, b, home, blocks) of a bucket with different labels whose sizes allow the threshold and whose signatures
-    agree in ``least`` entries or more, but fewer than ``below``; each in its first bucket."""
+def _apart(labelled: DataFrame, met: DataFrame, rows: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """All pairs (a, b, home, blocks) of a bucket with different labels whose sizes and signatures allow the threshold, in their first bucket."""
     mains = met.where(F.col("label") == F.col("main.label")).select("band", F.col("main.label").alias("home"), "blocks")
     full = labelled.join(mains, "band").join(rows.select("row", "bands", "size", "sketch"), "row")
     side = lambda n: full.select("home", "blocks", *(F.col(c).alias(f"{n}_{c}") for c in ("band", "row", "label", "bands", "size", "sketch")))
     x, y = side("x").where("x_label <> home"), side("y").drop("home", "blocks")
     new = (F.col("x_label") != F.col("y_label")) & ((F.col("y_label") == F.col("home")) | (F.col("x_row") < F.col("y_row")))
     first = F.array_min(F.array_intersect("x_bands", "y_bands")) == F.col("x_band")
-    alike = _agreeing(F.col("x_sketch"), F.col("y_sketch")).between(least, below - 1)
+    alike = _agreeing(F.col("x_sketch"), F.col("y_sketch")) >= least_agreeing(threshold, SIGMAS)
     met_ = x.join(y, (F.col("x_band") == F.col("y_band")) & new & _sized(F.col("x_size"), F.col("y_size"), threshold) & first & alike)
     return met_.select(_pair(F.col("x_row"), F.col("y_row"), F.col("home")).alias("p")).select("p.*")
 
@@ -262,9 +261,9 @@ def roots_of(docs: DataFrame, signed: DataFrame, classes: DataFrame, width: int,
     sets = scratch.write(_sets(docs, rows.select("row", "doc_id", "text_hash"), width), "near-sets")
     tried = scratch.write(_likely(_central_pairs(members), rows, threshold), "near-pairs")
     links = scratch.write(confirmed(tried, sets, threshold), "near-links")
+    scratch.release()
     roots = connected_components(links, scratch)
     turn, lots = 0, True
-    cuts = [HASHES + 1, least_agreeing(threshold, LIKELY), least_agreeing(threshold, SIGMAS)]
     while True:
         turn += 1
         labelled = scratch.write(_labelled(members, roots), "near-labelled")
@@ -275,7 +274,7 @@ def roots_of(docs: DataFrame, signed: DataFrame, classes: DataFrame, width: int,
         if lots:
             pairs = _likely(_lots(met), rows, threshold).join(tried, ["a", "b"], "left_anti")
         else:
-            pairs = _apart(left, met, rows, threshold, cuts[1], cuts.pop(0))
+            pairs = _apart(left, met, rows, threshold)
         pairs = scratch.write(pairs, "near-pairs")
         found = scratch.write(confirmed(pairs, sets, threshold), "near-links")
         new, n = found.count(), pairs.count()
@@ -283,12 +282,13 @@ def roots_of(docs: DataFrame, signed: DataFrame, classes: DataFrame, width: int,
             united = connected_components(roots.toDF("u", "v").unionAll(found), scratch)
             scratch.drop(roots)
             roots = united
-        if len(cuts) == 1:
+        if not lots:
             return roots
-        lots = lots and new * WORTH >= n > 0
+        lots = new * WORTH >= n > 0
         scratch.drop(labelled, met, members)
         members = left.select("band", "row")
-        tried = tried.unionAll(pairs) if lots else tried
+        tried = tried.unionAll(pairs)
+        scratch.release()
 
 
 ROWS_OUT = ["row", "doc_id", "text_hash", "size", "component", "component_id"]
