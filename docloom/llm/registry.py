@@ -67,13 +67,31 @@ def op10_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.conversations import damaged, repair
+
+    return repair(damaged(table(spark, sf_dir, "conversations")))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.negatives import mine, prepared
+
+    return mine(prepared(table(spark, sf_dir, "embeddings")))
+
+
+def op13_kneser_ney_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.languages import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-NAMES = ("op1_skip_chain_pii", "op2_mcd_outliers", "op3_gru_scores", "op4_hilbert_packing", "op5_quality_trees", "op6_license_inheritance", "op7_minhash_components", "op8_token_frames", "op9_linked_secrets", "op10_cgk_decontamination", "pipeline")
+NAMES = ("op1_skip_chain_pii", "op2_mcd_outliers", "op3_gru_scores", "op4_hilbert_packing", "op5_quality_trees", "op6_license_inheritance", "op7_minhash_components", "op8_token_frames", "op9_linked_secrets", "op10_cgk_decontamination", "op11_turn_repair", "op12_hard_negatives", "op13_kneser_ney_languages", "pipeline")
 
 
 def queries() -> dict:
