@@ -99,3 +99,14 @@ MENDABLE_PARTS = (
     "_ref_not_found", "page_number_mismatch", "target_already_modified", "not_in_text_refs", "negative_index", "out_of_preview_range", "not_rectangular",
     "requires_", "without_boundary_candidate", "outside_source", "region_count_mismatch", "boundary_not_supported",
 )
+
+# fixed values: labels of what counts as a page's text
+PAGE_LABELS = ("section_header", "text", "caption", "footnote", "list_item", "page_header", "page_footer")
+
+# fixed values: suspect reasons for which a text may be removed
+REMOVABLE = ("empty_text", "ocr_noise", "orphan_caption", "caption_like_body_text", "picture_internal_text", "repeated_across_pages")
+
+# fixed values: operations whose own reference is a text, a table, a picture; the others take any
+TEXT_OPS = ("replaceText", "updateTextRole", "removeText", "mergeTexts", "splitText", "linkFootnote")
+TABLE_OPS = ("updateTableCell", "replaceTable", "linkContinuedTable")
+PICTURE_OPS = ("updatePictureCaption", "splitPicture", "hidePicture")

@@ -8,16 +8,12 @@ from pyspark.sql import functions as F
 from docloom.functions import fixed
 from docloom.functions import text as T
 
-#: Labels of texts that a page's correction sees.
-PAGE_LABELS = ("section_header", "text", "caption", "footnote", "list_item", "page_header", "page_footer")
 PREVIEW, FULL_GRID, CAPTION_CHARS, SEARCHED_PAGES = 8, 600, 240, 10
-#: Reasons that let a text be removed.
-REMOVABLE = ("empty_text", "ocr_noise", "orphan_caption", "caption_like_body_text", "picture_internal_text", "repeated_across_pages")
 
 
 def page_texts(texts: DataFrame) -> DataFrame:
     """P5: texts (doc_id, ordinal, label, prov: array of struct<page_no>) on every page that any of their places names; the ordinal stays."""
-    seen = texts.where(F.col("label").isin(*PAGE_LABELS))
+    seen = texts.where(F.col("label").isin(*fixed.PAGE_LABELS))
     return seen.select("doc_id", "ordinal", "label", F.explode(F.array_distinct(F.transform("prov", lambda p: p["page_no"]))).alias("page_no"))
 
 
@@ -166,46 +162,6 @@ def distinct_union(*lists: Column) -> Column:
     return F.array_distinct(F.concat(*lists))
 
 
-def shape_reasons(commands: DataFrame) -> DataFrame:
-    """V5: why a command can't stand, by the rules of its operation, in their order; an empty list if nothing speaks against it.
-
-    Expects op, page, page_no, known (its references exist), same_ref (it names one reference twice), old and new text,
-    parts, label, l, t, r, b and the page's width and height (top left), row, col and the table's rows and cols,
-    widths of a new grid's rows, caption, suspect (the text's suspect reasons).
-    """
-    op, has = F.col("op"), lambda *names: F.col("op").isin(*names)
-    text_ops = has("mergeTexts", "linkFootnote")
-    boxed = has("addText", "addPicture", "updateBbox")
-    finite = F.lit(True)
-    for c in "ltrb":
-        finite = finite & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
-    finite = F.coalesce(finite, F.lit(False))
-    top, bottom = F.least("t", "b"), F.greatest("t", "b")
-    outside = (F.col("l") < 0) | (top < 0) | (F.col("r") > F.col("width")) | (bottom > F.col("height"))
-    squeezed = lambda c: F.length(T.collapsed(c))
-    joined = F.array_join(F.coalesce("parts", F.array().cast("array<string>")), "")
-    widths = F.coalesce("widths", F.array().cast("array<int>"))
-    rules = [
-        (has("addText", "addPicture") & (F.col("page_no") != F.col("page")), "page_number_mismatch"),
-        (boxed & ~finite, "bbox_non_finite"), (boxed & finite & (F.col("r") <= F.col("l")), "bbox_invalid_horizontal_order"),
-        (boxed & finite & (bottom <= top), "bbox_invalid_vertical_order"), (boxed & finite & outside, "bbox_outside_page"),
-        (has("addText", "updateTextRole") & F.col("label").isNull(), "missing_required_field:label"),
-        (has("linkContinuedTable") & F.col("label").isNull(), "missing_required_field:relation"), (has("moveNode") & F.col("label").isNull(), "missing_required_field:position"),
-        ((op == "replaceText") & (F.length("old") > 20) & (F.length("new") < 0.3 * F.length("old")), "replacement_deletes_too_much_text"),
-        ((op == "removeText") & ~F.arrays_overlap(F.coalesce("suspect", F.array().cast("array<string>")), F.array(*map(F.lit, REMOVABLE))), "remove_text_without_deterministic_suspect_reason"),
-        (text_ops & ~F.col("known"), "text_ref_not_found"), ((op == "mergeTexts") & ~F.col("same_ref"), "merge_keep_ref_not_in_text_refs"),
-        ((op == "splitText") & ((squeezed(joined) < 0.5 * squeezed(F.col("old"))) | (squeezed(joined) > 1.5 * squeezed(F.col("old")))), "split_text_parts_do_not_match_original_length"),
-        ((op == "updateTableCell") & ((F.col("row") < 0) | (F.col("col") < 0)), "table_cell_negative_index"),
-        ((op == "updateTableCell") & (F.col("row") >= 0) & (F.col("col") >= 0) & ((F.col("row") >= F.col("rows")) | (F.col("col") >= F.col("cols"))), "table_cell_out_of_preview_range"),
-        ((op == "replaceTable") & (F.size(widths) == 0), "table_grid_empty"),
-        ((op == "replaceTable") & (F.size(widths) > 0) & ((F.get(widths, F.lit(0)) == 0) | (F.array_max(widths) != F.array_min(widths))), "table_grid_not_rectangular"),
-        ((op == "linkContinuedTable") & ~F.col("known"), "table_ref_not_found"),
-        ((op == "updatePictureCaption") & (F.length(T.trimmed(F.col("caption"))) == 0), "caption_empty"), ((op == "updatePictureCaption") & (F.length("caption") > CAPTION_CHARS), "caption_too_long"),
-        ((op == "updateBbox") & ~F.col("known"), "bbox_target_ref_not_found"), ((op == "moveNode") & ~F.col("known"), "move_target_ref_not_found"), ((op == "moveNode") & F.col("same_ref"), "move_self_reference"),
-    ]
-    return commands.withColumn("reasons", F.filter(F.array(*(F.when(rule, F.lit(why)) for rule, why in rules)), lambda x: x.isNotNull()))
-
-
 def asked_again(reasons: Column) -> Column:
     """V8: the distinct reasons that another answer could mend; what only waits for a person isn't asked again."""
 

@@ -271,61 +271,6 @@ def distinct_unions(spark, sf_dir):
     return a.select("doc_id", F.array_join(C.distinct_union(F.col("x"), F.col("y")), ",").alias("labels"))
 
 
-_OPS = tuple(dict.fromkeys(op for ops in fixed.TASK_OPS.values() for op in ops))
-_RULES = f"""c AS (SELECT event_id AS id, {list(_OPS)}[event_id % {len(_OPS)} + 1] AS op, event_id // 16 AS e, user_id AS u FROM events),
-s AS (SELECT id, op, e % 3 AS page, e % 4 % 3 AS page_no, e % 5 <> 0 AS known, e % 2 = 0 AS same_ref, repeat('word ', (u % 9)::INT) AS old, repeat('w', (e % 12)::INT) AS new, [repeat('x', (e % 7)::INT), repeat('y ', (u % 5)::INT)] AS parts,
- CASE WHEN e % 6 <> 0 THEN 'text' END AS label, CASE WHEN e % 11 = 0 THEN NULL ELSE (e % 90)::DOUBLE - 5 END AS l, (u % 70)::DOUBLE AS t, (e % 120)::DOUBLE AS r, (u % 40 + e % 60)::DOUBLE AS b, 100.0::DOUBLE AS width, 80.0::DOUBLE AS height,
- e % 9 - 1 AS row, u % 6 - 1 AS col, 6 AS rows, 4 AS cols, CASE WHEN e % 4 = 0 THEN [] WHEN e % 4 = 1 THEN [2, 2] ELSE [2, u % 3] END AS widths, repeat(CASE WHEN u % 3 = 0 THEN ' ' ELSE 'c' END, (e % 260)::INT) AS caption, CASE WHEN u % 2 = 0 THEN ['ocr_noise'] ELSE ['other'] END AS suspect FROM c)"""
-
-
-def _shaped(spark, sf_dir) -> DataFrame:
-    n, e, u = F.col("event_id"), F.floor(F.col("event_id") / 16).cast("long"), F.col("user_id")
-    rep = lambda x, k: F.repeat(F.lit(x) if isinstance(x, str) else x, k.cast("int"))
-    real = lambda c: c.cast("double")
-    widths = F.when(e % 4 == 0, F.array().cast("array<int>")).when(e % 4 == 1, F.array(F.lit(2), F.lit(2))).otherwise(F.array(F.lit(2), (u % 3).cast("int")))
-    return I.read(spark, sf_dir, "events").select(
-        n.alias("id"), F.element_at(F.array(*map(F.lit, _OPS)), (n % len(_OPS) + 1).cast("int")).alias("op"), (e % 3).alias("page"), (e % 4 % 3).alias("page_no"), (e % 5 != 0).alias("known"), (e % 2 == 0).alias("same_ref"),
-        rep("word ", u % 9).alias("old"), rep("w", e % 12).alias("new"), F.array(rep("x", e % 7), rep("y ", u % 5)).alias("parts"), F.when(e % 6 != 0, "text").alias("label"), F.when(e % 11 != 0, real(e % 90) - 5).alias("l"), real(u % 70).alias("t"), real(e % 120).alias("r"),
-        real(u % 40 + e % 60).alias("b"), F.lit(100.0).alias("width"), F.lit(80.0).alias("height"), (e % 9 - 1).alias("row"), (u % 6 - 1).alias("col"), F.lit(6).alias("rows"), F.lit(4).alias("cols"), widths.alias("widths"),
-        rep(F.when(u % 3 == 0, " ").otherwise("c"), e % 260).alias("caption"), F.when(u % 2 == 0, F.array(F.lit("ocr_noise"))).otherwise(F.array(F.lit("other"))).alias("suspect"),
-    )
-
-
-_SQUEEZE = f"length(trim(regexp_replace(x, '{WSZ_SQL}+', ' ', 'g')))"
-_sq = lambda x: _SQUEEZE.replace("(x,", f"({x},")
-_BOXED = "op IN ('addText', 'addPicture', 'updateBbox')"
-_RULE_SQL = [
-    ("op IN ('addText', 'addPicture') AND page_no <> page", "page_number_mismatch"), (f"{_BOXED} AND l IS NULL", "bbox_non_finite"), (f"{_BOXED} AND l IS NOT NULL AND r <= l", "bbox_invalid_horizontal_order"),
-    (f"{_BOXED} AND l IS NOT NULL AND greatest(t, b) <= least(t, b)", "bbox_invalid_vertical_order"), (f"{_BOXED} AND l IS NOT NULL AND (l < 0 OR least(t, b) < 0 OR r > width OR greatest(t, b) > height)", "bbox_outside_page"),
-    ("op IN ('addText', 'updateTextRole') AND label IS NULL", "missing_required_field:label"), ("op = 'linkContinuedTable' AND label IS NULL", "missing_required_field:relation"), ("op = 'moveNode' AND label IS NULL", "missing_required_field:position"),
-    ("op = 'replaceText' AND length(old) > 20 AND length(new) < 0.3 * length(old)", "replacement_deletes_too_much_text"), ("op = 'removeText' AND suspect[1] <> 'ocr_noise'", "remove_text_without_deterministic_suspect_reason"),
-    ("op IN ('mergeTexts', 'linkFootnote') AND NOT known", "text_ref_not_found"), ("op = 'mergeTexts' AND NOT same_ref", "merge_keep_ref_not_in_text_refs"),
-    (f"op = 'splitText' AND ({_sq('parts[1] || parts[2]')} < 0.5 * {_sq('old')} OR {_sq('parts[1] || parts[2]')} > 1.5 * {_sq('old')})", "split_text_parts_do_not_match_original_length"),
-    ("op = 'updateTableCell' AND (row < 0 OR col < 0)", "table_cell_negative_index"), ("op = 'updateTableCell' AND row >= 0 AND col >= 0 AND (row >= rows OR col >= cols)", "table_cell_out_of_preview_range"),
-    ("op = 'replaceTable' AND len(widths) = 0", "table_grid_empty"), ("op = 'replaceTable' AND len(widths) > 0 AND (widths[1] = 0 OR list_max(widths) <> list_min(widths))", "table_grid_not_rectangular"),
-    ("op = 'linkContinuedTable' AND NOT known", "table_ref_not_found"), ("op = 'updatePictureCaption' AND length(trim(caption)) = 0", "caption_empty"), ("op = 'updatePictureCaption' AND length(caption) > 240", "caption_too_long"),
-    ("op = 'updateBbox' AND NOT known", "bbox_target_ref_not_found"), ("op = 'moveNode' AND NOT known", "move_target_ref_not_found"), ("op = 'moveNode' AND same_ref", "move_self_reference"),
-]
-_REASONS = "list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{why}' END" for c, why in _RULE_SQL) + "], lambda x: x IS NOT NULL)"
-
-
-@query(f"WITH {_RULES} SELECT id, op, array_to_string({_REASONS}, ',') AS reasons FROM s")
-def command_rules(spark, sf_dir):
-    """V5: what speaks against commands of all sixteen operations."""
-    return C.shape_reasons(_shaped(spark, sf_dir)).select("id", "op", F.array_join("reasons", ",").alias("reasons"))
-
-
-_MEND = " OR ".join([*(f"contains(x, '{p}')" for p in fixed.MENDABLE_PARTS), "starts_with(x, 'invalid_')", "ends_with(x, '_not_found')", "starts_with(x, 'table_correction_')", "starts_with(x, 'task_op_not_allowed:')"])
-
-
-@query(f"WITH {_RULES}, a AS (SELECT id, {_REASONS} || ['table_correction_requires_manual_review', 'invalid_thing', 'task_op_not_allowed:' || op] AS r FROM s) SELECT id, array_to_string(list_filter(r, lambda x: NOT contains(x, 'requires_manual_review') AND ({_MEND})), ',') AS asked FROM a")
-def reask_reasons(spark, sf_dir):
-    """V8."""
-    r = C.shape_reasons(_shaped(spark, sf_dir))
-    more = F.concat("reasons", F.array(F.lit("table_correction_requires_manual_review"), F.lit("invalid_thing"), F.concat(F.lit("task_op_not_allowed:"), "op")))
-    return r.select("id", F.array_join(C.asked_again(more), ",").alias("asked"))
-
-
 @query(f"""WITH {I.ITEMS_SQL}, {_PLANTED}, p AS (SELECT doc_id, page_no, string_agg(text, chr(10) ORDER BY pos) AS text FROM planted GROUP BY ALL)
 SELECT doc_id, page_no, CASE WHEN regexp_matches(text, '(?i){"|".join(map(_re2, fixed.PLACEHOLDERS))}') THEN 'placeholder_text' ELSE '' END AS placeholder, ({_KINDS["meta"]}) AS meta,
  length(regexp_replace(text, '{WS_SQL}+', '', 'g')) >= 20 AND len(regexp_extract_all(text, '[\\x{{AC00}}-\\x{{D7AF}}\\x{{4E00}}-\\x{{9FFF}}]')) < 0.1 * length(regexp_replace(text, '{WS_SQL}+', '', 'g')) AS anomaly FROM p""")
