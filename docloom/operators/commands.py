@@ -181,10 +181,13 @@ class Page:
         return F.coalesce(shown, F.lit(False))
 
 
-def validated(commands: DataFrame, contexts_: DataFrame) -> DataFrame:
-    """doc_id, page and every command with its reasons, whether it is valid, trusted and evidenced; in any order."""
+def validated(commands: DataFrame, contexts_: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, page and every command with its reasons, whether it is valid, trusted and evidenced; in any order.
+
+    ``within`` names columns that divide a page's commands into answers that don't know of each other.
+    """
     fields = [c for c in FIELDS if c in commands.columns]
-    answers = commands.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("commands"))
+    answers = commands.groupBy("doc_id", "page", *within).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("commands"))
     j = answers.join(contexts_, ["doc_id", "page"], "left")
     for c in EVIDENCE:
         j = j.withColumn(c, F.coalesce(F.col(c).cast("array<string>") if c in contexts_.columns else _none(), _none()))
@@ -201,5 +204,5 @@ def validated(commands: DataFrame, contexts_: DataFrame) -> DataFrame:
 
     start = F.struct(_none().alias("taken"), _none("array<string>").alias("out"))
     folded = read.withColumn("reasons", F.aggregate("read", start, step, lambda acc: acc["out"]))
-    each = folded.select("doc_id", "page", F.explode(F.arrays_zip("read", "reasons")).alias("z"))
-    return each.select("doc_id", "page", *(F.col(f"z.read.c.{f}").alias(f) for f in fields), "z.reasons", (F.size("z.reasons") == 0).alias("valid"), F.col("z.read.trusted").alias("trusted"), F.col("z.read.evidenced").alias("evidenced"))
+    each = folded.select("doc_id", "page", *within, F.explode(F.arrays_zip("read", "reasons")).alias("z"))
+    return each.select("doc_id", "page", *within, *(F.col(f"z.read.c.{f}").alias(f) for f in fields), "z.reasons", (F.size("z.reasons") == 0).alias("valid"), F.col("z.read.trusted").alias("trusted"), F.col("z.read.evidenced").alias("evidenced"))

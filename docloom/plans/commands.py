@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import fixed
-from docloom.operators import commands as V, context as C, items as I
+from docloom.operators import commands as V, context as C, items as I, review_run
 from docloom.plans.documents import WS_SQL, WSZ_SQL
 
 QUERIES: dict = {}
@@ -138,21 +138,25 @@ _SHAPE = f"""CASE op
  WHEN 'moveNode' THEN {_W("NOT " + _IN("ref", *_ANY), "move_source_ref_not_found")} || {_W("NOT " + _IN("other_ref", *_ANY), "move_target_ref_not_found")} || {_W("ref = other_ref", "move_self_reference")} || {_W("label IS NULL", "missing_required_field:position")}
  ELSE [] END"""
 _B = _blocks(Duck)
-RULED_SQL = f"""{I.ITEMS_SQL}, pg AS (SELECT DISTINCT doc_id, page_no FROM items),
-cmd AS (SELECT {', '.join(_command(Duck, 0))} FROM items UNION ALL SELECT {', '.join(_command(Duck, 1))} FROM items),
+PAGES_SQL = f"""{I.ITEMS_SQL}, pg AS (SELECT DISTINCT doc_id, page_no FROM items),
 blk AS (SELECT {', '.join(_B['texts'])} FROM items UNION ALL SELECT {', '.join(_B['tables'])} FROM pg WHERE {_HAS['tables']} UNION ALL SELECT {', '.join(_B['pictures'])} FROM pg WHERE {_HAS['pictures']}),
 ctx AS (SELECT doc_id, page, CASE WHEN (doc_id + page) % 6 <> 0 THEN 100.0::DOUBLE END AS width, CASE WHEN (doc_id + page) % 6 <> 0 THEN 80.0::DOUBLE END AS height,
  map_from_entries(list({{'k': ref, 'v': {{'kind': kind, 'text': text, 'suspect': suspect, 'rows': rows, 'cols': cols, 'box': box, 'candidate': candidate, 'orientation': orientation, 'suggested': suggested}}}})) AS blocks FROM blk GROUP BY doc_id, page),
-nb AS (SELECT a.doc_id, a.page, list(b.ref) AS beside FROM blk a JOIN blk b ON a.doc_id = b.doc_id AND abs(a.page - b.page) = 1 AND a.kind = 'table' AND b.kind = 'table' GROUP BY ALL),
-j AS (SELECT c.*, x.width, x.height, x.blocks, coalesce(nb.beside, []) AS beside, x.blocks[c.ref] AS own, ((c.doc_id * 31 + (c.seq // 2) * 7 + (c.seq % 2) * 3) // 16) % 7 AS k FROM cmd c JOIN ctx x USING (doc_id, page) LEFT JOIN nb USING (doc_id, page)),
-st AS (SELECT *, {_SHAPE} AS shape, CASE WHEN op IN ('addText', 'addPicture') THEN [] WHEN op = 'linkFootnote' THEN [ref, other_ref] ELSE [ref] END AS takes,
+nb AS (SELECT a.doc_id, a.page, list(b.ref) AS beside FROM blk a JOIN blk b ON a.doc_id = b.doc_id AND abs(a.page - b.page) = 1 AND a.kind = 'table' AND b.kind = 'table' GROUP BY ALL)"""
+
+
+def ruled_sql(x: str, kept: str = "true", item: str = "0") -> str:
+    """The commands that are ``kept`` with their reasons as ``ruled<x>``; those of one ``item`` know of each other."""
+    return f"""cmd{x} AS (SELECT * FROM (SELECT {', '.join(_command(Duck, 0))} FROM items UNION ALL SELECT {', '.join(_command(Duck, 1))} FROM items) WHERE {kept}),
+j{x} AS (SELECT c.*, x.width, x.height, x.blocks, coalesce(nb.beside, []) AS beside, x.blocks[c.ref] AS own, ((c.doc_id * 31 + (c.seq // 2) * 7 + (c.seq % 2) * 3) // 16) % 7 AS k FROM cmd{x} c JOIN ctx x USING (doc_id, page) LEFT JOIN nb USING (doc_id, page)),
+st{x} AS (SELECT *, {_SHAPE} AS shape, CASE WHEN op IN ('addText', 'addPicture') THEN [] WHEN op = 'linkFootnote' THEN [ref, other_ref] ELSE [ref] END AS takes,
  list_transform(CASE WHEN op IN ('addText', 'addPicture') THEN [] WHEN op = 'linkFootnote' THEN [ref, other_ref] ELSE [ref] END, lambda r: CASE WHEN op IN {fixed.TEXT_OPS} THEN {_IN("r", "text")} WHEN op IN {fixed.TABLE_OPS} THEN {_IN("r", "table")} WHEN op IN {fixed.PICTURE_OPS} THEN {_IN("r", "picture")} ELSE {_IN("r", *_ANY)} END) AS there,
- answer_page = page AS on_page, row_number() OVER (PARTITION BY doc_id, page ORDER BY seq) AS nth FROM j),
-sm AS (SELECT doc_id, page, seq, op, nth, on_page, shape, takes, there FROM st),
-walk AS (SELECT doc_id, page, 0::BIGINT AS nth, []::VARCHAR[] AS taken, NULL::BIGINT AS seq, ''::VARCHAR AS op, []::VARCHAR[] AS reasons FROM ctx UNION ALL
- SELECT doc_id, page, nth, CASE WHEN on_page AND len(own_reasons) + len(shape) = 0 THEN taken || takes ELSE taken END, seq, op, CASE WHEN on_page THEN [] ELSE ['page_number_mismatch'] END || own_reasons || shape
- FROM (SELECT s.*, w.taken, flatten(list_transform(range(1, len(s.takes) + 1), lambda i: (CASE WHEN s.there[i] THEN [] ELSE ['target_ref_not_found'] END) || (CASE WHEN list_contains(w.taken, s.takes[i]) THEN ['target_already_modified'] ELSE [] END))) AS own_reasons FROM walk w JOIN sm s ON s.doc_id = w.doc_id AND s.page = w.page AND s.nth = w.nth + 1)),
-ruled AS (SELECT doc_id, page, seq, op, reasons FROM walk WHERE nth > 0)"""
+ answer_page = page AS on_page, row_number() OVER (PARTITION BY doc_id, page, {item} ORDER BY seq) AS nth FROM j{x}),
+sm{x} AS (SELECT doc_id, page, {item} AS item, seq, op, nth, on_page, shape, takes, there FROM st{x}),
+walk{x} AS (SELECT doc_id, page, item, 0::BIGINT AS nth, []::VARCHAR[] AS taken, NULL::BIGINT AS seq, ''::VARCHAR AS op, []::VARCHAR[] AS reasons FROM ctx, (SELECT unnest([0, 1])::BIGINT AS item) UNION ALL
+ SELECT doc_id, page, item, nth, CASE WHEN on_page AND len(own_reasons) + len(shape) = 0 THEN taken || takes ELSE taken END, seq, op, CASE WHEN on_page THEN [] ELSE ['page_number_mismatch'] END || own_reasons || shape
+ FROM (SELECT s.*, w.taken, flatten(list_transform(range(1, len(s.takes) + 1), lambda i: (CASE WHEN s.there[i] THEN [] ELSE ['target_ref_not_found'] END) || (CASE WHEN list_contains(w.taken, s.takes[i]) THEN ['target_already_modified'] ELSE [] END))) AS own_reasons FROM walk{x} w JOIN sm{x} s ON s.doc_id = w.doc_id AND s.page = w.page AND s.item = w.item AND s.nth = w.nth + 1)),
+ruled{x} AS (SELECT doc_id, page, item, seq, op, reasons FROM walk{x} WHERE nth > 0)"""
 
 
 def ruled(spark, sf_dir) -> DataFrame:
@@ -160,7 +164,7 @@ def ruled(spark, sf_dir) -> DataFrame:
     return V.validated(commands_of(items), contexts_of(items))
 
 
-@query(f"WITH RECURSIVE {RULED_SQL} SELECT doc_id, page, seq, op, array_to_string(reasons, ',') AS reasons, len(reasons) = 0 AS valid FROM ruled")
+@query(f"WITH RECURSIVE {PAGES_SQL}, {ruled_sql("")} SELECT doc_id, page, seq, op, array_to_string(reasons, ',') AS reasons, len(reasons) = 0 AS valid FROM ruled")
 def command_rules(spark, sf_dir):
     """V5: what speaks against commands of all sixteen operations, references looked up in their pages, those that earlier ones took included."""
     return ruled(spark, sf_dir).select("doc_id", "page", "seq", "op", F.array_join("reasons", ",").alias("reasons"), "valid")
@@ -169,8 +173,63 @@ def command_rules(spark, sf_dir):
 _MEND = " OR ".join([*(f"contains(x, '{p}')" for p in fixed.MENDABLE_PARTS), "starts_with(x, 'invalid_')", "ends_with(x, '_not_found')", "starts_with(x, 'table_correction_')", "starts_with(x, 'task_op_not_allowed:')"])
 
 
-@query(f"WITH RECURSIVE {RULED_SQL}, a AS (SELECT doc_id, seq, reasons || ['table_correction_requires_manual_review', 'invalid_thing', 'task_op_not_allowed:' || op] AS r FROM ruled), e AS (SELECT doc_id, seq, list_filter(r, lambda x: NOT contains(x, 'requires_manual_review') AND ({_MEND})) AS r FROM a) SELECT doc_id, seq, array_to_string(list_filter(r, lambda x, i: list_position(r, x) = i), ',') AS asked FROM e")
+@query(f"WITH RECURSIVE {PAGES_SQL}, {ruled_sql("")}, a AS (SELECT doc_id, seq, reasons || ['table_correction_requires_manual_review', 'invalid_thing', 'task_op_not_allowed:' || op] AS r FROM ruled), e AS (SELECT doc_id, seq, list_filter(r, lambda x: NOT contains(x, 'requires_manual_review') AND ({_MEND})) AS r FROM a) SELECT doc_id, seq, array_to_string(list_filter(r, lambda x, i: list_position(r, x) = i), ',') AS asked FROM e")
 def reask_reasons(spark, sf_dir):
     """V8."""
     more = F.concat("reasons", F.array(F.lit("table_correction_requires_manual_review"), F.lit("invalid_thing"), F.concat(F.lit("task_op_not_allowed:"), "op")))
     return ruled(spark, sf_dir).select("doc_id", "seq", F.array_join(C.asked_again(more), ",").alias("asked"))
+
+
+#: Which commands the provider answers with at each attempt: all, then one a page, then one on every other page.
+_ANSWERS = ("seq >= 0", "seq % 6 < 2", "seq % 6 IN (2, 3) AND (doc_id + page) % 2 = 0")
+_SIGNATURE = "op || '|' || coalesce(ref, '') || '|' || other_ref || '|' || text || '|' || coalesce(label, '')"
+
+
+def reviewed(spark, sf_dir) -> review_run.Review:
+    """Two items a page, each with every other command, answered from a record."""
+    items = lines(spark, sf_dir)
+    record = commands_of(items).withColumn("item", F.col("seq") % 2)
+    work = record.select("doc_id", "page", "item").distinct().withColumn("task", F.lit(None).cast("string"))
+
+    def replayed(opened: DataFrame, attempt: int) -> DataFrame:
+        return record.where(_ANSWERS[attempt - 1]).join(opened.select("doc_id", "page", "item"), ["doc_id", "page", "item"], "left_semi")
+
+    return review_run.run(work, replayed, contexts_of(items), len(_ANSWERS))
+
+
+_ASK = f"list_filter(reasons, lambda x: NOT contains(x, 'requires_manual_review') AND ({_MEND}))"
+_ROUNDS = ", ".join(ruled_sql(str(a), kept, "seq % 2") for a, kept in enumerate(_ANSWERS, 1))
+_FAULTS = ", ".join(f"f{a} AS (SELECT doc_id, page, item, flatten(list({_ASK} ORDER BY seq)) AS asked FROM ruled{a} GROUP BY ALL)" for a in (1, 2, 3))
+_RUN = f"""{PAGES_SQL}, {_ROUNDS}, {_FAULTS}, w AS (SELECT DISTINCT doc_id, page, seq % 2 AS item FROM cmd1),
+q AS (SELECT w.*, list_filter(coalesce(a1.asked, []), lambda x, i: list_position(coalesce(a1.asked, []), x) = i) AS x1, list_filter(coalesce(a2.asked, []), lambda x, i: list_position(coalesce(a2.asked, []), x) = i) AS x2, list_filter(coalesce(a3.asked, []), lambda x, i: list_position(coalesce(a3.asked, []), x) = i) AS x3
+ FROM w LEFT JOIN f1 a1 USING (doc_id, page, item) LEFT JOIN f2 a2 USING (doc_id, page, item) LEFT JOIN f3 a3 USING (doc_id, page, item)),
+st AS (SELECT doc_id, page, item, CASE WHEN len(x1) = 0 THEN 1 WHEN len(x2) = 0 THEN 2 ELSE 3 END AS attempts, CASE WHEN len(x1) = 0 THEN 'passed' WHEN len(x2) = 0 OR len(x3) = 0 THEN 'reasked' ELSE 'failed' END AS status,
+ CASE WHEN len(x1) = 0 THEN [] WHEN len(x2) = 0 THEN x1 WHEN len(x3) = 0 THEN x2 ELSE x3 END AS feedback FROM q)"""
+
+
+@query(f"WITH RECURSIVE {_RUN} SELECT doc_id, page, item, attempts, status, array_to_string(feedback, ',') AS feedback FROM st")
+def review_rounds(spark, sf_dir):
+    """Work items through up to three rounds."""
+    return reviewed(spark, sf_dir).items.select("doc_id", "page", "item", "attempts", "status", F.array_join("feedback", ",").alias("feedback"))
+
+
+_PENALTY = "CASE " + " ".join(f"WHEN op = '{op}' THEN {p}::DOUBLE" for op, p in fixed.RISK_PENALTIES.items()) + " ELSE 0::DOUBLE END"
+_RULED_ON = f"""d0 AS ({' UNION ALL '.join(f"SELECT c.*, r.item, r.reasons, c{a}.own FROM cmd{a} c JOIN ruled{a} r USING (doc_id, page, seq) JOIN j{a} c{a} USING (doc_id, page, seq) JOIN st s ON s.doc_id = r.doc_id AND s.page = r.page AND s.item = r.item AND s.attempts = {a} AND s.status <> 'failed'" for a in (1, 2, 3))}),
+d1 AS (SELECT *, len(reasons) = 0 AS valid, (op = 'replaceText' AND coalesce(list_contains(own.suspect, 'hanja_ocr_candidate'), false)) OR (op = 'removeText' AND coalesce(list_contains(own.suspect, 'picture_internal_text'), false)) AS trusted, '#/texts/' || ((page - 1) * 3) AS t0, '#/texts/' || ((page - 1) * 3 + 1) AS t1, '#/texts/' || ((page - 1) * 3 + 2) AS t2 FROM d0),
+d2 AS (SELECT *, CASE op WHEN 'addText' THEN text IN ('ww', 'www') WHEN 'updateBbox' THEN ref = t0 WHEN 'linkFootnote' THEN other_ref = t2 WHEN 'moveNode' THEN (ref = t0 AND other_ref = t1 AND label = 'after') OR (ref = t1 AND other_ref = t0 AND label = 'before') END AS evidenced, round(greatest(0, least(1, confidence - CASE WHEN trusted AND op = 'removeText' THEN 0 ELSE {_PENALTY} END)), 9) AS final FROM d1),
+d3 AS (SELECT *, CASE WHEN NOT valid OR final < {fixed.PROPOSAL_FROM} THEN 'skipped' WHEN final >= CASE WHEN trusted THEN {fixed.TRUSTED_AUTO_FROM} ELSE {fixed.AUTO_FROM} END AND (op IN ('replaceText', 'updateTextRole', 'removeText', 'updatePictureCaption') OR coalesce(evidenced, false)) THEN 'auto_applied' ELSE 'proposal' END AS disposition, {_SIGNATURE} AS signature FROM d2),
+d4 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page, signature ORDER BY final DESC, seq) AS dn FROM d3) WHERE dn = 1),
+tch AS (SELECT doc_id, page, seq, unnest(CASE WHEN op IN ('addText', 'addPicture') THEN [] WHEN op = 'linkFootnote' THEN [ref, other_ref] ELSE [ref] END) AS r FROM d4 WHERE disposition <> 'skipped'),
+edg AS (SELECT DISTINCT a.doc_id, a.page, a.seq AS x, b.seq AS y FROM tch a JOIN tch b ON a.doc_id = b.doc_id AND a.page = b.page AND a.r = b.r AND a.seq <> b.seq),
+grow AS (SELECT doc_id, page, x, y FROM edg UNION SELECT g.doc_id, g.page, g.x, e.y FROM grow g JOIN edg e ON g.doc_id = e.doc_id AND g.page = e.page AND g.y = e.x),
+grp AS (SELECT doc_id, page, x AS seq, min(least(x, y)) AS root FROM grow GROUP BY ALL),
+rnk AS (SELECT g.*, d.final, row_number() OVER (PARTITION BY g.doc_id, g.page, root ORDER BY d.final DESC, g.seq) AS n FROM grp g JOIN d4 d USING (doc_id, page, seq)),
+clr AS (SELECT doc_id, page, seq, n, round(max(final) FILTER (n = 1) OVER w - max(final) FILTER (n = 2) OVER w, 9) > 0.3 AS clear FROM rnk WINDOW w AS (PARTITION BY doc_id, page, root))"""
+
+
+@query(f"""WITH RECURSIVE {_RUN}, {_RULED_ON} SELECT d.doc_id, d.page AS page_no, d.seq, d.op, d.final AS confidence, CASE WHEN n IS NOT NULL AND NOT clear AND disposition = 'auto_applied' THEN 'proposal' ELSE disposition END AS disposition
+FROM d4 d LEFT JOIN clr USING (doc_id, page, seq) WHERE NOT coalesce(n > 1 AND clear, false)""")
+def review_decisions(spark, sf_dir):
+    """The decisions that a review ends with."""
+    found = reviewed(spark, sf_dir).decisions.withColumn("signature", F.expr(_SIGNATURE))
+    return review_run.ruled_on(found).select("doc_id", "page_no", "seq", "op", "confidence", "disposition")
