@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+#: Hours without a row after which a task's state goes.
+IDLE_HOURS = 72
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
@@ -22,50 +24,77 @@ def deduplicated(stream: DataFrame, key: str = "id", time: str = "ts", late: str
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
-def status_changes(stream: DataFrame) -> DataFrame:
-    """R2: (task_id, seq, status): a row where a task's status differs from the one before; nothing after an end."""
+def _rows(batches: Iterator[pd.DataFrame], *columns: str) -> Iterator[tuple]:
+    """A key's rows of this batch by ``seq``."""
+    rows = pd.concat([b[list(columns)] for b in batches]).sort_values("seq")
+    return zip(*(rows[c].tolist() for c in columns))
+
+
+def status_changes(stream: DataFrame, idle_hours: float = IDLE_HOURS, late: str = "1 hour") -> DataFrame:
+    """R2: (task_id, seq, status): a row where a task's status differs from the one before; nothing after an end.
+
+    ``stream``: task_id, seq, ts, status. A task is forgotten when its last row is ``idle_hours`` older than the watermark.
+    """
+    span = int(idle_hours * 3_600_000)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, done = state.get if state.exists else (None, False)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, done, latest = state.get if state.exists else (None, False, 0)
         out = []
-        for row in pd.concat(list(batches)).sort_values("seq").itertuples():
-            if not done and row.status != last:
-                out.append((key[0], row.seq, row.status))
-                last, done = row.status, row.status in ("completed", "failed", "cancelled")
-        state.update((last, done))
+        for seq, at, status in _rows(batches, "seq", "ts", "status"):
+            latest = max(latest, int(at.timestamp() * 1000))
+            if not done and status != last:
+                out.append((key[0], seq, status))
+                last, done = status, status in ("completed", "failed", "cancelled")
+        state.update((last, done, latest))
+        state.setTimeoutTimestamp(max(latest + span, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["task_id", "seq", "status"])
 
-    return stream.groupBy("task_id").applyInPandasWithState(step, "task_id long, seq long, status string", "last string, done boolean", "append", GroupStateTimeout.NoTimeout)
+    return stream.withWatermark("ts", late).groupBy("task_id").applyInPandasWithState(step, "task_id long, seq long, status string", "last string, done boolean, latest long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def first_steps(stream: DataFrame) -> DataFrame:
-    """The first row of each step, named by the prefix of its log line, of each task."""
+def first_steps(stream: DataFrame, idle_hours: float = IDLE_HOURS, late: str = "1 hour") -> DataFrame:
+    """The first row of each step, named by the prefix of its log line, of each task; forgotten as in ``status_changes``."""
+    span = int(idle_hours * 3_600_000)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = list(state.get[0]) if state.exists else []
+        if state.hasTimedOut:
+            state.remove()
+            return
+        seen, latest = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
         out = []
-        for row in pd.concat(list(batches)).sort_values("seq").itertuples():
-            if row.step not in seen:
-                seen.append(row.step)
-                out.append((key[0], row.seq, row.step))
-        state.update((seen,))
+        for seq, at, name in _rows(batches, "seq", "ts", "step"):
+            latest = max(latest, int(at.timestamp() * 1000))
+            if name not in seen:
+                seen.append(name)
+                out.append((key[0], seq, name))
+        state.update((seen, latest))
+        state.setTimeoutTimestamp(max(latest + span, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["task_id", "seq", "step"])
 
-    named = stream.select("task_id", "seq", F.regexp_extract("message", r"^\[(\w+)\]", 1).alias("step")).where("step <> ''")
-    return named.groupBy("task_id").applyInPandasWithState(step, "task_id long, seq long, step string", "seen array<string>", "append", GroupStateTimeout.NoTimeout)
+    named = stream.select("task_id", "seq", "ts", F.regexp_extract("message", r"^\[(\w+)\]", 1).alias("step")).where("step <> ''")
+    return named.withWatermark("ts", late).groupBy("task_id").applyInPandasWithState(step, "task_id long, seq long, step string", "seen array<string>, latest long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def lockouts(stream: DataFrame, most: int = 3) -> DataFrame:
-    """(key, seq, failures, locked) after each event; a success resets the count, but not a lock."""
+    """(key, seq, failures, locked) after each event; a success resets the count, but not a lock.
+
+    Only keys with failures or a lock have state.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         failures, locked = state.get if state.exists else (0, False)
         out = []
-        for row in pd.concat(list(batches)).sort_values("seq").itertuples():
-            failures = 0 if row.ok else failures + 1
+        for seq, ok in _rows(batches, "seq", "ok"):
+            failures = 0 if ok else failures + 1
             locked = bool(locked or failures >= most)
-            out.append((key[0], row.seq, failures, locked))
-        state.update((failures, locked))
+            out.append((key[0], seq, failures, locked))
+        if failures or locked:
+            state.update((failures, locked))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["key", "seq", "failures", "locked"])
 
     return stream.groupBy("key").applyInPandasWithState(step, "key long, seq long, failures long, locked boolean", "failures long, locked boolean", "append", GroupStateTimeout.NoTimeout)
@@ -86,10 +115,15 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
     stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path).awaitTermination()
 
 
-def collect_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """As ``run_available``, into a table of the session's memory, for small results and tests."""
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(name)
+def latest_available(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Processes what is there in complete mode; each batch's whole result is written, the last one is read."""
+
+    def write(result: DataFrame, batch: int) -> None:
+        result.write.mode("overwrite").parquet(f"{path}/batch={batch:09d}")
+
+    stream.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    every = stream.sparkSession.read.parquet(path)
+    return every.join(F.broadcast(every.agg(F.max("batch").alias("batch"))), "batch").drop("batch")
 
 
 class Queue:
