@@ -110,3 +110,6 @@ REMOVABLE = ("empty_text", "ocr_noise", "orphan_caption", "caption_like_body_tex
 TEXT_OPS = ("replaceText", "updateTextRole", "removeText", "mergeTexts", "splitText", "linkFootnote")
 TABLE_OPS = ("updateTableCell", "replaceTable", "linkContinuedTable")
 PICTURE_OPS = ("updatePictureCaption", "splitPicture", "hidePicture")
+
+# fixed values: the unit within a hint such as a number with its unit
+UNIT_TOKEN = r"(?iu)(?:mm|cm|m²|m|㎝|㎜|㎡|kg|g|점|개)"
