@@ -80,3 +80,20 @@ def assembled_documents(spark, sf_dir):
     n = lambda c: F.size(c).cast("long").alias(c)
     sized = F.size(F.filter(F.map_values("pages"), lambda p: p["image"]["size"]["width"] > 0)).cast("long").alias("sized")
     return raw(spark, sf_dir).select("doc_id", F.col("origin.filename").alias("filename"), n("pages"), sized, n("texts"), n("pictures"), n("tables"))
+
+
+@query(f"""WITH {_ASSEMBLED}, t AS (SELECT c.doc_id, c.owner, string_agg(trim(r.content), ' ' ORDER BY c.place) FILTER (trim(r.content) <> '') AS caption FROM c JOIN r ON r.doc_id = c.doc_id AND r.ref = c.ref WHERE c.owner IS NOT NULL GROUP BY ALL)
+SELECT r.doc_id, r.ref AS self_ref, md5(coalesce(t.caption, '')) AS caption, coalesce(len(string_split(cs.captions, ',')), 0) AS parts FROM r LEFT JOIN t ON t.doc_id = r.doc_id AND t.owner = r.ref LEFT JOIN cs ON cs.doc_id = r.doc_id AND cs.ref = r.ref WHERE r.kind <> 'texts'""")
+def joined_captions(spark, sf_dir):
+    """pictures' and tables' captions, looked up among the texts and joined in order."""
+    d = raw(spark, sf_dir)
+    texts = nodes.exploded(d, "texts").select("doc_id", "self_ref", "text")
+    owners = None
+    for kind in ("pictures", "tables"):
+        n = nodes.exploded(d, kind).select("doc_id", "self_ref", F.transform("captions", lambda c: F.struct(c["ref"].alias("ref"), F.lit(None).cast("string").alias("text"))).alias("captions"))
+        owners = n if owners is None else owners.unionByName(n)
+    parts = owners.select("doc_id", "self_ref", F.explode("captions").alias("c")).select("doc_id", "self_ref", F.col("c.ref").alias("ref"))
+    found = nodes.resolved(parts, texts.withColumn("kind", nodes.collection_of(F.col("self_ref")))).where("kind = 'texts'").groupBy("doc_id", "self_ref").agg(F.count("*").alias("parts"))
+    said = nodes.joined_captions(owners, texts)
+    out = owners.select("doc_id", "self_ref").join(said, ["doc_id", "self_ref"], "left").join(found, ["doc_id", "self_ref"], "left")
+    return out.select("doc_id", "self_ref", F.md5(F.coalesce("caption", F.lit(""))).alias("caption"), F.coalesce("parts", F.lit(0)).cast("long").alias("parts"))

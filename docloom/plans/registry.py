@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("documents", "relational", "reviews", "context", "commands", "contents", "assembly", "navigation", "tables", "streams")
+MODULES: tuple[str, ...] = ("documents", "relational", "reviews", "context", "commands", "contents", "assembly", "navigation", "tables", "measures", "streams")
 
 
 def queries() -> dict:
