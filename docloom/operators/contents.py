@@ -27,10 +27,10 @@ def group_facts(groups: DataFrame, edges: DataFrame, pieces: DataFrame) -> DataF
 
     ``pieces`` are all nodes: doc_id, ref, page_no (null for groups) and text (null for what has none).
     """
-    p = pieces.select("doc_id", F.col("ref").alias("child_ref"), "page_no", "text", F.lit(True).alias("there"))
+    p = pieces.select("doc_id", F.col("ref").alias("child_ref"), "page_no", T.ends_in_page_number(F.col("text")).alias("hit"), F.lit(True).alias("there"))
     children = edges.withColumnRenamed("parent_ref", "ref").join(p, ["doc_id", "child_ref"], "left")
     facts = children.groupBy("doc_id", "ref").agg(
-        F.count("*").alias("children"), F.count("there").alias("known"), F.count_if(T.ends_in_page_number(F.col("text"))).alias("hits"),
+        F.count("*").alias("children"), F.count("there").alias("known"), F.count_if("hit").alias("hits"),
         F.min_by("page_no", F.when(F.col("page_no").isNotNull(), F.col("child_pos"))).alias("page_no"),
     )
     g = groups.join(facts, ["doc_id", "ref"], "left").fillna(0, ["children", "known", "hits"])
@@ -128,29 +128,31 @@ def markdown(starts: DataFrame, pieces: DataFrame, edges: DataFrame) -> DataFram
     """Each start's (doc_id, pos, ref) text: lists indented by their depth, tables with a rule, single texts.
 
     ``pieces``: doc_id, ref, kind (list, text, table or other), text, enumerated, marker, rows (array of arrays of texts). A
-    list's lines are those of all lists below it, depth first, so each turn takes the lists one deeper and lines carry the path
-    to them; one sort a start puts them in order. A list within itself isn't entered again; tables within lists say nothing.
+    list's lines are those of all lists below it, depth first, so each turn takes the lists one deeper, lists alone; lines are joined
+    once, with the path to their list, and one sort a start puts them in order. A list within itself isn't entered again; tables within lists say nothing.
     """
     marker = F.when(F.coalesce("marker", F.lit("")) != "", F.concat("marker", F.lit(" "))).when(F.coalesce("enumerated", F.lit(False)), "1. ").otherwise("- ")
     said = T.trimmed(F.coalesce("text", F.lit("")))
     named = pieces.withColumn("line", F.when((F.col("kind") == "text") & (said != ""), F.concat(marker, said)))
-    lines = named.select("doc_id", F.col("ref").alias("child_ref"), F.col("kind").alias("child_kind"), "line")
     at = starts.select("doc_id", "pos", "ref").join(named.select("doc_id", "ref", "kind", "line", "rows"), ["doc_id", "ref"])
-    whole = at.where("kind in ('text', 'table')").select("doc_id", "pos", F.when(F.col("kind") == "table", table_markdown(F.col("rows"))).otherwise(F.col("line")).alias("block"))
+    at = written(at.select("doc_id", "pos", "ref", "kind", F.when(F.col("kind") == "table", table_markdown(F.col("rows"))).otherwise(F.col("line")).alias("block")), "markdown-starts")
+    whole = at.where("kind in ('text', 'table')").select("doc_id", "pos", "block")
+    inner = pieces.where("kind = 'list'").select("doc_id", F.col("ref").alias("child_ref"))
+    inner = written(edges.withColumnRenamed("parent_ref", "ref").join(inner, ["doc_id", "child_ref"], "left_semi"), "markdown-lists")
     now = at.where("kind = 'list'").select("doc_id", "pos", "ref", F.array().cast("array<long>").alias("path"), F.array("ref").alias("above"))
-    depth, parts = 0, []
+    lists = [now]
     while True:
-        below = now.join(edges.withColumnRenamed("parent_ref", "ref"), ["doc_id", "ref"]).join(lines, ["doc_id", "child_ref"])
-        below = written(below.select("doc_id", "pos", "child_ref", "child_kind", "line", F.concat("path", F.array(F.col("child_pos").cast("long"))).alias("path"), "above"), "markdown-lists")
-        parts.append(below.where("child_kind = 'text' and line is not null").select("doc_id", "pos", "path", F.concat(F.lit("  " * depth), "line").alias("line")))
-        inner = below.where((F.col("child_kind") == "list") & ~F.array_contains("above", F.col("child_ref")))
-        if inner.isEmpty():
+        below = now.join(inner, ["doc_id", "ref"]).where(~F.array_contains("above", F.col("child_ref")))
+        now = written(below.select("doc_id", "pos", F.col("child_ref").alias("ref"), F.concat("path", F.array(F.col("child_pos").cast("long"))).alias("path"), F.concat("above", F.array("child_ref")).alias("above")), "markdown-level")
+        if now.isEmpty():
             break
-        now = inner.select("doc_id", "pos", F.col("child_ref").alias("ref"), "path", F.concat("above", F.array("child_ref")).alias("above"))
-        depth += 1
-    listed = parts[0]
-    for p in parts[1:]:
-        listed = listed.unionByName(p)
+        lists.append(now)
+    met = lists[0]
+    for more in lists[1:]:
+        met = met.unionByName(more)
+    lines = named.where("line is not null").select("doc_id", F.col("ref").alias("child_ref"), "line")
+    listed = met.select("doc_id", "pos", "ref", "path").join(edges.withColumnRenamed("parent_ref", "ref"), ["doc_id", "ref"]).join(lines, ["doc_id", "child_ref"])
+    listed = listed.select("doc_id", "pos", F.concat("path", F.array(F.col("child_pos").cast("long"))).alias("path"), F.concat(F.repeat(F.lit("  "), F.size("path")), "line").alias("line"))
     lists = listed.groupBy("doc_id", "pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "line"))), lambda x: x["line"]), "\n").alias("block"))
     blocks = whole.unionByName(lists).where(F.coalesce("block", F.lit("")) != "")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "block"))), lambda x: x["block"]), "\n\n")

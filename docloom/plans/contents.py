@@ -14,6 +14,7 @@ from docloom.operators import contents as C, items as I
 from docloom.plans.commands import Duck, Spark
 from docloom.plans.context import _KINDS, MARKS, lines
 from docloom.plans.documents import _re2
+from docloom.sources.shared import written
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -45,17 +46,19 @@ def _columns(d) -> dict[str, str]:
 
 
 def tree(spark, sf_dir) -> dict[str, DataFrame]:
-    """texts, groups (with their facts), tables, edges and pieces of the documents."""
+    """texts, groups (with their facts), tables, edges and pieces of the documents, written once as a document store holds them."""
     c, l = _columns(Spark), lines(spark, sf_dir)
     tx = l.selectExpr("doc_id", "pos AS ord", "self_ref AS ref", f"{c['parent']} AS parent_ref", "page_no", f"{c['text']} AS text", f"{c['enumerated']} AS enumerated", f"{c['marker']} AS marker")
     gr = l.selectExpr("doc_id", f"{c['g']} AS g", f"{c['grouped']} AS grouped").where("grouped").select("doc_id", "g").distinct().selectExpr("doc_id", "g AS ord", "'#/groups/' || g AS ref", f"{c['name']} AS name")
     tb = l.select("doc_id", "page_no").distinct().where(c["table"]).selectExpr("doc_id", "page_no AS ord", "'#/tables/' || page_no AS ref", "page_no", f"{c['index']} AS is_index", f"{c['rows']} AS rows", f"{c['like']} AS contents_like", f"{c['resource']} AS resource_index", f"{c['grid']} AS grid")
+    tx, gr, tb = written(tx, "tree-texts"), written(gr, "tree-groups"), written(tb, "tree-tables")
     edge = lambda df, parent, child, pos: df.selectExpr("doc_id", f"{parent} AS parent_ref", f"{child} AS child_ref", f"CAST({pos} AS bigint) AS child_pos")
     inner = gr.where("ord % 4 <> 3").join(gr.select("doc_id", (F.col("ord") - 1).alias("ord")), ["doc_id", "ord"], "left_semi")
     ed = (
         edge(tx.where("parent_ref LIKE '#/groups/%'"), "parent_ref", "ref", "ord").unionByName(edge(tx.where("parent_ref = '#/body'"), "parent_ref", "ref", "ord * 10")).unionByName(edge(gr, "'#/body'", "ref", "ord * 40 + 5"))
         .unionByName(edge(tb, "'#/body'", "ref", "page_no * 30 - 24")).unionByName(edge(inner, "ref", "'#/groups/' || (ord + 1)", "1000000")).unionByName(edge(gr.where("ord % 5 = 0"), "ref", "'#/texts/999999'", "-1"))
     )
+    ed = written(ed, "tree-edges")
     none = lambda kind: F.lit(None).cast(kind)
     grid = "array<array<string>>"
     pieces = (
