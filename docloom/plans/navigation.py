@@ -63,7 +63,8 @@ def picture_gutters(spark, sf_dir):
     d = I.read(spark, sf_dir, "documents").select("doc_id", bins.alias("d"))
     best = gutters.best_gutter(F.col("d"))
     g = d.select("doc_id", F.size(gutters.runs(F.col("d"))).cast("long").alias("runs"), best.alias("g"))
-    return g.select("doc_id", "runs", F.round("g.score", 6).alias("score"), F.col("g.start").cast("long").alias("start_bin"), F.col("g.end").cast("long").alias("end_bin"))
+    score = F.round(F.col("g.score") * 1e6) / 1e6  # halves as DuckDB's round takes them: by the scaled double, not by its shortest decimal
+    return g.select("doc_id", "runs", score.alias("score"), F.col("g.start").cast("long").alias("start_bin"), F.col("g.end").cast("long").alias("end_bin"))
 
 
 _GIVEN = "CASE WHEN pos % 5 = 3 THEN NULL WHEN pos % 7 = 2 THEN 'Fig. 1 same' ELSE 'Fig. ' || pos || ' ' || text END"

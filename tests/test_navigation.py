@@ -1,10 +1,12 @@
 """Redirects, gutters, captions, published tables: special cases."""
 
+import duckdb
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from docloom.operators import captions, gutters, navigation
+from docloom.plans import navigation as plans
 from docloom.sources import publish
 
 CHAPTER = "doc_id long, id string, parent string, ord long, page long, contents long"
@@ -60,3 +62,14 @@ def test_checkpoints_belong_to_a_run_and_a_version(spark, tmp_path):
     (tmp_path / "check" / ".CURRENT.crc").unlink(missing_ok=True)
     (tmp_path / "check" / "CURRENT").write_text("{broken")
     assert read("r1", 1) == []
+
+
+def test_gutter_scores_at_halves_of_the_last_digit(spark, tmp_path):
+    ids = [86224, 17824, 94408]
+    spark.createDataFrame([(i,) for i in ids], "doc_id long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    duck = duckdb.connect()
+    duck.execute(f"SET threads = 1; CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    found = plans.picture_gutters(spark, str(tmp_path)).select("doc_id", "runs", "score", "start_bin", "end_bin").collect()
+    assert sorted(map(tuple, found)) == sorted(duck.execute(plans.ORACLE_SQL["picture_gutters"]).fetchall())
+    bins = spark.createDataFrame([([0.1, 0.2, 0.3],)], "d array<double>")
+    assert bins.select(gutters.average(F.col("d"), F.lit(0), F.lit(3))).first()[0] == (0.3 + 0.2 + 0.1) / 3
