@@ -20,7 +20,7 @@ from docloom.functions import text as T
 from docloom.operators import context
 
 BOX = "struct<l:double,t:double,r:double,b:double,coord_origin:string>"
-BLOCK = f"struct<kind:string,text:string,suspect:array<string>,rows:bigint,cols:bigint,preview:array<int>,box:{BOX},candidate:boolean,orientation:string,suggested:int>"
+BLOCK = f"struct<kind:string,chars:double,inked:double,suspect:array<string>,rows:bigint,cols:bigint,preview:array<int>,box:{BOX},candidate:boolean,orientation:string,suggested:int>"
 EVIDENCE = ("missing", "warned", "footnotes", "reading", "visual")
 FIELDS = ("seq", "answer_page", "op", "ref", "other_ref", "text_refs", "text", "parts", "label", "page_no", "box", "row", "col", "widths", "caption", "regions", "confidence")
 
@@ -43,12 +43,19 @@ def units(text: Column) -> Column:
 
 
 def contexts(blocks: DataFrame, pages: DataFrame, neighbours: DataFrame) -> DataFrame:
-    """doc_id, page, width, height, evidence lists, blocks by reference, and the references of tables on neighbouring pages."""
-    fields = [c.split(":")[0] for c in ("kind", "text", "suspect", "rows", "cols", "preview", "box", "candidate", "orientation", "suggested")]
-    first = blocks.groupBy("doc_id", "page", "ref").agg(F.min_by(F.struct(*fields), "ord").cast(BLOCK).alias("b"))
-    known = first.groupBy("doc_id", "page").agg(F.map_from_entries(F.collect_list(F.struct("ref", "b"))).alias("blocks"))
-    beside = neighbours.groupBy("doc_id", "page").agg(F.collect_set("ref").alias("beside"))
-    return pages.join(known, ["doc_id", "page"], "full").join(beside, ["doc_id", "page"], "left")
+    """doc_id, page, width, height, evidence lists, blocks by reference, and the references of tables on neighbouring pages.
+
+    Of texts only their lengths are kept, with and without white space, as no rule asks for more; all three inputs meet in one grouping.
+    """
+    fields = ["kind", units(F.col("text")), units(T.spaceless(F.col("text"))), "suspect", "rows", "cols", "preview", "box", "candidate", "orientation", "suggested"]
+    block, page, beside = F.struct("ref", "ord", F.struct(*fields).cast(BLOCK).alias("b")), F.struct(*(c for c in pages.columns if c not in ("doc_id", "page"))), F.col("ref")
+    rows = (
+        blocks.select("doc_id", "page", block.alias("block")).unionByName(pages.select("doc_id", "page", page.alias("seen")), True)
+        .unionByName(neighbours.select("doc_id", "page", beside.alias("beside")), True)
+    )
+    met = rows.groupBy("doc_id", "page").agg(F.first("seen", True).alias("seen"), F.array_sort(F.collect_list("block")).alias("found"), F.collect_set("beside").alias("beside"))
+    known = F.filter("found", lambda x, i: (i == 0) | (x["ref"] != F.get("found", i - 1)["ref"]))
+    return met.where(F.col("seen").isNotNull() | (F.size("found") > 0)).select("doc_id", "page", "seen.*", F.map_from_entries(F.transform(known, lambda x: F.struct(x["ref"], x["b"]))).alias("blocks"), "beside")
 
 
 def box_reasons(box: Column, width: Column, height: Column) -> Column:
@@ -129,19 +136,18 @@ class Page:
         label = lambda field: _when(c["label"].isNull(), f"missing_required_field:{field}")
         texts = F.coalesce(c["text_refs"], _none())
         own, lacking = self.block(c["ref"]), lambda ref, kind: _when(~self.there(ref, kind), f"{kind}_ref_not_found")
-        told = F.when(own["kind"] == "text", own["text"])
-        spoken = F.length(told) > 0
+        told, whole = F.when(own["kind"] == "text", own["chars"]), F.when(own["kind"] == "text", own["inked"])
+        spoken = told > 0
         on_page = _when(F.coalesce(c["page_no"], page) != page, "page_number_mismatch")
         box = box_reasons(c["box"], self.width, self.height)
         joined = units(T.spaceless(F.array_join(F.coalesce(c["parts"], _none()), "")))
-        whole = units(T.spaceless(told))
         widths, regions = F.coalesce(c["widths"], _none("int")), F.coalesce(c["regions"], _none(BOX))
         rows = F.coalesce(own["rows"], F.size(own["preview"]).cast("long"))
         cols = F.coalesce(own["cols"], F.get(own["preview"], c["row"].cast("int")).cast("long"), F.get(own["preview"], F.lit(0)).cast("long"), F.lit(0))
         suspect = F.when(own["kind"].isin("text", "table", "picture"), own["suspect"])
         kept = F.array_contains(texts, c["ref"])
         rules = {
-            "replaceText": _when(spoken & (units(told) > 20) & (units(F.coalesce(c["text"], F.lit(""))) < units(told) * 0.3), "replacement_deletes_too_much_text"),
+            "replaceText": _when(spoken & (told > 20) & (units(F.coalesce(c["text"], F.lit(""))) < told * 0.3), "replacement_deletes_too_much_text"),
             "addText": _all(on_page, box, label("label")),
             "updateTextRole": label("label"),
             "removeText": _when(~F.coalesce(F.arrays_overlap(suspect, F.array(*map(F.lit, fixed.REMOVABLE))), F.lit(False)), "remove_text_without_deterministic_suspect_reason"),
@@ -181,28 +187,32 @@ class Page:
         return F.coalesce(shown, F.lit(False))
 
 
-def validated(commands: DataFrame, contexts_: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+def validated(commands: DataFrame, contexts_: DataFrame, within: tuple[str, ...] = (), beside: DataFrame | None = None) -> DataFrame:
     """doc_id, page and every command with its reasons, whether it is valid, trusted and evidenced; in any order.
 
-    ``within`` names columns that divide a page's commands into answers that don't know of each other.
+    ``within`` names columns that divide a page's commands into answers that don't know of each other; columns of ``beside``, a row a
+    page, come along. Everything meets by document and page, so that what is partitioned by them once stays so.
     """
     fields = [c for c in FIELDS if c in commands.columns]
-    answers = commands.groupBy("doc_id", "page", *within).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("commands"))
+    answers = commands.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct(F.struct(F.lit(0).alias("all"), *within).alias("answer"), *fields))).alias("commands"))
     j = answers.join(contexts_, ["doc_id", "page"], "left")
+    more = [c for c in beside.columns if c not in ("doc_id", "page")] if beside is not None else []
+    if more:
+        j = j.join(beside, ["doc_id", "page"], "left")
     for c in EVIDENCE:
         j = j.withColumn(c, F.coalesce(F.col(c).cast("array<string>") if c in contexts_.columns else _none(), _none()))
     rules = lambda c: Page(c)
     read = j.withColumn("read", F.transform("commands", lambda c: F.struct(c.alias("c"), rules(c).owned().alias("owned"), rules(c).shape().alias("shape"), rules(c).trusted().alias("trusted"), rules(c).evidenced().alias("evidenced"), (c["answer_page"] == F.col("page")).alias("on_page"))))
 
     def step(acc: Column, x: Column) -> Column:
-        taken = acc["taken"]
+        taken = F.when(acc["answer"] == x["c"]["answer"], acc["taken"]).otherwise(_none())
         own = F.flatten(F.transform(x["owned"], lambda r: _all(_when(~r["there"], "target_ref_not_found"), _when(F.array_contains(taken, F.coalesce(r["ref"], F.lit(""))), "target_already_modified"))))
         reasons = _all(own, x["shape"])
         ok = (F.size(reasons) == 0) & x["on_page"]
         refs = F.transform(x["owned"], lambda r: r["ref"])
-        return F.struct(F.when(ok, F.array_union(taken, refs)).otherwise(taken).alias("taken"), F.concat(acc["out"], F.array(_all(_when(~x["on_page"], "page_number_mismatch"), reasons))).alias("out"))
+        return F.struct(x["c"]["answer"].alias("answer"), F.when(ok, F.array_union(taken, refs)).otherwise(taken).alias("taken"), F.concat(acc["out"], F.array(_all(_when(~x["on_page"], "page_number_mismatch"), reasons))).alias("out"))
 
-    start = F.struct(_none().alias("taken"), _none("array<string>").alias("out"))
+    start = F.struct(F.get("commands", F.lit(0))["answer"].alias("answer"), _none().alias("taken"), _none("array<string>").alias("out"))
     folded = read.withColumn("reasons", F.aggregate("read", start, step, lambda acc: acc["out"]))
-    each = folded.select("doc_id", "page", *within, F.explode(F.arrays_zip("read", "reasons")).alias("z"))
-    return each.select("doc_id", "page", *within, *(F.col(f"z.read.c.{f}").alias(f) for f in fields), "z.reasons", (F.size("z.reasons") == 0).alias("valid"), F.col("z.read.trusted").alias("trusted"), F.col("z.read.evidenced").alias("evidenced"))
+    each = folded.select("doc_id", "page", *more, F.explode(F.arrays_zip("read", "reasons")).alias("z"))
+    return each.select("doc_id", "page", *(F.col(f"z.read.c.answer.{w}").alias(w) for w in within), *(F.col(f"z.read.c.{f}").alias(f) for f in fields), "z.reasons", (F.size("z.reasons") == 0).alias("valid"), F.col("z.read.trusted").alias("trusted"), F.col("z.read.evidenced").alias("evidenced"), *more)

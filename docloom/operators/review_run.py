@@ -33,12 +33,13 @@ class Review:
     rounds: list[DataFrame]
 
 
-def with_task_reasons(ruled: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Commands of operations that their item's task (doc_id, page, item, task) doesn't hold get a reason for it and are invalid."""
+def with_task_reasons(ruled: DataFrame) -> DataFrame:
+    """Commands of operations that their item's task (in ``tasks``, by item) doesn't hold get a reason for it and are invalid."""
     ops = F.create_map(*(x for task, ops in fixed.TASK_OPS.items() for x in (F.lit(task), F.array(*map(F.lit, ops)))))
-    strange = F.col("task").isNotNull() & ~F.coalesce(F.array_contains(F.try_element_at(ops, F.col("task")), F.col("op")), F.lit(False))
+    task = F.try_element_at("tasks", F.col("item"))
+    strange = task.isNotNull() & ~F.coalesce(F.array_contains(F.try_element_at(ops, task), F.col("op")), F.lit(False))
     why = F.concat("reasons", F.when(strange, F.array(F.concat(F.lit("task_op_not_allowed:"), "op"))).otherwise(F.array().cast("array<string>")))
-    return ruled.join(tasks, list(ITEM), "left").withColumn("reasons", why).withColumn("valid", F.col("valid") & ~strange).drop("task")
+    return ruled.withColumn("reasons", why).withColumn("valid", F.col("valid") & ~strange).drop("tasks")
 
 
 def run(items: DataFrame, provider: Callable[[DataFrame, int], DataFrame], contexts: DataFrame, attempts: int = 3) -> Review:
@@ -46,9 +47,11 @@ def run(items: DataFrame, provider: Callable[[DataFrame, int], DataFrame], conte
     opened = items.select(*ITEM, "task", F.array().cast("array<string>").alias("feedback"))
     rounds, done, decisions = [], [], []
     attempts = max(1, attempts)
+    contexts = written(contexts, "review-contexts")
     for attempt in range(1, attempts + 1):
-        answers = commands.validated(provider(opened, attempt), contexts, ("item",))
-        ruled = written(with_task_reasons(answers, opened.select(*ITEM, "task")).withColumn("asked", context.asked_again(F.col("reasons"))), f"review-commands-{attempt}")
+        tasks = opened.groupBy("doc_id", "page").agg(F.map_from_entries(F.collect_list(F.struct("item", "task"))).alias("tasks"))
+        answers = commands.validated(provider(opened, attempt), contexts, ("item",), tasks)
+        ruled = written(with_task_reasons(answers).withColumn("asked", context.asked_again(F.col("reasons"))), f"review-commands-{attempt}")
         in_order = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", "asked"))), lambda x: x["asked"]))
         faults = ruled.where(F.size("asked") > 0).groupBy(*ITEM).agg(F.array_distinct(in_order).alias("faults"))
         result = opened.join(faults, list(ITEM), "left").select(

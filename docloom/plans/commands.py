@@ -51,7 +51,7 @@ class Duck:
     times = staticmethod(lambda s, n: f"repeat({s}, ({n})::INT)")
 
 
-def _command(d, half: int) -> list[str]:
+def _command(d, half: int | str) -> list[str]:
     """A line's command as expressions; n counts variety."""
     n = f"(doc_id * 31 + pos * 7 + {half} * 3)"
     v = d.half(n, 16)
@@ -95,7 +95,7 @@ def lines(spark, sf_dir) -> DataFrame:
 
 
 def commands_of(items: DataFrame) -> DataFrame:
-    return items.selectExpr(*_command(Spark, 0)).unionByName(items.selectExpr(*_command(Spark, 1)))
+    return items.select("doc_id", "pos", "page_no", F.explode(F.array(F.lit(0), F.lit(1))).alias("half")).selectExpr(*_command(Spark, "half"))
 
 
 def contexts_of(items: DataFrame) -> DataFrame:
@@ -188,11 +188,13 @@ _SIGNATURE = "op || '|' || coalesce(ref, '') || '|' || other_ref || '|' || text
 def reviewed(spark, sf_dir) -> review_run.Review:
     """Two items a page, each with every other command, answered from a record."""
     items = lines(spark, sf_dir)
-    record = commands_of(items).withColumn("item", F.col("seq") % 2)
-    work = record.select("doc_id", "page", "item").distinct().withColumn("task", F.lit(None).cast("string"))
+    work = items.select("doc_id", F.col("page_no").alias("page"), F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("item")).distinct().withColumn("task", F.lit(None).cast("string"))
 
     def replayed(opened: DataFrame, attempt: int) -> DataFrame:
-        return record.where(_ANSWERS[attempt - 1]).join(opened.select("doc_id", "page", "item"), ["doc_id", "page", "item"], "left_semi")
+        asked = opened.groupBy("doc_id", F.col("page").alias("page_no")).agg(F.collect_set("item").alias("asked"))
+        at = items.select("doc_id", "pos", "page_no").join(asked, ["doc_id", "page_no"]).select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("half"))
+        at = at.where(F.array_contains("asked", F.col("half").cast("long")))
+        return at.selectExpr(*_command(Spark, "half"), "half % 2L AS item").where(_ANSWERS[attempt - 1])
 
     return review_run.run(work, replayed, contexts_of(items), len(_ANSWERS))
 

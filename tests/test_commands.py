@@ -61,3 +61,14 @@ def test_evidence_and_trust(spark):
 def test_every_reason_occurs(spark):
     seen = P.ruled(spark, "/root/testdata/sf0.01").select(F.explode("reasons").alias("r")).distinct()
     assert seen.count() >= 32
+
+
+def test_contexts_are_one_shuffle_without_texts(spark):
+    b = spark.createDataFrame([(1, 1, n, ref, "text", t, [], None, None, None, None, None, None, None) for n, ref, t in ((2, "a", "later"), (1, "a", "a b"), (3, "b", None))], BLOCKS)
+    pages = spark.createDataFrame([(1, 1, 9.0, 8.0), (2, 1, 9.0, 8.0)], "doc_id long, page long, width double, height double")
+    c = V.contexts(b, pages, spark.createDataFrame([(1, 1, "t"), (3, 3, "t")], "doc_id long, page long, ref string"))
+    rows = sorted(c.collect(), key=lambda r: r["doc_id"])
+    assert [(r["doc_id"], r["width"], r["beside"], {k: (x["chars"], x["inked"]) for k, x in r["blocks"].items()}) for r in rows] == [(1, 9.0, ["t"], {"a": (3.0, 2.0), "b": (None, None)}), (2, 9.0, [], {})]
+    commands = P.commands_of(spark.createDataFrame([(1, 0, 1)], "doc_id long, pos long, page_no long"))
+    plan = V.validated(commands.withColumn("item", F.col("seq") % 2), c, ("item",)).selectExpr("*")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
