@@ -22,11 +22,16 @@ ROOT = "_root_"
 
 
 def placed(elements: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Elements with their kind, ordinal, reference, place in the body or the furniture, provenance and, for captions, owner."""
+    """Elements with their kind, ordinal, reference, place in the body or the furniture, provenance and, for captions, owner.
+
+    A document's sizes come as one map, so that its elements are parted by document alone, once for all windows and groupings.
+    """
     kind = F.when(F.col("type") == "picture", "pictures").when(F.col("type") == "table", "tables").otherwise("texts")
     order = Window.partitionBy("doc_id").orderBy("page_no", "ord", "seq")
     before = Window.partitionBy("doc_id", "page_no").orderBy("ord", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    e = elements.join(sizes.select("doc_id", "page_no", "width", "height"), ["doc_id", "page_no"], "left").withColumn("kind", kind)
+    sized = sizes.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("page_no", F.struct("width", "height")))).alias("sizes"))
+    size = F.try_element_at("sizes", F.col("page_no"))
+    e = elements.join(sized, "doc_id", "left").select("*", size["width"].alias("width"), size["height"].alias("height")).withColumn("kind", kind)
     ordinal = F.lit(None).cast("long")
     for k in ("texts", "pictures", "tables"):
         ordinal = F.when(F.col("kind") == k, F.count_if(F.col("kind") == k).over(order) - 1).otherwise(ordinal)
@@ -53,9 +58,9 @@ def _sorted(kind: str, *fields: Column) -> Column:
 def assembled(elements: DataFrame, sizes: DataFrame, names: DataFrame, dpi: int = DPI) -> DataFrame:
     """A row a document: doc_id, schema_name, version, name, origin, body, furniture, groups, texts, pictures, tables, pages."""
     p = placed(elements, sizes)
-    held = p.where("owner is not null").groupBy("doc_id", F.col("owner").alias("self_ref")).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "self_ref"))), lambda x: F.struct(x["self_ref"].alias("ref"))).alias("captions"))
     nothing = F.array().cast("array<struct<ref:string>>")
-    p = p.join(held, ["doc_id", "self_ref"], "left").withColumn("captions", F.coalesce("captions", nothing))
+    held = F.collect_list(F.when(F.col("owner").isNotNull(), F.struct("place", "self_ref"))).over(Window.partitionBy("doc_id", F.coalesce("owner", "self_ref")))
+    p = p.withColumn("captions", F.transform(F.array_sort(held), lambda x: F.struct(x["self_ref"].alias("ref"))))
     listed = F.col("type") == "list_item"
     common = [F.col("self_ref"), nothing.alias("children"), F.lit("body").alias("content_layer"), F.col("type").alias("label"), F.col("prov")]
     texts = _sorted(
@@ -66,9 +71,16 @@ def assembled(elements: DataFrame, sizes: DataFrame, names: DataFrame, dpi: int
     cells = "array<struct<row:int,col:int,text:string>>"
     data = F.struct(F.array().cast(cells).alias("table_cells"), F.lit(0).alias("num_rows"), F.lit(0).alias("num_cols"), F.array().cast(f"array<{cells}>").alias("grid"))
     root = lambda layer: F.struct(F.lit(f"#/{layer}").alias("self_ref"), _refs(F.col("layer") == layer).alias("children"), F.lit(layer).alias("content_layer"), F.lit(ROOT).alias("name"), F.lit("unspecified").alias("label"))
-    d = p.groupBy("doc_id").agg(root("body").alias("body"), root("furniture").alias("furniture"), texts.alias("texts"), _sorted("pictures", *media, nothing.alias("annotations")).alias("pictures"), _sorted("tables", *media, data.alias("data")).alias("tables"))
-    size = F.struct(F.coalesce("width", F.lit(0.0)).alias("width"), F.coalesce("height", F.lit(0.0)).alias("height"))
-    page = F.struct("page_no", size.alias("size"), F.struct(F.lit("image/png").alias("mimetype"), F.lit(dpi).alias("dpi"), size.alias("size"), F.lit("").alias("uri")).alias("image"))
-    pages = elements.select("doc_id", "page_no").distinct().join(sizes, ["doc_id", "page_no"], "left").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("page_no").cast("string"), page))).alias("pages"))
+    d = p.groupBy("doc_id").agg(
+        root("body").alias("body"), root("furniture").alias("furniture"), texts.alias("texts"), _sorted("pictures", *media, nothing.alias("annotations")).alias("pictures"), _sorted("tables", *media, data.alias("data")).alias("tables"),
+        F.collect_set("page_no").alias("page_nos"), F.first("sizes").alias("sizes"),
+    )
+
+    def page(n: Column) -> Column:
+        at = F.try_element_at("sizes", n)
+        size = F.struct(F.coalesce(at["width"], F.lit(0.0)).alias("width"), F.coalesce(at["height"], F.lit(0.0)).alias("height"))
+        return F.struct(n.cast("string"), F.struct(n.alias("page_no"), size.alias("size"), F.struct(F.lit("image/png").alias("mimetype"), F.lit(dpi).alias("dpi"), size.alias("size"), F.lit("").alias("uri")).alias("image")))
+
+    d = d.withColumn("pages", F.map_from_entries(F.transform("page_nos", page)))
     origin = F.struct(F.lit("application/pdf").alias("mimetype"), F.lit(0).cast("decimal(20,0)").alias("binary_hash"), F.col("filename").alias("filename"))
-    return d.join(pages, "doc_id").join(names, "doc_id").select("doc_id", F.lit("DoclingDocument").alias("schema_name"), F.lit("1.0.0").alias("version"), "name", origin.alias("origin"), "body", "furniture", nothing.alias("groups"), "texts", "pictures", "tables", "pages")
+    return d.join(names, "doc_id").select("doc_id", F.lit("DoclingDocument").alias("schema_name"), F.lit("1.0.0").alias("version"), "name", origin.alias("origin"), "body", "furniture", nothing.alias("groups"), "texts", "pictures", "tables", "pages")
