@@ -37,8 +37,8 @@ COUNTED_BITS = 20
 #: Documents that the recurrent model is started on, at most, how often, and how many side by side.
 START_DOCS, START_ROUNDS, START_BATCH, START_RATE, RATE = 400, 2, 64, 0.1, 0.03
 FAN_IN = 32
-#: Bytes of text that are scored at once, unless one text is longer.
-SCORED_BYTES = 1 << 22
+#: Bytes of text whose words are found at once, and those that the recurrent model scores side by side, unless one text is longer.
+SCORED_BYTES, BESIDE_BYTES = 1 << 22, 1 << 24
 CONTEXTS, SYMBOLS = 1 << 14, 257  # 256: the word's end
 #: Of an unknown word's probability so much comes from its spelling, the rest from its share of the unknown words counted.
 SPELLED = 0.3
@@ -216,6 +216,16 @@ def _score_batches(tables: Tables):
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = gru.Gru(tables.weights)
         end_base = math.log10((tables.ends + 0.5) / tables.below) if tables.below else 0.0
+
+        def scored(waiting: list[tuple[list[pa.Array], list[np.ndarray], np.ndarray, pa.Array]]) -> Iterator[pa.RecordBatch]:
+            """The parts whose texts wait for the recurrent model, scored together."""
+            every, at = model.score([d for _, numbered, *_ in waiting for d in numbered]) / math.log(10), 0
+            for cols, numbered, outside, lists in waiting:
+                score = pa.array(every[at : at + len(numbered)] + outside)
+                at += len(numbered)
+                yield pa.RecordBatch.from_arrays([*cols, score, lists], ["doc_id", "n_tokens", "known", "base", "score", "rare"])
+
+        waiting, size = [], 0
         for b in it:
             for at, texts in parts(b.column(1), SCORED_BYTES):
                 hashes, first, raw, starts, ends = _words(texts)
@@ -226,7 +236,6 @@ def _score_batches(tables: Tables):
                 common, out = np.flatnonzero(places >= 0), np.flatnonzero(places >= gru.VOCAB - 2)
                 base = total(common, tables.base[places[common]]) + end_base
                 known = np.bincount(doc[common], minlength=n) + float(tables.ends > 0)
-                score = model.score(tables.numbered(places, first)) / math.log(10) + total(out, tables.inside[places[out]])
                 # the words that the table lacks, each once a text
                 rare = np.flatnonzero(places < 0)
                 kinds, where, kind = np.unique(hashes[rare], return_index=True, return_inverse=True)
@@ -238,8 +247,15 @@ def _score_batches(tables: Tables):
                 spelled = pa.array([w.decode() for w in words], pa.string()).take(pa.array(which))
                 fields = [spelled, pa.array(times.astype(np.int64)), pa.array(letters[which])]
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, ["word", "n", "spelled"]))
-                cols = [b.column(0).slice(at, n), pa.array(np.diff(first) + 1), pa.array(known), pa.array(base), pa.array(score), lists]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "known", "base", "score", "rare"])
+                ids = b.column(0).take(pa.array(np.arange(at, at + n)))  # copied: a slice would hold the batch with its texts
+                cols = [ids, pa.array(np.diff(first) + 1), pa.array(known), pa.array(base)]
+                waiting.append((cols, tables.numbered(places, first), total(out, tables.inside[places[out]]), lists))
+                size += len(raw)
+                if size >= BESIDE_BYTES:
+                    yield from scored(waiting)
+                    waiting, size = [], 0
+        if waiting:
+            yield from scored(waiting)
 
     return batches
 

@@ -7,6 +7,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,6 +52,77 @@ def test_state_is_carried_through_the_whole_document():
     assert every == pytest.approx([1, 1], rel=1e-4)  # a distribution
 
 
+def test_lanes_are_filled_and_begin_each_document_anew(monkeypatch):
+    """Steps follow the words or the longest document, not the longest of every group; each score is that of the document alone."""
+    monkeypatch.setattr(gru, "SCORED", 4)
+    monkeypatch.setattr(gru, "EVERY", 7)
+    monkeypatch.setattr(gru, "STATES", 50, raising=False)
+    g = gru.Gru(seed=6)
+    g.p = {k: v * 3 for k, v in g.p.items()}
+    r = np.random.default_rng(8)
+    docs = [np.append(r.integers(1, gru.VOCAB, n - 1), gru.END) if n else np.zeros(0, np.int64) for n in [40] * 20 + [0, 400] + [40] * 23 + [1, 0]]
+    want = []
+    for d in docs:
+        h, before, total = np.zeros((1, gru.HIDDEN), np.float32), np.array([gru.END]), 0.0
+        for w in d:
+            h, _ = g.step(h, before)
+            total += g.log_probs(h, np.array([w]))[0]
+            before = np.array([w])
+        want.append(total)
+    steps, tanh = [0], np.tanh
+
+    def counted(*args, **named):
+        steps[0] += 1
+        return tanh(*args, **named)
+
+    monkeypatch.setattr(gru.np, "tanh", counted)
+    assert np.allclose(g.score(docs), want, rtol=1e-5)
+    assert steps[0] < 1.2 * max(400, sum(map(len, docs)) / 4)
+    assert g.score([]).tolist() == [] and g.score(docs[20:21]).tolist() == [0]
+
+
+@pytest.mark.parametrize("rows", [1, 5, 64])
+def test_blocks_of_outputs_add_up(monkeypatch, rows):
+    """Classes that lie across blocks, and blocks that hold several classes, give the whole gradient and the same probabilities."""
+    g = gru.Gru(seed=9)
+    g.p = {k: v.astype(np.float64) * 3 for k, v in g.p.items()}
+    r = np.random.default_rng(2)
+    tokens = np.where(r.random((6, 17)) < 0.5, r.integers(0, 200, (6, 17)), r.integers(0, gru.VOCAB, (6, 17)))
+    tokens[2, 9:] = -1
+    h, y = r.normal(size=(90, gru.HIDDEN)), r.integers(0, 300, 90)
+    loss, grads, n, last = g.loss_and_grads(tokens)
+    probs = g.log_probs(h, y)
+    monkeypatch.setattr(gru, "ROWS", rows)
+    loss_, grads_, n_, last_ = g.loss_and_grads(tokens)
+    assert loss_ == pytest.approx(loss, rel=1e-12) and n_ == n and np.array_equal(last, last_)
+    assert all(np.allclose(grads_[k], x, rtol=1e-10, atol=1e-12) for k, x in grads.items())
+    assert np.allclose(g.log_probs(h, y), probs, rtol=1e-12)
+    every = g.loss_and_grads(np.full((2, 9), -1))
+    assert every[0] == 0 and every[2] == 0 and not any(x.any() for x in every[1].values())
+
+
+def test_parts_scored_together_keep_their_rows(monkeypatch):
+    """Texts of several parts and batches go through the recurrent model at once, and each row has its own score."""
+    r = np.random.default_rng(12)
+    words = [f"w{i}" for i in range(50)]
+    texts = [" ".join(r.choice([*words, "rare", "words"], r.integers(0, 60))) for _ in range(90)] + ["", "w1 " * 500]
+    tables = lm.Tables([w.encode() for w in words], np.arange(50, 0, -1), 1400, 53, 80, lm.Spelling(np.array([5]), np.array([3.0])), gru.Gru(seed=1).flat())
+    batches = [pa.RecordBatch.from_arrays([pa.array([*range(i, i + len(t))][:-1] + [None]), pa.array(t)], ["doc_id", "text"]) for i in range(0, len(texts), 23) if (t := texts[i : i + 23])]
+    score, calls = gru.Gru.score, []
+    monkeypatch.setattr(gru.Gru, "score", lambda self, docs: calls.append(len(docs)) or score(self, docs))
+    one_each = [pa.Table.from_batches(lm._score_batches(tables)(iter([b.slice(i, 1)]))) for b in batches for i in range(len(b))]
+    calls.clear()
+    monkeypatch.setattr(lm, "SCORED_BYTES", 700)
+    monkeypatch.setattr(lm, "BESIDE_BYTES", 6000, raising=False)
+    got = pa.Table.from_batches(lm._score_batches(tables)(iter(batches)))
+    want = pa.concat_tables(one_each)
+    assert 1 < len(calls) < 5 and sum(calls) == len(texts)
+    assert np.allclose(got["score"].to_numpy(), want["score"].to_numpy(), rtol=1e-5)
+    flat = lambda t: t.drop_columns("score").to_pylist()
+    for x, y in zip(flat(got), flat(want)):
+        assert sorted(map(str, x.pop("rare"))) == sorted(map(str, y.pop("rare"))) and x.pop("base") == pytest.approx(y.pop("base")) and x == y
+
+
 def test_every_word_is_a_target_once_with_its_state(monkeypatch):
     """Without learning, the states that windows begin in are those of reading each document word by word."""
     r = np.random.default_rng(7)
